@@ -125,3 +125,17 @@ def evenly_spaced(
     j = F.expr(f"((_rn - 1) * {k - 1} + _n - 2) div (_n - 1)")
     hit = (n <= k) | (F.expr("_n > 1") & (F.floor(j * (n - 1) / F.lit(k - 1)) == i))
     return rows.where(hit).drop("_rn", "_n")
+
+
+def top_contributions(values: Column, names: Column, k: int = 8, floor: float = 1e-8) -> Column:
+    """The ``k`` largest absolute values of a contribution vector as structs, sorted inside the row
+    (no shuffle); ties keep feature order."""
+    entries = F.transform(
+        F.arrays_zip(values.alias("v"), names.alias("n")),
+        lambda e, i: F.struct(
+            (-F.abs(e["v"])).alias("key"), i.alias("pos"), e["n"].alias("feature"),
+            e["v"].alias("contribution"),
+        ),
+    )
+    kept = F.filter(entries, lambda e: -e["key"] > floor)
+    return F.slice(F.array_sort(kept), 1, k)
