@@ -208,7 +208,7 @@ pack(key, i, load, grp, n, fold) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAS
 )
 def j3_greedy_real_folds(spark, sf):
     real = views.scored(spark, sf).where("label = 0")
-    return splits.greedy_folds(real, [], "grp", 4)
+    return splits.greedy_folds(splits.group_sizes(real, [], "grp"), [], "grp", 4)
 
 
 @catalog.add(
@@ -218,7 +218,7 @@ def j3_greedy_real_folds(spark, sf):
     + " SELECT grp, n, fold FROM pack WHERE i > 0",
 )
 def j4_seeded_real_folds(spark, sf):
-    real = views.scored(spark, sf).where("label = 0")
+    real = splits.group_sizes(views.scored(spark, sf).where("label = 0"), [], "grp")
     real = real.withColumn("t", sampling.seeded_hash(17, F.col("grp")))
     return splits.greedy_folds(real, [], "grp", 4, "t")
 
@@ -230,7 +230,8 @@ def j4_seeded_real_folds(spark, sf):
     + " SELECT key AS label, grp, n, fold FROM pack WHERE i > 0",
 )
 def j5_label_folds(spark, sf):
-    return splits.greedy_folds(views.scored(spark, sf), ["label"], "grp", 5)
+    sizes = splits.group_sizes(views.scored(spark, sf), ["label"], "grp")
+    return splits.greedy_folds(sizes, ["label"], "grp", 5)
 
 
 @catalog.add(

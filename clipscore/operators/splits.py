@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from clipscore.operators.ordered import HOT_ROWS, ranked
 from clipscore.operators.sampling import seeded_hash
-from clipscore.sources import checks
 
 SPLIT_TRIES = 100
 
@@ -194,8 +193,13 @@ def _fill(folds: int):
     return run
 
 
+def group_sizes(df: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Rows per (keys, group) as ``size``; fold building works on this table, never on the rows."""
+    return df.groupBy(*dict.fromkeys([*keys, group])).agg(F.count("*").alias("size"))
+
+
 def greedy_folds(
-    df: DataFrame,
+    sizes: DataFrame,
     keys: list[str],
     group: str,
     folds: int,
@@ -210,21 +214,14 @@ def greedy_folds(
     fold on its own.  Equal sizes are ordered by ``tie`` (default: the group name).
     Returns one row per (keys, group): ``n`` and ``fold``.
     """
-    tie = tie or group
-    cols = dict.fromkeys([*keys, group, tie])
-    sizes = df.groupBy(*cols).agg(F.count("*").alias("size"))
-    batches = sizes.groupBy(*keys, "size").agg(F.count("*").alias("groups"))
-    anchor = batches.withColumn("_k", F.lit(0)) if not keys else batches
-    schema = f"{anchor.select(*(keys or ['_k']), 'size', 'groups').schema.simpleString()[7:-1]}, starts array<bigint>"
-    filled = (
-        anchor.select(*(keys or ["_k"]), "size", "groups")
-        .groupBy(*(keys or ["_k"]))
-        .applyInPandas(_fill(folds), schema)
-        .select(*keys, "size", "starts")
-    )
-    order = [tie] if tie == group else [tie, group]
-    placed = ranked(sizes, [*keys, "size"], order, "_i", hot_rows=hot_rows)
-    joined = placed.join(filled, [*keys, "size"])
+    sizes = sizes if keys else sizes.withColumn("_k", F.lit(0))
+    by = keys or ["_k"]
+    batches = sizes.groupBy(*by, "size").agg(F.count("*").alias("groups"))
+    fields = batches.schema.simpleString()[len("struct<") : -1]
+    filled = batches.groupBy(*by).applyInPandas(_fill(folds), f"{fields}, starts array<bigint>")
+    order = list(dict.fromkeys([tie or group, group]))
+    placed = ranked(sizes, [*by, "size"], order, "_i", hot_rows=hot_rows)
+    joined = placed.join(filled.drop("groups"), [*by, "size"])
     return joined.withColumn("fold", _slot(folds)).select(
         *keys, group, F.col("size").alias("n"), "fold"
     )
@@ -272,76 +269,75 @@ def _slot(folds: int):
     return F.element_at(F.filter(f_list, holds), 1)
 
 
-def paired_folds(
-    df: DataFrame, label: str, group: str, partition: int, real_folds: DataFrame
-) -> DataFrame:
-    """Pair fold f of the real groups with one whole generator, rotated by ``partition``.
-
-    ``real_folds`` maps real groups to folds.  Returns (group, label, fold).  Generators are few
-    (each defines a fold), so their ranking is a tiny table.
-    """
-    generators = df.where(F.col(label) == 1).select(group).distinct()
-    n = generators.count()
-    if n < 2:
-        raise ValueError("needs at least two generators")
-    index = ranked(generators, [], [group], "_i")
-    spoof = index.select(
-        group,
-        F.lit(1).alias(label),
-        F.pmod(F.col("_i") - 1 - partition, F.lit(n)).cast("int").alias("fold"),
-    )
-    real = real_folds.select(group, F.lit(0).alias(label), F.col("fold").cast("int").alias("fold"))
-    return real.unionByName(spoof)
+# Seeds of the repeated partitions.
+PARTITION_SEEDS = (17, 29)
 
 
 def partition_folds(df: DataFrame, label: str, group: str, partitions: int = 3) -> DataFrame:
     """Generator-paired folds for every partition: (partition, group, label, fold).
 
-    Partition 0 packs real groups by (size, name); later ones break size ties by a seeded hash.
+    Fold f tests one packed fold of the real groups and one whole generator, rotated by the
+    partition.  Partition 0 breaks size ties by name, later ones by a seeded hash.
     """
-    generators = df.where(F.col(label) == 1).select(group).distinct().count()
-    real = df.where(F.col(label) == 0)
-    if real.select(group).distinct().count() < generators:
+    sizes = group_sizes(df, [label], group).withColumn(
+        "partition", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))
+    )
+    facts = df.select(label, group).distinct().groupBy(label).count().collect()  # two rows
+    count = {r[label]: r["count"] for r in facts}
+    generators = count.get(1, 0)
+    if generators < 2:
+        raise ValueError("needs at least two generators")
+    if count.get(0, 0) < generators:
         raise ValueError("needs at least as many real groups as generators")
-    parts = []
-    for p in range(partitions):
-        tie = None
-        rows = real
-        if p:
-            seed = PARTITION_SEEDS[(p - 1) % len(PARTITION_SEEDS)]
-            rows, tie = real.withColumn("_t", seeded_hash(seed, F.col(group))), "_t"
-        folds = greedy_folds(rows, [], group, generators, tie)
-        parts.append(paired_folds(df, label, group, p, folds).withColumn("partition", F.lit(p)))
-    return checks.union(parts)
+    p = F.col("partition")
+    seed = F.element_at(
+        F.array(*map(F.lit, PARTITION_SEEDS)), (F.greatest(p, F.lit(1)) - 1) % len(PARTITION_SEEDS) + 1
+    )
+    tie = F.when(p == 0, F.col(group)).otherwise(seeded_hash(seed, F.col(group)))
+    real = sizes.where(F.col(label) == 0).withColumn("_t", tie)
+    packed = greedy_folds(real, ["partition"], group, generators, "_t").select(
+        "partition", group, F.lit(0).alias(label), F.col("fold").cast("int").alias("fold")
+    )
+    index = ranked(sizes.where(F.col(label) == 1), ["partition"], [group], "_i")
+    spoof = index.select(
+        "partition",
+        group,
+        F.lit(1).alias(label),
+        F.pmod(F.col("_i") - 1 - p, F.lit(generators)).cast("int").alias("fold"),
+    )
+    return packed.unionByName(spoof)
 
 
-# Seeds of the repeated partitions.
-PARTITION_SEEDS = (17, 29)
+def _strata(df: DataFrame, label: str, group: str) -> DataFrame:
+    """Group sizes with ``_kind``: 0 real only, 1 synthetic only, 2 mixed."""
+    kind = F.when(F.min(label) != F.max(label), 2).otherwise(F.min(label))
+    return df.groupBy(group).agg(F.count("*").alias("size"), kind.alias("_kind"))
 
 
 def stratified_group_folds(df: DataFrame, label: str, group: str, folds: int, seed: int) -> DataFrame:
     """Group folds with close class shares: groups are packed greedily by size inside each of the
     real-only, synthetic-only and mixed strata, size ties broken by a seeded hash."""
-    groups = df.groupBy(group).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
-    kind = F.when(F.col("_lo") != F.col("_hi"), 2).otherwise(F.col("_lo"))
-    stratum = groups.select(group, kind.alias("_kind"), seeded_hash(seed, F.col(group)).alias("_t"))
-    rows = df.join(stratum, group)
-    return greedy_folds(rows, ["_kind"], group, folds, "_t").select(group, "n", "fold")
+    sizes = _strata(df, label, group).withColumn("_t", seeded_hash(seed, F.col(group)))
+    return greedy_folds(sizes, ["_kind"], group, folds, "_t").select(group, "n", "fold")
 
 
 def nested_folds(
     df: DataFrame, label: str, group: str, outer: int, inner: int, seed: int
 ) -> DataFrame:
-    """(outer, inner, group): inner folds built from the outer training side alone."""
-    outer_of = stratified_group_folds(df, label, group, outer, seed).select(
-        group, F.col("fold").alias("outer")
+    """(outer, inner, group): inner folds built from the outer training side alone, for all outer
+    folds in one pass over the group table."""
+    sizes = _strata(df, label, group)
+    held = stratified_group_folds(df, label, group, outer, seed).select(
+        group, F.col("fold").alias("_held")
+    )
+    every = sizes.join(held, group).withColumn(
+        "outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))
+    )
+    train = every.where(F.col("outer") != F.col("_held")).withColumn(
+        "_t", seeded_hash(F.col("outer") + (seed + 1), F.col(group))
     )
-    parts = []
-    for f in range(outer):
-        train = df.join(outer_of.where(F.col("outer") != f).select(group), group, "left_semi")
-        part = stratified_group_folds(train, label, group, inner, seed + 1 + f)
-        parts.append(part.select(F.lit(f).alias("outer"), F.col("fold").alias("inner"), group))
-    return checks.union(parts)
+    out = greedy_folds(train, ["outer", "_kind"], group, inner, "_t")
+    return out.select("outer", F.col("fold").alias("inner"), group)
 
 
 def completeness(
