@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "tables", "selection", "metrics")
+MODULES = ("sources", "tables", "selection", "metrics", "routing")
 
 
 def _catalogs():
