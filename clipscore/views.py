@@ -101,3 +101,36 @@ SELECT page_id AS clip_id, url AS path,
        lower(regexp_extract(url, '[.]([A-Za-z0-9]+)([?#]|$)', 1)) AS suffix,
        substring(html, 1, 15) AS head, length(html) AS size
 FROM pages)"""
+
+
+CLIP_RATE = 4_000
+
+
+def _le(value, n: int):
+    """Little-endian bytes of an unsigned integer column, as hex text."""
+    text = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
+    return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(n))])
+
+
+def clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as the bytes of an 8-bit mono PCM WAV file: its whole text is the samples."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    body = F.encode("text", "UTF-8")
+    n = F.octet_length(body)
+    pad = n % 2
+
+    def fixed(v: int, width: int):
+        return _le(F.lit(v), width)
+
+    header = F.concat(
+        F.lit("52494646"), _le(n + pad + 36, 4), F.lit("57415645666D7420"), fixed(16, 4), fixed(1, 2),
+        fixed(1, 2), fixed(CLIP_RATE, 4), fixed(CLIP_RATE, 4), fixed(1, 2), fixed(8, 2),
+        F.lit("64617461"), _le(n, 4),
+    )
+    tail = F.when(pad == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
+    return docs.select(
+        F.col("doc_id").alias("clip_id"),
+        F.concat("lang", F.lit("/clip"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"),
+        n.cast("long").alias("n_bytes"),
+        F.concat(F.unhex(header), body, tail).alias("content"),
+    ).withColumn("length", F.octet_length("content").cast("long"))
