@@ -54,23 +54,29 @@ def pcm_samples(content: bytes) -> tuple[np.ndarray, int]:
     return values.reshape(-1, channels).mean(axis=1), rate
 
 
-def resampled(x: np.ndarray, rate: int, half: int = 16, block: int = 32_768) -> np.ndarray:
-    """Linear-phase windowed-sinc conversion to 16 kHz, in blocks of output samples."""
+def resampled(x: np.ndarray, rate: int, half: int = 16) -> np.ndarray:
+    """Linear-phase windowed-sinc conversion to 16 kHz.
+
+    Outputs of one phase share their filter taps, so each phase is one product of strided input
+    windows with a tap vector.
+    """
     if rate == RATE or not len(x):
         return x
+    up, down = RATE // math.gcd(RATE, rate), rate // math.gcd(RATE, rate)
     n = math.ceil(len(x) * RATE / rate)
     cut = min(1.0, RATE / rate)
     reach = math.ceil(half / cut)
-    padded = np.pad(x, (reach, reach + 1))
-    taps = np.arange(-reach + 1, reach + 1)
+    taps = np.arange(1 - reach, reach + 1)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (reach - 1, reach + 1)), 2 * reach)
     out = np.empty(n)
-    for start in range(0, n, block):
-        at = np.arange(start, min(start + block, n)) * (rate / RATE)
-        base = np.floor(at).astype(np.int64)
-        d = taps[None, :] - (at - base)[:, None]
-        w = np.where(np.abs(d) < reach, 0.5 + 0.5 * np.cos(np.pi * d / reach), 0.0)
-        h = cut * np.sinc(cut * d) * w
-        out[start : start + len(at)] = (padded[base[:, None] + taps[None, :] + reach] * h).sum(axis=1)
+    for phase in range(min(up, n)):
+        start, left = divmod(phase * down, up)
+        gap = taps - left / up
+        h = cut * np.sinc(cut * gap) * np.where(
+            np.abs(gap) < reach, 0.5 + 0.5 * np.cos(np.pi * gap / reach), 0.0
+        )
+        count = len(range(phase, n, up))
+        out[phase::up] = windows[start : start + (count - 1) * down + 1 : down] @ h
     return out
 
 
@@ -222,21 +228,19 @@ def chroma_bank(size: int, tuning: float) -> np.ndarray:
 def tuning_of(power: np.ndarray, size: int) -> float:
     """Deviation from A440 in semitone fractions: the fullest of 100 bins over interpolated
     spectral peaks at or above the median peak power, 150 to 4,000 Hz."""
-    inner = power[:, 1:-1]
-    slope = (power[:, 2:] - power[:, :-2]) / 2
-    curve = power[:, 2:] + power[:, :-2] - 2 * inner
-    shift = np.divide(-slope, curve, out=np.zeros_like(inner), where=np.abs(slope) < np.abs(curve))
-    loud = np.where(power > 0.1 * power.max(axis=1, keepdims=True), power, 0.0)
-    peak = (loud[:, 1:-1] > loud[:, :-2]) & (loud[:, 1:-1] >= loud[:, 2:])
-    hz = np.arange(1, power.shape[1] - 1) * RATE / size
-    peak &= (hz >= 150) & (hz < 4_000)
-    if not peak.any():
+    low, high = math.ceil(150 * size / RATE), math.ceil(4_000 * size / RATE)
+    left, here, right = (power[:, low + d : high + d] for d in (-1, 0, 1))
+    floor = 0.1 * power.max(axis=1, keepdims=True)
+    a, b, c = (np.where(p > floor, p, 0.0) for p in (left, here, right))
+    rows, cols = np.nonzero((b > a) & (b >= c))
+    if not len(rows):
         return 0.0
-    rows, cols = np.nonzero(peak)
-    pitch = (cols + 1 + shift[rows, cols]) * RATE / size
-    height = inner[rows, cols] + 0.5 * slope[rows, cols] * shift[rows, cols]
-    pitch = pitch[(height >= np.median(height)) & (pitch > 0)]
-    part = N_CHROMA * np.log2(pitch / 27.5) % 1.0
+    left, here, right = left[rows, cols], here[rows, cols], right[rows, cols]
+    slope, curve = (right - left) / 2, right + left - 2 * here
+    shift = np.divide(-slope, curve, out=np.zeros_like(here), where=np.abs(slope) < np.abs(curve))
+    pitch = (cols + low + shift) * RATE / size
+    height = here + 0.5 * slope * shift
+    part = N_CHROMA * np.log2(pitch[height >= np.median(height)] / 27.5) % 1.0
     part[part >= 0.5] -= 1.0
     counts, edges = np.histogram(part, np.linspace(-0.5, 0.5, 101))
     return float(edges[counts.argmax()])

@@ -48,25 +48,6 @@ def little_endian(content: Column, offset: Column | int, n: int) -> Column:
     return F.when(F.length(text) == 2 * n, F.conv(swapped, 16, 10).cast("long"))
 
 
-def _verdict(problem: Column, checked: Column) -> Column:
-    """Status struct from the first problem text (null when none)."""
-    none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(problem.isNull(), "consistent").otherwise("inconsistent").alias("status"),
-        F.when(problem.isNull(), F.array(checked)).otherwise(none).alias("checks"),
-        F.when(problem.isNull(), none).otherwise(F.array(problem)).alias("inconsistencies"),
-    )
-
-
-def _unknown(note: str | None = None) -> Column:
-    none = F.array().cast("array<string>")
-    return F.struct(
-        F.lit("unknown").alias("status"),
-        (F.array(F.lit(note)) if note else none).alias("checks"),
-        none.alias("inconsistencies"),
-    )
-
-
 def _first_problem(rules: list[tuple[Column, str]]) -> Column:
     """Text of the first broken rule; a rule that cannot be evaluated counts as broken."""
     out = F.lit(None).cast("string")
@@ -169,7 +150,7 @@ def with_wav_walk(df: DataFrame, content: str = "content", size: str = "length")
     ).drop("_walk", "_f")
 
 
-def wav_verdict(size: Column) -> Column:
+def wav_problem(size: Column) -> Column:
     """RIFF/WAVE rules: declared size, chunk boundaries, a format chunk and some data, and for
     integer or float PCM agreeing sample width, alignment and rates."""
     head, kind, end = (F.col(f"_riff.{n}") for n in ("head", "kind", "end"))
@@ -178,12 +159,15 @@ def wav_verdict(size: Column) -> Column:
         for n in ("fmt", "data", "code", "channels", "rate", "byte_rate", "align", "bits")
     )
     pcm = code.isin(1, 3)
-    problem = _first_problem(
+    before = _first_problem(
         [
             ((head != "52494646") | (kind != "57415645"), "not a RIFF/WAVE header"),
             (end > size, "RIFF size is larger than the file"),
             (end < MIN_WAV, "RIFF size is too small for audio"),
-            (F.col("_wav.problem").isNotNull(), "~"),
+        ]
+    )
+    after = _first_problem(
+        [
             (F.col("_wav.pos") != end, "chunks do not end at the RIFF size"),
             (at.isNull() | data.isNull() | (data == 0), "format or data chunk missing"),
             (
@@ -198,19 +182,14 @@ def wav_verdict(size: Column) -> Column:
             (pcm & (F.try_mod(data, align) != 0), "data is not whole frames"),
         ]
     )
-    problem = F.when(problem == "~", F.col("_wav.problem")).otherwise(problem)
-    variant = head.isin("52463634", "52494658") & (kind == "57415645")
-    return F.when(variant, _unknown("WAVE variant is not checked")).otherwise(
-        _verdict(problem, F.lit("RIFF/WAVE chunks and PCM alignment"))
-    )
+    return F.coalesce(before, F.col("_wav.problem"), after)
 
 
-def flac_verdict(content: Column, size: Column) -> Column:
+def flac_problem(content: Column, size: Column) -> Column:
     """First block is STREAMINFO of length 34 with a valid packed rate, channel count and depth."""
     packed = big_endian(content, 18, 4)  # 20 bits rate, 3 channels - 1, 5 depth - 1, 4 of length
-    rate = F.shiftright(packed, 12)
     depth = F.shiftright(packed, 4).bitwiseAND(F.lit(31)) + 1
-    problem = _first_problem(
+    return _first_problem(
         [
             (hex_at(content, 0, 4) != "664C6143", "not a FLAC header"),
             (
@@ -219,59 +198,51 @@ def flac_verdict(content: Column, size: Column) -> Column:
                 | (big_endian(content, 5, 3) != 34),
                 "STREAMINFO block missing or malformed",
             ),
-            ((rate == 0) | (depth < 4), "STREAMINFO values out of range"),
+            ((F.shiftright(packed, 12) == 0) | (depth < 4), "STREAMINFO values out of range"),
         ]
     )
-    return _verdict(problem, F.lit("FLAC signature and STREAMINFO"))
 
 
-def mp3_verdict(content: Column, size: Column) -> Column:
+def _is_tagged(content: Column) -> Column:
+    return hex_at(content, 0, 3) == "494433"
+
+
+def mp3_problem(content: Column, size: Column) -> Column:
     """ID3 v2-4 tag whose sync-safe size ends inside the file, or an MPEG frame sync."""
-    b = [big_endian(content, i, 1) for i in range(10)]
-    tag = b[6] * 2097152 + b[7] * 16384 + b[8] * 128 + b[9]
-    high = (b[6] > 127) | (b[7] > 127) | (b[8] > 127) | (b[9] > 127)
+    version = big_endian(content, 3, 1)
+    b = [big_endian(content, i, 1) for i in range(6, 10)]
+    tag = b[0] * 2097152 + b[1] * 16384 + b[2] * 128 + b[3]
+    high = big_endian(content, 6, 4).bitwiseAND(F.lit(0x80808080)) != 0
     id3 = _first_problem(
         [
-            (~b[3].isin(2, 3, 4) | high, "ID3 header is malformed"),
+            (~version.isin(2, 3, 4) | high, "ID3 header is malformed"),
             (tag + 10 >= size, "ID3 tag runs past the file"),
         ]
     )
-    sync = _first_problem(
-        [((b[0] != 255) | (b[1].bitwiseAND(F.lit(224)) != 224), "neither ID3 nor MPEG header")]
-    )
-    tagged = hex_at(content, 0, 3) == "494433"
-    return F.when(tagged, _verdict(id3, F.lit("ID3 header and size"))).otherwise(
-        _verdict(sync, F.lit("MPEG frame sync"))
+    sync = big_endian(content, 0, 2).bitwiseAND(F.lit(0xFFE0)) != 0xFFE0
+    return F.when(_is_tagged(content), id3).otherwise(
+        _first_problem([(sync, "neither ID3 nor MPEG header")])
     )
 
 
-def mp4_verdict(content: Column, size: Column) -> Column:
+def mp4_problem(content: Column, size: Column) -> Column:
     box = big_endian(content, 0, 4)
-    problem = _first_problem(
-        [
-            (
-                (hex_at(content, 4, 4) != "66747970") | (box < 8) | (box > size),
-                "file type box missing or too large",
-            )
-        ]
-    )
-    return _verdict(problem, F.lit("MP4 file type box"))
+    bad = (hex_at(content, 4, 4) != "66747970") | (box < 8) | (box > size)
+    return _first_problem([(bad, "file type box missing or too large")])
 
 
-def aac_verdict(content: Column) -> Column:
-    first, second = big_endian(content, 0, 1), big_endian(content, 1, 1)
-    bad = (first != 255) | (second.bitwiseAND(F.lit(240)) != 240)
-    return _verdict(_first_problem([(bad, "no ADTS frame")]), F.lit("ADTS frame"))
+def aac_problem(content: Column) -> Column:
+    sync = big_endian(content, 0, 2).bitwiseAND(F.lit(0xFFF0)) != 0xFFF0
+    return _first_problem([(sync, "no ADTS frame")])
 
 
-def prefix_verdict(content: Column, suffix: str, rules=PREFIX_RULES) -> Column:
+def prefix_problem(content: Column, suffix: str, rules=PREFIX_RULES) -> Column:
     """All byte-prefix rules of one suffix."""
-    mine = [r for r in rules if r[0] == suffix]
     bad = F.lit(False)
-    for _, offset, texts, _ in mine:
-        bad = bad | ~hex_at(content, offset, len(texts[0]) // 2).isin(*texts)
-    text = f"the {suffix} suffix does not match the header"
-    return _verdict(_first_problem([(bad, text)]), F.lit(mine[0][3]))
+    for name, offset, texts, _ in rules:
+        if name == suffix:
+            bad = bad | ~hex_at(content, offset, len(texts[0]) // 2).isin(*texts)
+    return _first_problem([(bad, f"the {suffix} suffix does not match the header")])
 
 
 def with_verdict(
@@ -282,20 +253,49 @@ def with_verdict(
     name: str = "container",
     rules=PREFIX_RULES,
 ) -> DataFrame:
-    """Add the status struct by lower-case suffix; unlisted suffixes are unknown."""
+    """Add struct(status, checks, inconsistencies) by lower-case suffix; unlisted suffixes are
+    unknown.  The problem text is found once and the struct built from it."""
     c, n, end = F.col(content), F.col(size), F.col(suffix)
-    wav = F.when(end.isin(".wav", ".wave"), c)
-    rows = with_wav_walk(df.withColumn("_c", wav), "_c", size)
-    out = (
-        F.when(end.isin(".wav", ".wave"), wav_verdict(n))
-        .when(end == ".flac", flac_verdict(c, n))
-        .when(end == ".mp3", mp3_verdict(c, n))
-        .when(end.isin(".m4a", ".mp4"), mp4_verdict(c, n))
-        .when(end == ".aac", aac_verdict(c))
+    is_wav = end.isin(".wav", ".wave")
+    rows = with_wav_walk(df.withColumn("_c", F.when(is_wav, c)), "_c", size)
+    variant = F.col("_riff.head").isin("52463634", "52494658") & (F.col("_riff.kind") == "57415645")
+    cases = [
+        (is_wav, wav_problem(n), F.lit("RIFF/WAVE chunks and PCM alignment")),
+        (end == ".flac", flac_problem(c, n), F.lit("FLAC signature and STREAMINFO")),
+        (
+            end == ".mp3",
+            mp3_problem(c, n),
+            F.when(_is_tagged(c), "ID3 header and size").otherwise("MPEG frame sync"),
+        ),
+        (end.isin(".m4a", ".mp4"), mp4_problem(c, n), F.lit("MP4 file type box")),
+        (end == ".aac", aac_problem(c), F.lit("ADTS frame")),
+    ]
+    for each, check in {r[0]: r[3] for r in rules}.items():
+        cases.append((end == each, prefix_problem(c, each, rules), F.lit(check)))
+    problem = check = F.lit(None).cast("string")
+    for hit, found, checked in reversed(cases):
+        problem = F.when(hit, found).otherwise(problem)
+        check = F.when(hit, checked).otherwise(check)
+    odd = F.coalesce(is_wav & variant, F.lit(False))
+    rows = (
+        rows.withColumn("_odd", odd)
+        .withColumn("_problem", F.when(~F.col("_odd"), problem))
+        .withColumn("_check", F.when(F.col("_odd"), "WAVE variant is not checked").otherwise(check))
+    )
+    status = (
+        F.when(F.col("_odd") | F.col("_check").isNull(), "unknown")
+        .when(F.col("_problem").isNull(), "consistent")
+        .otherwise("inconsistent")
     )
-    for each in dict.fromkeys(r[0] for r in rules):
-        out = out.when(end == each, prefix_verdict(c, each, rules))
-    return rows.withColumn(name, out.otherwise(_unknown())).drop("_c", "_riff", "_wav")
+    passed = F.when(F.col("_problem").isNull(), F.col("_check"))
+    return rows.withColumn(
+        name,
+        F.struct(
+            status.alias("status"),
+            F.array_compact(F.array(passed)).alias("checks"),
+            F.array_compact(F.array("_problem")).alias("inconsistencies"),
+        ),
+    ).drop("_c", "_riff", "_wav", "_odd", "_problem", "_check")
 
 
 def with_wav_facts(

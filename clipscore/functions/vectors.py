@@ -65,8 +65,13 @@ def is_sound(vector: Column, width: int) -> Column:
 
 
 def pick(vector: Column, positions: list[int]) -> Column:
-    """Elements at zero-based positions."""
-    return F.transform(F.array(*map(F.lit, positions)), lambda i: F.get(vector, i))
+    """Elements at ascending zero-based positions.  The vector is the argument of the filter, not
+    part of its lambda, so an expression behind it is evaluated once and not per element."""
+    if sorted(set(positions)) != list(positions):
+        raise ValueError("positions must ascend")
+    wanted = set(positions)
+    keep = F.array(*[F.lit(i in wanted) for i in range(max(positions, default=0) + 1)])
+    return F.filter(vector, lambda _, i: F.coalesce(F.get(keep, i), F.lit(False)))
 
 
 def pick_by_name(vector: Column, names: tuple[str, ...], keep) -> Column:
