@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "tables", "signal", "selection", "metrics", "routing")
+MODULES = ("sources", "tables", "signal", "selection", "metrics", "routing", "models")
 
 
 def _catalogs():
