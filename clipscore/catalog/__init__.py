@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "tables", "signal", "selection", "metrics", "routing", "models")
+MODULES = (
+    "flagship", "sources", "tables", "signal", "selection", "metrics", "routing", "models",
+)
 
 
 def _catalogs():
@@ -20,4 +22,4 @@ def all_oracles() -> dict[str, str]:
 
 
 def flagship(spark, sf):
-    return all_queries()["i1_min_dcf"](spark, sf)
+    return all_queries()["flagship_blend_min_dcf"](spark, sf)

@@ -281,9 +281,10 @@ def out_of_fold(
     """Long out-of-fold scores (clip_id, label, grp, fold, model, score).
 
     ``folds`` maps ``on`` to a fold; ``makers`` maps a model name to a function from training rows
-    to something with ``score``.  ``df`` should be persisted: every fit reads it.
+    to something with ``score``.  Rows with their folds are persisted, as every fit reads them.
     """
-    placed = df.join(folds.select(*on, "fold"), list(on))
+    placed = df.join(folds.select(*on, "fold"), list(on)).persist()
+    placed.count()
 
     def one(fold: int, name: str):
         def run() -> DataFrame:
