@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipscore.functions.vectors import let
+
 # Magic bytes and header limits.
 FIRST_BYTES = 64
 ASF = "3026B2758E66CF11A6D900AA0062CE6C"
@@ -59,17 +61,12 @@ def _first_problem(rules: list[tuple[Column, str]]) -> Column:
 STATE = "struct<pos:bigint,problem:string,fmt:bigint,data:bigint>"
 
 
-def _let(value: Column, use) -> Column:
-    """Bind a value inside a fold, where no projection can hold it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _walk(content: Column, end: Column) -> Column:
     """Fold over RIFF chunks: where the walk stopped, the format chunk and the summed data size."""
 
     def advance(s: Column, chunk: Column) -> Column:
         pos, kind, size = s["pos"], F.substring(chunk, 1, 8), chunk_size(chunk)
-        return _let(
+        return let(
             F.struct(kind.alias("kind"), size.alias("size"), (pos + 8 + size + size % 2).alias("next")),
             lambda c: F.struct(
                 F.coalesce(c["next"], pos).alias("pos"),
@@ -90,7 +87,7 @@ def _walk(content: Column, end: Column) -> Column:
         return s["problem"].isNotNull() | (s["pos"] + 8 > end)
 
     def step(s: Column, _: Column) -> Column:
-        moved = _let(hex_at(content, s["pos"], 8), lambda chunk: advance(s, chunk))
+        moved = let(hex_at(content, s["pos"], 8), lambda chunk: advance(s, chunk))
         return F.when(stopped(s), s).otherwise(moved).cast(STATE)
 
     start = F.struct(

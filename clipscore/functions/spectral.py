@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clipscore.functions.audio import FLOOR, cosines, linear_bank
-from clipscore.functions.vectors import dot, total
+from clipscore.functions.vectors import dot, let, total
 
 
 def literal(values) -> Column:
@@ -48,13 +48,17 @@ def bandwidth(mag: Column, step: float) -> Column:
 
 def _bins_below(values: Column, target: Column) -> Column:
     """How many leading bins have a running sum below ``target``: one fold, no running array."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
-    def step(s: Column, v: Column) -> Column:
-        run = s["sum"] + v
-        return F.struct(run.alias("sum"), (s["n"] + (run < target).cast("int")).alias("n"))
+    def count(goal: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
-    return F.aggregate(values, start, step, lambda s: s["n"])
+        def step(s: Column, v: Column) -> Column:
+            run = s["sum"] + v
+            return F.struct(run.alias("sum"), (s["n"] + (run < goal).cast("int")).alias("n"))
+
+        return F.aggregate(values, start, step, lambda s: s["n"])
+
+    return let(target, count)
 
 
 def rolloff(mag: Column, step: float, share: float = 0.85) -> Column:
@@ -72,7 +76,7 @@ def flatness(mag: Column, bins: int) -> Column:
 def shares(mag: Column) -> Column:
     """Spectrum divided by its (floored) sum."""
     scale = F.greatest(total(mag), F.lit(FLOOR))
-    return F.transform(mag, lambda v: v / scale)
+    return let(scale, lambda t: F.transform(mag, lambda v: v / t))
 
 
 def flux(mag: Column, previous: Column) -> Column:
@@ -97,11 +101,14 @@ def cutoff_bin(energy: Column, share: float = 0.99) -> Column:
 def dct(values: Column, n: int, keep: int) -> Column:
     """First coefficients of the orthonormal DCT-II."""
     rows = F.array(*[literal(row) for row in cosines(n, keep)])
-    return F.transform(rows, lambda row: dot(row, values))
+    return let(values, lambda x: F.transform(rows, lambda row: dot(row, x)))
 
 
 def bank_energy(mag: Column, filters: int, bins: int) -> Column:
     """Log energy in equal-width triangular filters."""
     rows = F.array(*[literal(row) for row in linear_bank(filters, bins)])
-    power = _squares(mag)
-    return F.transform(rows, lambda row: F.ln(F.greatest(dot(row, power), F.lit(FLOOR))))
+
+    def energies(power: Column) -> Column:
+        return F.transform(rows, lambda row: F.ln(F.greatest(dot(row, power), F.lit(FLOOR))))
+
+    return let(_squares(mag), energies)

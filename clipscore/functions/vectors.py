@@ -98,3 +98,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+
+def let(value: Column, use) -> Column:
+    """Bind an expression to a lambda variable.  An outer expression mentioned inside a lambda body
+    is evaluated for every element (the optimizer may inline a projected column there as well); as
+    the argument of this one-element transform it is evaluated once per row."""
+    return F.get(F.transform(F.array(value), use), 0)
