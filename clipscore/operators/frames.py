@@ -40,10 +40,10 @@ def sign_change(x: Column, previous: Column) -> Column:
 
 
 def peak_normalized(df: DataFrame, column: str, name: str, key: str = "clip_id") -> DataFrame:
-    """Divide by the clip's peak.  The peaks are one row per clip; a hot clip meets its single peak
+    """Divide by the clip's peak (null for a silent clip).  The peaks are one row per clip; a hot clip meets its single peak
     row in the join instead of being gathered by a window."""
     peaks = df.groupBy(key).agg(F.max(F.abs(column)).alias("_peak"))
-    return df.join(peaks, key).withColumn(name, F.col(column) / F.col("_peak")).drop("_peak")
+    return df.join(peaks, key).withColumn(name, F.try_divide(F.col(column), F.col("_peak"))).drop("_peak")
 
 
 def derivatives(df: DataFrame, column: str, n: str = "n_frames", key: str = "clip_id", index: str = "frame_idx") -> DataFrame:

@@ -60,7 +60,7 @@ def with_class_weights(df: DataFrame, label: str = "label", costs: Costs = DEFAU
     rows = df.withColumn("_c", counts)
     real, spoof = F.col("_c.real"), F.col("_c.spoof")
     own = F.when(F.col(label) == 1, spoof).otherwise(real)
-    odds = (costs.fa_weight / real) / (costs.miss_weight / spoof)
+    odds = F.try_divide(costs.fa_weight * spoof, costs.miss_weight * real)
     return rows.select(
         *df.columns,
         ((real + spoof) / (2.0 * own)).alias("balanced"),

@@ -77,9 +77,10 @@ def score_curve(
 
 def _rates(curve: DataFrame) -> DataFrame:
     """Add decision rates at threshold = score: misses below it, false alarms at or above."""
-    return curve.withColumn("miss", F.col("spoof_before") / F.col("spoof_total")).withColumn(
-        "fa", (F.col("real_total") - F.col("real_before")) / F.col("real_total")
-    )
+    called = F.col("real_total") - F.col("real_before")
+    return curve.withColumn(
+        "miss", F.try_divide(F.col("spoof_before"), F.col("spoof_total"))
+    ).withColumn("fa", F.try_divide(called, F.col("real_total")))
 
 
 def _both_classes() -> Column:
@@ -193,13 +194,13 @@ def eer(curve: DataFrame, keys: list[str]) -> DataFrame:
 def _area() -> Column:
     """ROC area: each synthetic clip beats the real clips below it, and half of those tied."""
     wins = F.col("spoof") * (F.col("real_before") + F.col("real") / 2)
-    return F.sum(wins) / (F.max("real_total").cast("double") * F.max("spoof_total"))
+    return F.try_divide(F.sum(wins), F.max("real_total").cast("double") * F.max("spoof_total"))
 
 
 def _average_precision() -> Column:
     tp = F.col("spoof_total") - F.col("spoof_before")
     called = tp + F.col("real_total") - F.col("real_before")
-    return F.sum(F.col("spoof") / F.col("spoof_total") * (tp / called))
+    return F.sum(F.try_divide(F.col("spoof"), F.col("spoof_total")) * (tp / called))
 
 
 def auc(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -348,7 +349,7 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     # With S = sum n ln n: entropy H = ln N - S/N, mutual information = H_a + H_b - H_ab.
     return (
-        t.withColumn("expected", F.expr("pa * pb / (total * (total - 1) / 2)"))
+        t.withColumn("expected", F.expr("coalesce(try_divide(pa * pb, total * (total - 1) / 2), 0.0D)"))
         .withColumn("ha", F.expr("ln(total) - la / total"))
         .withColumn("hb", F.expr("ln(total) - lb / total"))
         .withColumn("mi", F.expr("ln(total) + (lab - la - lb) / total"))
