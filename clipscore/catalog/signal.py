@@ -376,7 +376,7 @@ def d11_band_energy(spark, sf):
 
 def dct_sql(source: str, n: int, low: int, high: int, value: str) -> str:
     return f"""SELECT clip_id, CAST(k - {low} AS INT) AS pos,
- round(sum({value}*cos(pi()*k*(2*i+1)/(2e0*{n})))*sqrt(CASE WHEN k = 0 THEN 1e0 ELSE 2e0 END/{n}e0), 6) + 0e0 AS value
+ {s6(f"sum({value}*cos(pi()*k*(2*i+1)/(2e0*{n})))*sqrt(CASE WHEN k = 0 THEN 1e0 ELSE 2e0 END/{n}e0)")} AS value
  FROM {source}, range({low}, {high}) q(k) GROUP BY clip_id, k"""
 
 
@@ -473,7 +473,7 @@ def vector_sql(source: str, columns: list[str]) -> str:
     for i, c in enumerate(columns):
         parts.append(f"SELECT clip_id, {2 * i} AS pos, avg({c}) AS v FROM {source} GROUP BY clip_id")
         parts.append(f"SELECT clip_id, {2 * i + 1}, stddev_pop({c}) FROM {source} GROUP BY clip_id")
-    return "SELECT clip_id, pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) + 0e0 AS value FROM (" + " UNION ALL ".join(parts) + ") q"
+    return f"SELECT clip_id, pos, {s6('CAST(v AS FLOAT)')} AS value FROM (" + " UNION ALL ".join(parts) + ") q"
 
 
 @catalog.add(
@@ -528,7 +528,7 @@ def e4_window_trend(spark, sf):
 @catalog.add(
     "e5_temporal_vector",
     with_(views.FRAMES, WIN)
-    + """ SELECT clip_id, pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) + 0e0 AS value FROM (
+    + f""" SELECT clip_id, pos, {s6('CAST(v AS FLOAT)')} AS value FROM (
  SELECT clip_id, CAST(4*win AS INT) AS pos, xm AS v FROM ws UNION ALL SELECT clip_id, CAST(4*win+1 AS INT), xs FROM ws
  UNION ALL SELECT clip_id, CAST(4*win+2 AS INT), zm FROM ws UNION ALL SELECT clip_id, CAST(4*win+3 AS INT), zs FROM ws
  UNION ALL SELECT clip_id, 32, tx FROM tr UNION ALL SELECT clip_id, 33, tz FROM tr) q""",
