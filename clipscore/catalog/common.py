@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipscore.session import ship
+
 
 # Added before rounding in both engines.  Averages of short decimals often lie exactly halfway
 # between two rounded values, where the order of summation would decide.
@@ -37,7 +41,13 @@ class Catalog:
         def register(fn):
             if key in self.queries:
                 raise KeyError(f"duplicate query key {key}")
-            self.queries[key] = fn
+
+            @wraps(fn)
+            def query(spark: SparkSession, sf: str) -> DataFrame:
+                ship(spark)
+                return fn(spark, sf)
+
+            self.queries[key] = query
             if sql is not None:
                 self.oracles[key] = sql
             return fn

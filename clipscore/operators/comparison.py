@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipscore.operators import metrics as M
+from clipscore.operators.ordered import largest_key
 
 # Blended scores are rounded before equal values are merged, so float noise cannot split a tie.
 BLEND_DECIMALS = 12
@@ -28,7 +29,8 @@ def weight_sweep(
     grid = with_grid(df, "weight", weights)
     grid = grid.withColumn("score", blended(F.col("weight"), F.col(first), F.col(second)))
     keys = ["weight", *fold_keys]
-    aucs = M.auc(M.score_curve(grid, keys), keys)
+    at_most = largest_key(df, fold_keys)
+    aucs = M.auc(M.score_curve(grid, keys, at_most=at_most), keys)
     return aucs.groupBy("weight").agg(
         F.avg("auc").alias("mean_auc"), F.min("auc").alias("worst_auc")
     )

@@ -53,24 +53,28 @@ def score_curve(
     label: str = "label",
     score: str = "score",
     hot_rows: int = HOT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct score) with cumulative class counts.
 
     Columns: ``real``/``spoof`` at this score, ``*_before`` strictly below it, ``*_total`` and
-    ``prev_*`` at the next lower score.  Equal scores are merged before the shuffle.
+    ``prev_*`` at the next lower score.  Equal scores are merged before the shuffle.  ``at_most``
+    is a row count no key exceeds, if the caller knows one; it saves the size check of the plan.
     """
     points = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(1 - F.col(label)).alias("real"), F.sum(label).alias("spoof")
     )
-    distinct = df.groupBy(*keys).agg(F.approx_count_distinct(score, 0.02).alias("n"))
-    largest = distinct.agg(F.max("n")).first()[0] or 0
+    largest = at_most
+    if largest is None or largest > hot_rows:
+        distinct = df.groupBy(*keys).agg(F.approx_count_distinct(score, 0.02).alias("n"))
+        largest = int(1.1 * (distinct.agg(F.max("n")).first()[0] or 0))
     return running(
         points,
         keys,
         ["score"],
         {"real": F.col("real"), "spoof": F.col("spoof")},
         prev=["real", "spoof"],
-        largest=int(largest * 1.1),
+        largest=largest,
         hot_rows=hot_rows,
     )
 
@@ -116,8 +120,9 @@ def min_dcf(
     score: str = "score",
     costs: Costs = DEFAULT,
     hot_rows: int = HOT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
-    return min_dcf_of_curve(score_curve(df, keys, label, score, hot_rows), keys, costs)
+    return min_dcf_of_curve(score_curve(df, keys, label, score, hot_rows, at_most), keys, costs)
 
 
 def min_dcf_value(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clipscore.functions.scores import REAL_WEIGHT, container_adjusted, mix
 from clipscore.operators import metrics as M
 from clipscore.operators.comparison import blended, with_grid
+from clipscore.operators.ordered import largest_key
 
 # Candidate weights and the smallest cluster with a policy of its own.
 ALPHAS = [i / 20 for i in range(21)]
@@ -28,7 +29,8 @@ def alpha_costs(df: DataFrame, keys: list[str], a: str, b: str, label: str = "la
     """
     grid = with_grid(df.select(*keys, label, a, b), "alpha", ALPHAS)
     grid = grid.withColumn("score", blended(F.col("alpha"), F.col(a), F.col(b)))
-    return M.min_dcf(grid, [*keys, "alpha"], label)
+    # Every (key, alpha) curve has at most as many points as the key has rows.
+    return M.min_dcf(grid, [*keys, "alpha"], label, at_most=largest_key(df, keys))
 
 
 def select_alpha(df: DataFrame, keys: list[str], a: str, b: str, label: str = "label") -> DataFrame:
@@ -46,7 +48,8 @@ def weight_costs(
     rows = with_grid(rows, "t", TEMPORAL_WEIGHTS)
     pulled = F.when(F.col(status) == "consistent", F.col(base) * (1.0 - F.col("m")))
     score = blended(F.col("t"), F.col(temporal), pulled.otherwise(F.col(base)))
-    return M.min_dcf(rows.withColumn("score", score), [*keys, "m", "t"])
+    rows = rows.withColumn("score", score)
+    return M.min_dcf(rows, [*keys, "m", "t"], at_most=largest_key(df, keys))
 
 
 def select_weights(
@@ -169,10 +172,17 @@ def fit_router(
     if centers is None:
         centers = centroids(standardized(df, stats, vector, "_z"), cluster, "_z")
     table = cluster_alphas(df, cluster, a, b, min_size)
+
+    def fixed(part: DataFrame) -> DataFrame:
+        """Fitted state is one row per cluster; held as values, scoring does not refit it."""
+        return df.sparkSession.createDataFrame(part.collect(), part.schema)
+
+    table = fixed(table)
     first = table.first()
     if first is None:
         raise ValueError("no rows to fit a router on")
-    return Router(stats, centers, table.select("cluster", "alpha", "own", "size"), first["overall"])
+    alphas = table.select("cluster", "alpha", "own", "size")
+    return Router(fixed(stats), fixed(centers), alphas, first["overall"])
 
 
 def routed(df: DataFrame, router: Router, vector: str, a: str, b: str) -> DataFrame:
