@@ -190,20 +190,27 @@ def j2_group_split_scores(spark, sf):
     return scores.select(F.col("seed").cast("long").alias("seed"), r6("score").alias("score"))
 
 
-def greedy_sql(where: str, key: str, folds: int, order: str) -> str:
-    """Sequential greedy packing as a recursive query."""
-    zeros = ", ".join(["0"] * folds)
-    return f"""sizes AS (SELECT {key} AS key, grp, count(*) AS n, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {order}) AS i
- FROM scored {where} GROUP BY {key}, grp),
-pack(key, i, load, grp, n, fold) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST([{zeros}] AS BIGINT[]), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(-1 AS INT) FROM sizes
+def pack_sql(sizes: str, folds: str, name: str = "pack") -> str:
+    """Sequential greedy packing as a recursive query over ``sizes`` (key, grp, n, i)."""
+    zeros = f"list_transform(range(0, {folds}), lambda z: CAST(0 AS BIGINT))"
+    return f"""{name}(key, i, load, grp, n, fold) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), {zeros}, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(-1 AS INT) FROM {sizes}
  UNION ALL SELECT p.key, s.i, list_transform(p.load, lambda x, k: CASE WHEN k = list_position(p.load, list_min(p.load)) THEN x + s.n ELSE x END),
- s.grp, s.n, CAST(list_position(p.load, list_min(p.load)) - 1 AS INT) FROM pack p JOIN sizes s ON s.key = p.key AND s.i = p.i + 1)"""
+ s.grp, s.n, CAST(list_position(p.load, list_min(p.load)) - 1 AS INT) FROM {name} p JOIN {sizes} s ON s.key = p.key AND s.i = p.i + 1)"""
+
+
+def greedy_sql(where: str, key: str, folds: int, order: str) -> str:
+    sizes = f"""sizes AS (SELECT {key} AS key, grp, count(*) AS n, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {order}) AS i
+ FROM scored {where} GROUP BY {key}, grp)"""
+    return sizes + ",\n" + pack_sql("sizes", str(folds))
+
+
+def recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts)
 
 
 @catalog.add(
     "j3_greedy_real_folds",
-    "WITH RECURSIVE "
-    + ",\n".join([views.SCORED, greedy_sql("WHERE label = 0", "label", 4, "grp")])
+    recursive(views.SCORED, greedy_sql("WHERE label = 0", "label", 4, "grp"))
     + " SELECT grp, n, fold FROM pack WHERE i > 0",
 )
 def j3_greedy_real_folds(spark, sf):
@@ -213,8 +220,9 @@ def j3_greedy_real_folds(spark, sf):
 
 @catalog.add(
     "j4_seeded_real_folds",
-    "WITH RECURSIVE "
-    + ",\n".join([views.SCORED, greedy_sql("WHERE label = 0", "label", 4, "md5(concat('17:', grp)), grp")])
+    recursive(
+        views.SCORED, greedy_sql("WHERE label = 0", "label", 4, "md5(concat('17:', grp)), grp")
+    )
     + " SELECT grp, n, fold FROM pack WHERE i > 0",
 )
 def j4_seeded_real_folds(spark, sf):
@@ -225,8 +233,7 @@ def j4_seeded_real_folds(spark, sf):
 
 @catalog.add(
     "j5_label_folds",
-    "WITH RECURSIVE "
-    + ",\n".join([views.SCORED, greedy_sql("", "label", 5, "grp")])
+    recursive(views.SCORED, greedy_sql("", "label", 5, "grp"))
     + " SELECT key AS label, grp, n, fold FROM pack WHERE i > 0",
 )
 def j5_label_folds(spark, sf):
@@ -247,7 +254,22 @@ def j6_generator_paired_folds(spark, sf):
     return out.where("label = 1").select("partition", "grp", "fold")
 
 
-@catalog.add("j6_paired_fold_sizes")
+PAIRED = (
+    """gen AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i FROM (SELECT DISTINCT grp FROM scored WHERE label = 1) q)""",
+    """rs AS (SELECT p AS key, grp, n, row_number() OVER (PARTITION BY p ORDER BY n DESC,
+ CASE p WHEN 0 THEN grp WHEN 1 THEN md5(concat('17:', grp)) ELSE md5(concat('29:', grp)) END, grp) AS i
+ FROM (SELECT grp, count(*) AS n FROM scored WHERE label = 0 GROUP BY grp) q, range(0, 3) r(p))""",
+    pack_sql("rs", "(SELECT count(*) FROM gen)"),
+    """folds AS (SELECT CAST(key AS INT) AS partition, grp, fold FROM pack WHERE i > 0 UNION ALL
+ SELECT CAST(p AS INT), grp, CAST((i - p + 3*(SELECT count(*) FROM gen)) % (SELECT count(*) FROM gen) AS INT) FROM gen, range(0, 3) r(p))""",
+)
+
+
+@catalog.add(
+    "j6_paired_fold_sizes",
+    recursive(views.SCORED, *PAIRED)
+    + " SELECT partition, fold, label, count(*) AS n FROM scored s JOIN folds f ON s.grp = f.grp GROUP BY partition, fold, label",
+)
 def j6_paired_fold_sizes(spark, sf):
     """Rows per partition, fold and class; every row sits in exactly one fold of a partition."""
     rows = views.scored(spark, sf)
@@ -256,7 +278,12 @@ def j6_paired_fold_sizes(spark, sf):
     return joined.groupBy("partition", "fold", "label").agg(F.count("*").alias("n"))
 
 
-@catalog.add("j7_stratified_group_folds")
+# Groups of the scored manifest hold one class each, so the stratum is the label.
+@catalog.add(
+    "j7_stratified_group_folds",
+    recursive(views.SCORED, greedy_sql("", "label", 5, "md5(concat('2026:', grp)), grp"))
+    + " SELECT grp, n, fold FROM pack WHERE i > 0",
+)
 def j7_stratified_group_folds(spark, sf):
     return splits.stratified_group_folds(views.scored(spark, sf), "label", "grp", 5, 2026)
 
@@ -277,7 +304,17 @@ def j8_group_holdouts(spark, sf):
     return splits.group_holdouts(views.scored(spark, sf), "label", "grp", 0.25, [1, 2, 3, 4, 5])
 
 
-@catalog.add("j9_nested_folds")
+@catalog.add(
+    "j9_nested_folds",
+    recursive(
+        views.SCORED,
+        greedy_sql("", "label", 5, "md5(concat('42:', grp)), grp"),
+        """inner_sizes AS (SELECT o*10 + key AS key, grp, n, row_number() OVER (PARTITION BY o*10 + key
+ ORDER BY n DESC, md5(concat(CAST(o + 43 AS VARCHAR), ':', grp)), grp) AS i FROM pack, range(0, 5) r(o) WHERE i > 0 AND fold <> o)""",
+        pack_sql("inner_sizes", "3", "nested"),
+    )
+    + ' SELECT CAST(key // 10 AS INT) AS "outer", fold AS "inner", grp FROM nested WHERE i > 0',
+)
 def j9_nested_folds(spark, sf):
     return splits.nested_folds(views.scored(spark, sf), "label", "grp", 5, 3, 42)
 
@@ -305,7 +342,18 @@ def j10_completeness(spark, sf):
     )
 
 
-@catalog.add("j11_corpus_expansion")
+@catalog.add(
+    "j11_corpus_expansion",
+    recursive(
+        views.SCORED,
+        greedy_sql("", "label", 5, "md5(concat('42:', grp)), grp"),
+        "keep AS (SELECT s.* FROM scored s JOIN pack p ON s.grp = p.grp WHERE p.i > 0 AND p.fold <> 0)",
+    )
+    + """ SELECT training, label, count(*) AS n, count(DISTINCT grp) AS groups FROM (
+ SELECT 'original' AS training, label, grp FROM keep WHERE clip_id % 2 = 0
+ UNION ALL SELECT 'speakers', label, grp FROM keep WHERE clip_id % 2 = 0 OR grp LIKE 'real:%'
+ UNION ALL SELECT 'expanded', label, grp FROM keep) q GROUP BY training, label""",
+)
 def j11_corpus_expansion(spark, sf):
     """Training sizes of three corpora for the same held-out fold groups."""
     from clipscore.operators import joins

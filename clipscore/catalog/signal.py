@@ -75,11 +75,24 @@ def c1_wav_walk(spark, sf):
     return out.select("clip_id", F.col("container.status").alias("status"))
 
 
-@catalog.add("c1_wav_reasons")
+REASONS = {
+    0: "RIFF/WAVE chunks and PCM alignment", 1: "RIFF size is larger than the file",
+    2: "not a RIFF/WAVE header", 3: "WAVE variant is not checked",
+    4: "sample width and alignment disagree", 5: "RIFF/WAVE chunks and PCM alignment",
+    6: "channels, rate or alignment out of range", 7: "RIFF/WAVE chunks and PCM alignment",
+}
+REASON_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in REASONS.items()) + " END"
+
+
+@catalog.add(
+    "c1_wav_reasons",
+    f"SELECT {FAULT_SQL} AS status, {REASON_SQL} AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
+)
 def c1_wav_reasons(spark, sf):
     out = C.with_verdict(faulty_wavs(spark, sf))
     reason = F.coalesce(F.get("container.inconsistencies", 0), F.get("container.checks", 0))
-    return out.groupBy("container.status", reason.alias("reason")).agg(F.count("*").alias("n"))
+    status = F.col("container.status").alias("status")
+    return out.groupBy(status, reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 STUBS = (
@@ -596,7 +609,12 @@ def e8_encoding_vector(spark, sf):
     return elements(good, "encoding", "clip_id")
 
 
-@catalog.add("e_clip_views")
+@catalog.add(
+    "e_clip_views",
+    """WITH d AS (SELECT doc_id, strlen(text)*4 AS n FROM documents)
+ SELECT doc_id AS clip_id, least(n, 1920000) AS n_samples, true AS base, true AS lfcc, true AS temporal, true AS encoding, true AS quality
+ FROM d WHERE n >= 8000""",
+)
 def e_clip_views(spark, sf):
     """All five views of every admitted clip from one pass over the bytes."""
     clips = views.clips(spark, sf).withColumn("suffix", F.lit(".wav"))
