@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import mixing, sharding
+from clipscore.llm import bpe, mixing, secret_scan, sharding
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -24,12 +24,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+
+
 @query("op6_poisson_mix", mixing.mix_sql(MIX_WEIGHTS, other=1.0))
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty sources and the rest at equal weight, as much text as before."""
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, other=1.0)
 
 
+@query("op7_secret_spans")
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_extendible_shards", sharding.shard_sql(SHARD_BYTES))
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most a mebibyte, small enough that the smallest tables split too."""
