@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipscore.llm.common import in_arrow
+
 _MASK = (1 << 64) - 1
 _STRIDE = 0x9E3779B97F4A7C15
 _CACHE_ENTRIES = 1 << 18  # pre-tokens a worker remembers; it only saves time
@@ -167,7 +169,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
                     start, held, lengths, values = i + 1, 0, [], []
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep, "text"), run, schema)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -189,7 +191,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", decoded binary"
-    return tokens.mapInArrow(run, schema)
+    return in_arrow(tokens, run, schema)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

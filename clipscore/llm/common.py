@@ -39,3 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, also when a lambda inside uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with the package sent along, so that workers find it wherever the driver started."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import bpe, mixing, secret_scan, sharding
+from clipscore.llm import bpe, langid, mixing, secret_scan, sharding
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -40,6 +40,11 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op10_extendible_shards", sharding.shard_sql(SHARD_BYTES))
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most a mebibyte, small enough that the smallest tables split too."""
