@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import bpe, langid, mixing, secret_scan, sharding
+from clipscore.llm import bpe, langid, mixing, secret_scan, sharding, syncmers
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_syncmer_fingerprints")
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
