@@ -194,14 +194,14 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return in_arrow(tokens, run, schema)
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, derived from what :func:`encode` and :func:`decode` return."""
-    tokens = encode(docs, ranks, pattern)
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ids, n_tokens, ids_sha256, decoded_sha256, from what :func:`encode` and :func:`decode` return."""
+    tokens = encode(docs, ranks, pattern, keep)
     digest = tokens.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids",
+        "*", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
     )
-    return decode(digest, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(digest, ranks).select(*keep, "ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipscore.llm.common import in_arrow
+from clipscore.llm.common import DOCUMENT_COLUMNS, in_arrow
 
 UNKNOWN = "und"
 ORDER = 3
@@ -262,6 +262,8 @@ def predict(docs: DataFrame, model: Model | None, *, tolerance: float = 8.0, kee
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
+    columns = [*keep] if "text" in keep else [*keep, "text"]
+    text_at = columns.index("text")
 
     def predicted(m: Model | None, texts: list[str]):
         letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
@@ -283,7 +285,7 @@ def predict(docs: DataFrame, model: Model | None, *, tolerance: float = 8.0, kee
         for batch in batches:
             start, held, texts = 0, 0, []
             for i in range(batch.num_rows):
-                texts.append(batch.column(len(keep))[i].as_py() or "")
+                texts.append(batch.column(text_at)[i].as_py() or "")
                 held += len(texts[-1])
                 if held >= _BLOCK_CHARS or i == batch.num_rows - 1:
                     lang, score, accepted, bits = predicted(m, texts)
@@ -295,7 +297,7 @@ def predict(docs: DataFrame, model: Model | None, *, tolerance: float = 8.0, kee
                     start, held, texts = i + 1, 0, []
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, accepted boolean, bits double"
-    return in_arrow(docs.select(*keep, "text"), run, schema)
+    return in_arrow(docs.select(*columns), run, schema)
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -307,3 +309,13 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted, learnt from the documents that are not held out alone."""
     model = fit(docs.where(~held_out()), **bounds)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def keep_accepted(docs: DataFrame, **bounds) -> DataFrame:
+    """The documents whose prediction is accepted, with the columns of documents.
+
+    The model learns from all labelled documents.  A null ``lang`` is filled with the prediction; others stay.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    kept = predict(docs, fit(docs, **bounds), keep=DOCUMENT_COLUMNS).where("accepted")
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*DOCUMENT_COLUMNS)

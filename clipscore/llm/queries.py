@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import bpe, langid, mixing, secret_scan, sharding, syncmers
+from clipscore.llm import bpe, langid, mixing, secret_scan, sharding, simhash, syncmers
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -29,9 +29,14 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op4_simhash_groups")
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary()).drop("ids")
 
 
 @query("op6_poisson_mix", mixing.mix_sql(MIX_WEIGHTS, other=1.0))
