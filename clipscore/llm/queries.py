@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import bpe, langid, mixing, secret_scan, sharding, simhash, syncmers
+from clipscore.llm import bpe, hnsw, langid, mixing, secret_scan, sharding, simhash, syncmers
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -29,6 +29,11 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op2_hnsw_neighbours")
+def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_simhash_groups")
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
