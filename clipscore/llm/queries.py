@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import bpe, hnsw, langid, mixing, secret_scan, sharding, simhash, syncmers
+from clipscore.llm import bpe, hnsw, langid, mixing, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, syncmers
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -34,6 +34,11 @@ def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op4_simhash_groups")
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +65,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op10_extendible_shards", sharding.shard_sql(SHARD_BYTES))
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most a mebibyte, small enough that the smallest tables split too."""
