@@ -47,7 +47,8 @@ costed AS (SELECT {k}t, accept_all, pb*1e0/np AS miss, (nr-rb)*1e0/nr AS fa,
 best AS (SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY cost, accept_all, t) AS pick FROM costed) q
          WHERE pick = 1),
 roc AS (SELECT {k}t, (nr-rb)*1e0/nr AS fpr, 1e0 - pb*1e0/np AS tpr FROM cum
-        WHERE (rb + r = nr AND pb + p = np) OR r0 IS NULL OR r0 <> r OR p0 <> p),
+        WHERE (rb + r = nr AND pb + p = np) OR r0 IS NULL OR r0 <> r OR p0 <> p
+        UNION ALL SELECT {k}CAST('Infinity' AS DOUBLE), 0e0, 0e0 FROM cum {group}),
 eer AS (SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY abs(fpr-(1e0-tpr)), t DESC) AS pick FROM roc) q
         WHERE pick = 1)"""
 

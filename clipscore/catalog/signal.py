@@ -217,11 +217,11 @@ def c8_wav_facts(spark, sf):
 @catalog.add(
     "a16_decode",
     f"""WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents)
- SELECT doc_id AS clip_id, CASE WHEN n*4 < 8000 THEN 'shorter than 0.5 seconds or not mono' END AS reason,
- CASE WHEN n*4 >= 8000 THEN least(n*4, 1920000) END AS samples FROM d""",
+ SELECT doc_id AS clip_id, CASE WHEN n*4 < 8000 THEN 'under half a second of mono sound' END AS reason,
+ CASE WHEN n*4 >= 8000 THEN n*4 END AS samples FROM d""",
 )
 def a16_decode(spark, sf):
-    """8-bit PCM at 4 kHz decoded to 16 kHz: four output samples per byte, two minutes at most."""
+    """8-bit PCM at 4 kHz decoded to 16 kHz: four output samples per byte of the whole clip."""
     out = CF.decoded(views.clips(spark, sf))
     n = F.when(F.col("reason").isNull(), F.size("wave").cast("long"))
     return out.select("clip_id", "reason", n.alias("samples"))
@@ -230,7 +230,7 @@ def a16_decode(spark, sf):
 @catalog.add(
     "a17_admission",
     with_(views.FRAMES)
-    + """ SELECT clip_id, CASE WHEN count(*) < 60 THEN 'too short' WHEN clip_id % 9 = 4 THEN 'silent or invalid' END AS reason FROM frames GROUP BY clip_id""",
+    + """ SELECT clip_id, CASE WHEN count(*) < 60 THEN 'too short' WHEN clip_id % 9 = 4 THEN 'silence or non-finite samples' END AS reason FROM frames GROUP BY clip_id""",
 )
 def a17_admission(spark, sf):
     """Planted faults: NaN or silence in some series; 60 samples stand for half a second."""
@@ -244,7 +244,7 @@ def a17_admission(spark, sf):
 
 @catalog.add(
     "d1_stft_frames",
-    """WITH d AS (SELECT doc_id, least(strlen(text)*4, 1920000) AS n FROM documents)
+    """WITH d AS (SELECT doc_id, strlen(text)*4 AS n FROM documents)
  SELECT doc_id AS clip_id, 1 + n // 512 AS frames, 513 AS bins FROM d WHERE n >= 8000""",
 )
 def d1_stft_frames(spark, sf):
@@ -575,7 +575,7 @@ def e6_quality_vector(spark, sf):
     "e7_encoding_traces",
     with_(
         views.FRAMES,
-        """lv AS (SELECT clip_id, frame_idx, CAST(greatest(-32768, least(32767, round_even(x*32768, 0))) AS INT) AS l FROM frames WHERE frame_idx % greatest(1, n_frames // 20) = 0)""",
+        """lv AS (SELECT clip_id, frame_idx, CAST(greatest(-32768, least(32767, round_even(x*32768, 0))) AS INT) AS l FROM frames)""",
         "rp AS (SELECT clip_id, l, l = lag(l) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS same FROM lv)",
         """a AS (SELECT clip_id, coalesce(avg(CASE WHEN same IS NOT NULL THEN CASE WHEN same THEN 1e0 ELSE 0e0 END END), 0e0) AS rep,
  count(DISTINCT l)*1e0/count(*) AS uniq FROM rp GROUP BY clip_id)""",
@@ -584,8 +584,8 @@ def e6_quality_vector(spark, sf):
     + f""" SELECT a.clip_id, {s6('clipf')} AS clip_fraction, {s6('zerof')} AS zero_fraction, {s6('rep')} AS repeat_fraction, {s6('uniq')} AS unique_fraction FROM a JOIN b ON a.clip_id = b.clip_id""",
 )
 def e7_encoding_traces(spark, sf):
-    """Strided to about 20 samples per series here; 200,000 for clips."""
-    out = Fr.encoding_traces(views.frames(spark, sf), "x", target=20)
+    """Over every sample of a series."""
+    out = Fr.encoding_traces(views.frames(spark, sf), "x")
     names = ("clip_fraction", "zero_fraction", "repeat_fraction", "unique_fraction")
     return out.select("clip_id", *[r6(c).alias(c) for c in names])
 
@@ -612,7 +612,7 @@ def e8_encoding_vector(spark, sf):
 @catalog.add(
     "e_clip_views",
     """WITH d AS (SELECT doc_id, strlen(text)*4 AS n FROM documents)
- SELECT doc_id AS clip_id, least(n, 1920000) AS n_samples, true AS base, true AS lfcc, true AS temporal, true AS encoding, true AS quality
+ SELECT doc_id AS clip_id, n AS n_samples, true AS base, true AS lfcc, true AS temporal, true AS encoding, true AS quality
  FROM d WHERE n >= 8000""",
 )
 def e_clip_views(spark, sf):

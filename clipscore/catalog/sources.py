@@ -367,7 +367,7 @@ BYTES = "CAST(size AS BIGINT) * CASE WHEN clip_id % 9 = 4 THEN 1000000 ELSE 1 EN
         """s AS (SELECT clip_id, member, CASE
  WHEN len(list_filter(parts, lambda x: x = '..' OR NOT regexp_full_match(x, '[A-Za-z0-9_.-]+'))) > 0 THEN 'unsafe path'
  WHEN len(parts) <> 2 OR NOT regexp_full_match(parts[-1], 'LJ[0-9]{3}-[0-9]{4}[.]wav') THEN 'ignored'
- WHEN bytes > 30000000 THEN 'too large' ELSE 'accepted' END AS status FROM p)""",
+ WHEN bytes > 30000000 THEN 'too large' WHEN count(*) OVER (PARTITION BY member) > 1 THEN 'duplicate member' ELSE 'accepted' END AS status FROM p)""",
     )
     + " SELECT clip_id, member, status FROM s",
 )
@@ -375,7 +375,7 @@ def a15_member_rules(spark, sf):
     rows = views.containers(spark, sf).select(
         "clip_id", F.expr(MEMBER).alias("member"), F.expr(BYTES).alias("bytes")
     )
-    out = L.check_members(rows, (2,), L.REAL_MEMBER, size="bytes")
+    out = L.check_members(rows, (2,), L.REAL_MEMBER, size="bytes", max_bytes=30_000_000)
     return out.select("clip_id", "member", "status")
 
 

@@ -9,7 +9,6 @@ import numpy as np
 
 # Signal conventions.
 RATE = 16_000
-MAX_SECONDS = 120
 MIN_SAMPLES = RATE // 2
 MIN_PEAK = 1e-6
 FLOOR = 1e-10
@@ -17,8 +16,8 @@ N_MELS, N_MFCC, N_CHROMA, N_LFCC, N_LINEAR = 128, 20, 12, 20, 64
 TOP_DB = 80.0
 
 
-def pcm_samples(content: bytes) -> tuple[np.ndarray, int]:
-    """First two minutes of a RIFF PCM file as mono floats, with the sample rate."""
+def pcm_samples(content: bytes, seconds: int | None = None) -> tuple[np.ndarray, int]:
+    """A RIFF PCM file, or its first ``seconds``, as mono floats, with the sample rate."""
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     pos, fmt, body = 12, None, None
@@ -38,7 +37,8 @@ def pcm_samples(content: bytes) -> tuple[np.ndarray, int]:
     if code not in (1, 3) or bits % 8 or not 1 <= channels or not rate or width not in (1, 2, 3, 4):
         raise ValueError("only integer or 32-bit float PCM is supported")
     frame = width * channels
-    body = body[: min(len(body) // frame, rate * MAX_SECONDS) * frame]
+    frames = len(body) // frame if seconds is None else min(len(body) // frame, rate * seconds)
+    body = body[: frames * frame]
     if code == 3:
         if width != 4:
             raise ValueError("only 32-bit float PCM is supported")
@@ -83,15 +83,16 @@ def resampled(x: np.ndarray, rate: int, half: int = 16) -> np.ndarray:
 def rejection(x: np.ndarray) -> str | None:
     """Why a waveform is not admitted, or None."""
     if x.ndim != 1 or x.size < MIN_SAMPLES:
-        return "shorter than 0.5 seconds or not mono"
+        return "under half a second of mono sound"
     if not np.isfinite(x).all() or np.abs(x).max() < MIN_PEAK:
-        return "silent or invalid"
+        return "silence or non-finite samples"
     return None
 
 
-def decode(content: bytes) -> np.ndarray:
-    x, rate = pcm_samples(content)
-    return resampled(x, rate)[: RATE * MAX_SECONDS]
+def decode(content: bytes, seconds: int | None = None) -> np.ndarray:
+    """The whole clip at 16 kHz, or its first ``seconds``."""
+    x, rate = pcm_samples(content, seconds)
+    return resampled(x, rate)
 
 
 def lowpass(x: np.ndarray, cutoff: float, pad: int = 4096) -> np.ndarray:

@@ -143,7 +143,7 @@ def admission(df: DataFrame, column: str, minimum: int, key: str = "clip_id") ->
         .select(
             key,
             F.when(F.col("n") < minimum, "too short")
-            .when((F.col("bad") > 0) | (F.col("peak") < 1e-6), "silent or invalid")
+            .when((F.col("bad") > 0) | (F.col("peak") < 1e-6), "silence or non-finite samples")
             .alias("reason"),
         )
     )
@@ -167,16 +167,14 @@ def signal_levels(df: DataFrame, column: str, key: str = "clip_id") -> DataFrame
 
 
 def encoding_traces(
-    df: DataFrame, column: str, n: str = "n_frames", key: str = "clip_id", index: str = "frame_idx", target: int = 200_000
+    df: DataFrame, column: str, key: str = "clip_id", index: str = "frame_idx"
 ) -> DataFrame:
-    """Per clip: clipped and near-zero shares, and on 16-bit levels strided to about ``target``
-    samples the share of repeats and of distinct levels."""
+    """Per clip: clipped and near-zero shares, and the share of repeats and of distinct values among
+    its 16-bit levels."""
     x = F.col(column)
     level = F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(x * 32768))).cast("int")
-    stride = F.greatest(F.lit(1), F.floor(F.col(n) / target))
-    levels = df.withColumn("level", level).where(F.col(index) % stride == 0)
-    levels = levels.withColumn("pick", F.floor(F.col(index) / stride))
-    pairs = with_previous(levels, "level", key, "pick")
+    levels = df.withColumn("level", level)
+    pairs = with_previous(levels, "level", key, index)
     same = F.when(F.col("prev_level").isNotNull(), (F.col("level") == F.col("prev_level")).cast("double"))
     repeats = pairs.groupBy(key).agg(F.coalesce(F.avg(same), F.lit(0.0)).alias("repeat_fraction"))
     # Distinct levels through a (clip, level) pre-aggregate: at most 65,536 rows per clip.

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipscore.operators.ordered import HOT_ROWS, running
+from clipscore.operators.ordered import HOT_ROWS, RANGES, running, score_range
 
 
 @dataclass(frozen=True)
@@ -52,30 +52,27 @@ def score_curve(
     keys: list[str],
     label: str = "label",
     score: str = "score",
-    hot_rows: int = HOT_ROWS,
-    at_most: int | None = None,
+    ranges: int = RANGES,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct score) with cumulative class counts.
 
     Columns: ``real``/``spoof`` at this score, ``*_before`` strictly below it, ``*_total`` and
-    ``prev_*`` at the next lower score.  Equal scores are merged before the shuffle.  ``at_most``
-    is a row count no key exceeds, if the caller knows one; it saves the size check of the plan.
+    ``prev_*`` at the next lower score.  Equal scores are merged before the shuffle; a
+    key's curve is cut into ``ranges`` of its scores, whatever its size.  ``weight`` names a column that
+    says how many clips a row stands for.
     """
+    times = F.lit(1) if weight is None else F.col(weight)
     points = df.groupBy(*keys, F.col(score).alias("score")).agg(
-        F.sum(1 - F.col(label)).alias("real"), F.sum(label).alias("spoof")
+        F.sum((1 - F.col(label)) * times).alias("real"), F.sum(F.col(label) * times).alias("spoof")
     )
-    largest = at_most
-    if largest is None or largest > hot_rows:
-        distinct = df.groupBy(*keys).agg(F.approx_count_distinct(score, 0.02).alias("n"))
-        largest = int(1.1 * (distinct.agg(F.max("n")).first()[0] or 0))
     return running(
         points,
         keys,
         ["score"],
         {"real": F.col("real"), "spoof": F.col("spoof")},
         prev=["real", "spoof"],
-        largest=largest,
-        hot_rows=hot_rows,
+        place=score_range(F.col("score").cast("double"), ranges),
     )
 
 
@@ -119,10 +116,10 @@ def min_dcf(
     label: str = "label",
     score: str = "score",
     costs: Costs = DEFAULT,
-    hot_rows: int = HOT_ROWS,
-    at_most: int | None = None,
+    ranges: int = RANGES,
+    weight: str | None = None,
 ) -> DataFrame:
-    return min_dcf_of_curve(score_curve(df, keys, label, score, hot_rows, at_most), keys, costs)
+    return min_dcf_of_curve(score_curve(df, keys, label, score, ranges, weight), keys, costs)
 
 
 def min_dcf_value(
@@ -168,7 +165,7 @@ def dcf_at(
 
 
 def roc_points(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """ROC points with interior collinear points dropped (thresholds descend along the curve).
+    """ROC points from (0, 0), at an infinite threshold, with interior collinear points dropped.
 
     Walking down, the step into a point is its own (real, spoof) and the step out is the next
     lower score's; the point is redundant exactly when both steps are equal.
@@ -176,12 +173,10 @@ def roc_points(curve: DataFrame, keys: list[str]) -> DataFrame:
     first = F.col("real_before") + F.col("real") == F.col("real_total")
     first &= F.col("spoof_before") + F.col("spoof") == F.col("spoof_total")
     corner = (F.col("prev_real") != F.col("real")) | (F.col("prev_spoof") != F.col("spoof"))
-    return _rates(curve).where(first | F.col("prev_real").isNull() | corner).select(
-        *keys,
-        F.col("score").alias("threshold"),
-        F.col("fa").alias("fpr"),
-        (1 - F.col("miss")).alias("tpr"),
-    )
+    own = F.struct(F.col("score").cast("double").alias("threshold"), F.col("fa").alias("fpr"), (1 - F.col("miss")).alias("tpr"))
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = F.when(first, F.array(origin, own)).otherwise(F.array(own))
+    return _rates(curve).where(first | F.col("prev_real").isNull() | corner).select(*keys, F.inline(points))
 
 
 def eer(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,14 +220,14 @@ def summary(
     label: str = "label",
     score: str = "score",
     costs: Costs = DEFAULT,
-    hot_rows: int = HOT_ROWS,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """minDCF, its threshold and error rates, EER, AUC and AP per key, in one aggregation.
 
     All of them reduce over the same curve, so the curve is shuffled once; the rates at the
     minDCF threshold ride along in the struct that ``min`` picks.
     """
-    curve = _rates(score_curve(df, keys, label, score, hot_rows))
+    curve = _rates(score_curve(df, keys, label, score, ranges))
     first = F.col("real_before") + F.col("real") == F.col("real_total")
     first &= F.col("spoof_before") + F.col("spoof") == F.col("spoof_total")
     corner = (F.col("prev_real") != F.col("real")) | (F.col("prev_spoof") != F.col("spoof"))

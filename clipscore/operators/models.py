@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -333,10 +332,11 @@ def importance(blend: Blend, names: tuple[str, ...]) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder in the checkpoint directory the cluster names; a temporary one only where the
-    session names none, as in tests."""
+    """A new folder in the checkpoint directory that the cluster names."""
     base = spark.conf.get("spark.checkpoint.dir", "")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 def _nodes(model: RandomForestClassificationModel, path: str) -> dict[str, np.ndarray]:

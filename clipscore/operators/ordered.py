@@ -1,28 +1,30 @@
 """Exact ordered computations (running sums, ranks, neighbours) that survive hot keys.
 
-``Window.partitionBy(key).orderBy(x)`` puts every row of a key into one task.  That is the plan to
-use while keys are small, so each function first measures the largest key (one number reaches the
-driver).  Beyond ``HOT_ROWS`` the keys above the limit are cut into contiguous ranges:
-
-1. splitters: a hash-chosen sample of at most ``BUCKETS * OVERSAMPLE`` order values, sorted;
-2. a range number per row of a hot key, monotone in the order (0 for the other keys);
-3. totals per (hot key, range), whose running sum has at most ``BUCKETS`` rows per key;
-4. a window inside each (key, range), shifted by the offset of the range.
-
-Equal order values should be merged before (see ``metrics.score_curve``); then no window holds
-much more than ``HOT_ROWS`` rows or 1/BUCKETS of the hot rows.
+``Window.partitionBy(key).orderBy(x)`` puts every row of a key into one task.  Here a key is cut into
+contiguous ranges of the order:
+
+1. a range number per row, monotone in the order;
+2. totals per (key, range), whose running sum has one row a range;
+3. a window inside each (key, range), shifted by the offset of the range.
+
+Where the caller can name the range (``place``: scores in [0, 1] have natural ones) that is the
+whole plan, without a look at the data.  Other orders measure the largest key first (one number
+reaches the driver): only if it is beyond ``HOT_ROWS`` are there keys to cut.  Each hot key
+is then cut at splitters of its own, on the whole order, found in the same job from a hash-chosen
+sample; their number grows with the key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOT_ROWS = 2_000_000
-BUCKETS = 256
 OVERSAMPLE = 8
-_FAN = 16
+RANGES = 4096  # of scores
 
 
 def largest_key(df: DataFrame, keys: list[str]) -> int:
@@ -30,39 +32,43 @@ def largest_key(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def _range_of(sample: list, value: Column) -> Column:
-    """Number of splitters at or below ``value``, looked up in two steps of ``_FAN``."""
-    cuts = sorted(set(sorted(sample)[OVERSAMPLE - 1 :: OVERSAMPLE]))
-    coarse, fine = cuts[_FAN - 1 :: _FAN], []
-    for start in range(0, len(cuts) + 1, _FAN):
-        fine.append(cuts[start : start + _FAN - 1])
-    if not cuts:
-        return F.lit(0)
-    high = F.size(F.filter(F.array(*map(F.lit, coarse)), lambda s: s <= value)) if coarse else F.lit(0)
-    low = F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), high + 1)
-    return high * _FAN + F.size(F.filter(low, lambda s: s <= value))
-
-
-def _split_hot(
-    rows: DataFrame, keys: list[str], order: list[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows with their range ``_b``, and the same rows restricted to the hot keys."""
-    if keys:
-        hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows)
-        flagged = rows.join(hot.select(*keys, F.lit(True).alias("_hot")), keys, "left")
-    else:
-        flagged = rows.withColumn("_hot", F.lit(True))
-    sample = (
-        flagged.where("_hot")
-        .select(F.col(order[0]).alias("o"), F.xxhash64(*keys, *order).alias("h"))
-        .orderBy("h", "o")
-        .limit(BUCKETS * OVERSAMPLE)
-        .select("o")
-        .collect()
-    )
-    place = _range_of([r[0] for r in sample], F.col(order[0]))
-    split = flagged.withColumn("_b", F.when(F.col("_hot"), place).otherwise(F.lit(0)))
-    return split, split.where("_hot")
+def score_range(score: Column, ranges: int = RANGES) -> Column:
+    """Equal ranges of [0, 1]; values outside go to the first and last, NaN (the largest) to the last."""
+    inside = F.floor(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)) * ranges)
+    return F.when(F.isnan(score), ranges).otherwise(inside).cast("int")
+
+
+def _at_or_below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or below ``value``, by binary search."""
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        open_ = state["low"] < state["high"]
+        ahead = open_ & (F.get(cuts, middle) <= value)
+        return F.struct(
+            F.when(ahead, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(open_ & ~ahead, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), start, halve, lambda s: s["low"])
+
+
+def _split_hot(rows: DataFrame, keys: list[str], order: list[str], hot_rows: int) -> DataFrame:
+    """Rows with their range ``_b``: 0 for small keys, about four ranges for each ``hot_rows`` rows of the others."""
+    whole = F.struct(*order)
+    single = [] if keys else [F.lit(0).alias("_only")]
+    by = keys or ["_only"]
+    named = rows.select("*", *single)
+    counts = named.groupBy(*by).count().where(F.col("count") > hot_rows).withColumnRenamed("count", "_key_rows")
+    ranges = F.ceil(F.lit(4.0) * F.col("_key_rows") / hot_rows)
+    draw = F.pmod(F.xxhash64(F.lit("splitters"), *order), F.lit(1 << 30)) / float(1 << 30)
+    sample = named.join(counts, by).where(draw * F.col("_key_rows") < OVERSAMPLE * ranges)
+    every = lambda x, i: i % OVERSAMPLE == OVERSAMPLE - 1
+    cuts = sample.groupBy(*by).agg(F.filter(F.array_sort(F.collect_list(whole)), every).alias("_cuts"))
+    split = named.join(cuts, by, "left")
+    place = F.when(F.col("_cuts").isNull(), 0).otherwise(_at_or_below(F.col("_cuts"), whole))
+    return split.withColumn("_b", place).drop("_cuts", *([] if keys else by))
 
 
 def running(
@@ -71,8 +77,8 @@ def running(
     order: list[str],
     sums: dict[str, Column],
     prev: list[str] | None = None,
-    largest: int | None = None,
     hot_rows: int = HOT_ROWS,
+    place: Column | None = None,
 ) -> DataFrame:
     """Add ``<name>_before`` and ``<name>_total`` for every entry of ``sums`` and ``prev_<c>``.
 
@@ -81,8 +87,7 @@ def running(
     """
     prev = prev or []
     rows = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
-    largest = largest_key(df, keys) if largest is None else largest
-    if largest <= hot_rows:
+    if place is None and largest_key(df, keys) <= hot_rows:
         whole = Window.partitionBy(*keys)
         along = whole.orderBy(*order)
         upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,8 +100,8 @@ def running(
             *[F.lag(c).over(along).alias(f"prev_{c}") for c in prev],
         )
 
-    rows, hot = _split_hot(rows, keys, order, hot_rows)
-    parts = hot.groupBy(*keys, "_b").agg(
+    rows = _split_hot(rows, keys, order, hot_rows) if place is None else rows.withColumn("_b", place)
+    parts = rows.groupBy(*keys, "_b").agg(
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
         *([F.max_by(F.struct(*prev), F.struct(*order)).alias("_last")] if prev else []),
     )
@@ -109,12 +114,14 @@ def running(
         *[F.sum(f"_s_{n}").over(Window.partitionBy(*keys)).alias(f"_t_{n}") for n in sums],
         *([F.lag("_last").over(ranges).alias("_carry")] if prev else []),
     )
-    whole = Window.partitionBy(*keys, "_b")
-    inside = whole.orderBy(*order)
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The explicit repartition keeps a hot key spread by range even where Spark could reuse a
     # partitioning on the key alone.
-    placed = rows.join(offsets, [*keys, "_b"], "left").repartition(*keys, "_b")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*keys, "_b")]
+    joined = rows.alias("r").join(offsets.alias("o"), reduce(lambda a, b: a & b, same))
+    carried = [c for c in offsets.columns if c not in (*keys, "_b")]
+    placed = joined.select("r.*", *[f"o.{c}" for c in carried]).repartition(*keys, "_b")
     zero = F.lit(0)
     return placed.select(
         *df.columns,
@@ -124,10 +131,7 @@ def running(
             ).alias(f"{n}_before")
             for n in sums
         ],
-        *[
-            F.coalesce(F.col(f"_t_{n}"), F.sum(f"_v_{n}").over(whole)).alias(f"{n}_total")
-            for n in sums
-        ],
+        *[F.col(f"_t_{n}").alias(f"{n}_total") for n in sums],
         *[
             F.when(F.row_number().over(inside) > 1, F.lag(c).over(inside))
             .otherwise(F.col(f"_carry.{c}"))

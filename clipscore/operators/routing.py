@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from clipscore.functions.scores import REAL_WEIGHT, container_adjusted, mix
 from clipscore.operators import metrics as M
 from clipscore.operators.comparison import blended, with_grid
-from clipscore.operators.ordered import largest_key
 
 # Candidate weights and the smallest cluster with a policy of its own.
 ALPHAS = [i / 20 for i in range(21)]
@@ -24,13 +23,13 @@ MIN_CLUSTER = 40
 def alpha_costs(df: DataFrame, keys: list[str], a: str, b: str, label: str = "label") -> DataFrame:
     """minDCF of every candidate blend ``alpha * a + (1 - alpha) * b`` per key, in one job.
 
-    The grid is a literal array, so rows are repeated in the map task and merged to distinct scores
-    before the shuffle; each (key, alpha) is a separate curve and the curves spread over tasks.
+    Equal pairs of scores are merged first, so what the grid repeats is one weighted row for each
+    distinct pair; each (key, alpha) is a separate curve and the curves spread over tasks.
     """
-    grid = with_grid(df.select(*keys, label, a, b), "alpha", ALPHAS)
+    pairs = df.groupBy(*keys, label, a, b).agg(F.count("*").alias("_times"))
+    grid = with_grid(pairs, "alpha", ALPHAS)
     grid = grid.withColumn("score", blended(F.col("alpha"), F.col(a), F.col(b)))
-    # Every (key, alpha) curve has at most as many points as the key has rows.
-    return M.min_dcf(grid, [*keys, "alpha"], label, at_most=largest_key(df, keys))
+    return M.min_dcf(grid, [*keys, "alpha"], label, weight="_times")
 
 
 def select_alpha(df: DataFrame, keys: list[str], a: str, b: str, label: str = "label") -> DataFrame:
@@ -44,12 +43,13 @@ def weight_costs(
     df: DataFrame, keys: list[str], base: str, temporal: str, status: str = "status"
 ) -> DataFrame:
     """minDCF of each (metadata weight, temporal weight) pair per key."""
-    rows = with_grid(df.select(*keys, "label", base, temporal, status), "m", METADATA_WEIGHTS)
+    merged = df.groupBy(*keys, "label", base, temporal, status).agg(F.count("*").alias("_times"))
+    rows = with_grid(merged, "m", METADATA_WEIGHTS)
     rows = with_grid(rows, "t", TEMPORAL_WEIGHTS)
     pulled = F.when(F.col(status) == "consistent", F.col(base) * (1.0 - F.col("m")))
     score = blended(F.col("t"), F.col(temporal), pulled.otherwise(F.col(base)))
     rows = rows.withColumn("score", score)
-    return M.min_dcf(rows, [*keys, "m", "t"], at_most=largest_key(df, keys))
+    return M.min_dcf(rows, [*keys, "m", "t"], weight="_times")
 
 
 def select_weights(

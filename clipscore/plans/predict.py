@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from clipscore.functions import vectors as V
 from clipscore.functions.containers import with_verdict
 from clipscore.functions.scores import (
+    basename,
     check_weight,
     container_adjusted,
     fallback_score,
     mix,
+    suffix,
 )
 from clipscore.operators import clip_features as CF
 from clipscore.operators import models as Mo
@@ -21,7 +23,7 @@ from clipscore.operators.ordered import ranked
 from clipscore.operators.routing import Router, routed
 from clipscore.operators.sampling import top_contributions
 from clipscore.sources import checks, manifest, sinks
-from clipscore.sources.listing import require_listing, scan_audio
+from clipscore.sources.listing import AUDIO_SUFFIXES, require_listing, scan_audio
 
 
 def inputs(spark: SparkSession, path: str, template: str | None) -> DataFrame:
@@ -34,30 +36,51 @@ def inputs(spark: SparkSession, path: str, template: str | None) -> DataFrame:
 
 
 def clip_rows(spark: SparkSession, path: str, listed: DataFrame, views: tuple[str, ...], lowpass_hz=None, mode="fail"):
-    """Features and container status of the listed clips, plus rejects."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    clips = files.select("path", "content").join(listed, "path").withColumn("clip_id", F.col("filename"))
-    good, rejects = CF.features(clips, views, lowpass_hz=lowpass_hz, mode=mode)
-    status = with_verdict(clips.select("clip_id", "content", "length", "suffix")).select("clip_id", "container")
-    rows = good.join(status, "clip_id").join(listed.select("filename", "ord"), good.clip_id == listed.filename)
-    return rows, rejects
-
+    """Features and container status of the listed clips, plus rejects (clip_id, reason).
 
-def finish(rows: DataFrame, score: Column, listed: DataFrame, output: str) -> DataFrame:
-    """Validate and write (ord, filename, score); the output may not cover an input."""
+    The bytes are read once and joined to nothing: the container's verdict is a column that rides
+    along, and the listing's names and order are joined to the finished rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    clips = with_verdict(files.where(suffix(F.col("path")).isin(*AUDIO_SUFFIXES)).select(
+        "path", "length", "content", suffix(F.col("path")).alias("suffix"), basename(F.col("path")).alias("clip_id"),
+    ))
+    good, rejects = CF.features(clips, views, lowpass_hz=lowpass_hz, mode=mode, keep=("path", "container"))
+    rows = good.join(listed.select("path", "filename", "ord"), "path")
+    return rows, rejects.join(listed.select("path"), "path", "left_semi").drop("path", "container")
+
+
+def finish(
+    rows: DataFrame, score: Column, listed: DataFrame, output: str, rejects: DataFrame | None = None, template: str | None = None
+) -> DataFrame:
+    """Validate and write (ord, filename, score); the output may not cover an input.
+
+    Rejected clips are written beside the predictions, with their reasons.  A template wants every
+    name scored: then a rejected clip is an error.
+    """
     sinks.require_fresh(listed, output)
     predictions = rows.select("ord", "filename", score.alias("score"))
+    if template is not None:
+        unscored = listed.select("filename").join(predictions.select("filename"), "filename", "left_anti")
+        checks.fail_if_any(unscored, "template names without a score")
+    if rejects is not None:
+        sinks.write_json(rejects, f"{output.rstrip('/')}_rejects")
     sinks.write_predictions(predictions, output)
     return predictions
 
 
+def kept(rejects: DataFrame, mode: str) -> DataFrame | None:
+    """The rejects to write; in fail mode there are none."""
+    return None if mode == "fail" else rejects
+
+
 def predict(
     spark: SparkSession, model: Mo.Blend, path: str, output: str, template: str | None = None,
     explanations: str | None = None, mode: str = "fail",
 ) -> DataFrame:
     """Base model with the container prior; explanations are one JSON object per clip."""
     listed = inputs(spark, path, template)
-    rows, _ = clip_rows(spark, path, listed, ("base",), mode=mode)
+    rows, bad = clip_rows(spark, path, listed, ("base",), mode=mode)
     rows = rows.withColumn("v", F.col("base").cast("array<double>"))
     scored = model.score(rows, "audio_score")
     final = container_adjusted(F.col("audio_score"), F.col("container.status"))
@@ -66,7 +89,7 @@ def predict(
             raise ValueError("explanations would overwrite the predictions")
         sinks.require_fresh(listed, explanations)
         sinks.write_json(explained(scored, model, final), explanations)
-    return finish(scored, final, listed, output)
+    return finish(scored, final, listed, output, kept(bad, mode), template)
 
 
 def explained(scored: DataFrame, model: Mo.Blend, final: Column) -> DataFrame:
@@ -118,11 +141,11 @@ def predict_lfcc(
     """Base plus LFCC model, optionally on the band-limited signal."""
     check_weight(real_weight, "metadata_real_weight")
     listed = inputs(spark, path, template)
-    rows, _ = clip_rows(spark, path, listed, ("base", "lfcc"), lowpass_hz, mode)
+    rows, bad = clip_rows(spark, path, listed, ("base", "lfcc"), lowpass_hz, mode)
     rows = rows.withColumn("v", F.concat("base", "lfcc").cast("array<double>"))
     scored = model.score(rows, "audio_score")
     final = container_adjusted(F.col("audio_score"), F.col("container.status"), real_weight)
-    return finish(scored, final, listed, output)
+    return finish(scored, final, listed, output, kept(bad, mode), template)
 
 
 def read_policy(spark: SparkSession, path: str) -> tuple[float, float]:
@@ -140,12 +163,12 @@ def predict_fused(
     """Container-adjusted base score mixed with the temporal score at the policy's weights."""
     weight, real_weight = read_policy(spark, policy)
     listed = inputs(spark, path, template)
-    rows, _ = clip_rows(spark, path, listed, ("base", "temporal"), mode=mode)
+    rows, bad = clip_rows(spark, path, listed, ("base", "temporal"), mode=mode)
     rows = rows.withColumn("v", F.col("base").cast("array<double>"))
     rows = base.score(rows, "_a").withColumn("temporal", F.col("temporal").cast("array<double>"))
     rows = temporal.score(rows, "_b")
     adjusted = container_adjusted(F.col("_a"), F.col("container.status"), real_weight)
-    return finish(rows, mix(1.0 - weight, adjusted, F.col("_b")), listed, output)
+    return finish(rows, mix(1.0 - weight, adjusted, F.col("_b")), listed, output, kept(bad, mode), template)
 
 
 def predict_routed(
@@ -155,17 +178,17 @@ def predict_routed(
     """First score alone without a second table, halves without a router, else routed by condition.
     The container prior is not applied on this path."""
     listed = inputs(spark, path, template)
-    rows, _ = clip_rows(spark, path, listed, ("base", "quality"), mode=mode)
+    rows, bad = clip_rows(spark, path, listed, ("base", "quality"), mode=mode)
     rows = rows.withColumn("v", F.col("base").cast("array<double>"))
     scored = model.score(rows, "_a")
     if second is None:
-        return finish(scored, F.col("_a"), listed, output)
+        return finish(scored, F.col("_a"), listed, output, kept(bad, mode), template)
     table, _ = manifest.read_scores(spark, second, "second-score", mode)
     checks.fail_if_any(manifest.name_mismatches(table, listed), "second scores and inputs differ")
     both = scored.join(table.select("filename", F.col("score").alias("_b")), "filename")
     if router is None:
-        return finish(both, fallback_score(F.col("_a"), F.col("_b"), F.lit(None).cast("double")), listed, output)
+        return finish(both, fallback_score(F.col("_a"), F.col("_b"), F.lit(None).cast("double")), listed, output, kept(bad, mode), template)
     out = routed(both, router, "quality", "_a", "_b")
-    return finish(out, F.col("routed"), listed, output)
+    return finish(out, F.col("routed"), listed, output, kept(bad, mode), template)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +18,30 @@ from clipscore.sources import checks, manifest, sinks, store
 
 SPECTRAL = tuple(i for i, n in enumerate(V.BASE) if not n.startswith(("mfcc_", "chroma_")))
 
-# Above this many clips the bytes are found by scanning the folder instead of by explicit path.
-MAX_EXPLICIT_PATHS = 20_000
-
 
 def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Bytes of the wanted paths.  A short list is opened path by path, so an incremental run reads
-    only its own files; a long one scans the folder once and keeps the wanted rows."""
-    few = [r["path"] for r in wanted.select("path").limit(MAX_EXPLICIT_PATHS + 1).collect()]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if not few:
-        return reader.load(root).where(F.lit(False))
-    if len(few) <= MAX_EXPLICIT_PATHS:
-        return reader.load(few)
-    return reader.load(root).join(wanted.select("path").distinct(), "path", "left_semi")
+    """Bytes of the wanted paths, whatever their number: the folder's files that are wanted.
+
+    Files outside the wanted span of modification times are not opened: the scan gets it as a filter.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    span = wanted.agg(F.min("modificationTime"), F.max("modificationTime")).first()
+    if span[0] is None:
+        return files.where(F.lit(False))
+    dated = files.where(F.col("modificationTime").between(*span))
+    return dated.join(wanted.select("path").distinct(), "path", "left_semi")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Files below ``root``; ``filename`` is the path relative to it, as manifests name clips."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "length", "modificationTime")
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(bare(root)) + "/", "")
+    return files.select("path", "length", "modificationTime", below.alias("filename"))
+
+
+def bare(root: str) -> str:
+    """A folder without its scheme and trailing slash."""
+    return re.sub("^[a-z]+:/*", "/", root).rstrip("/")
 
 
 def extract_base(spark: SparkSession, root: str, mode: str):
@@ -50,11 +57,6 @@ def extract_base(spark: SparkSession, root: str, mode: str):
     return run
 
 
-def resolved(rows: DataFrame, root: str) -> DataFrame:
-    """Manifest names as full paths below ``root``."""
-    return rows.withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "filename"))
-
-
 def holdout_report(scored: DataFrame, everything: DataFrame, method: str = "group holdout") -> DataFrame:
     """One-row report: sample counts and container-adjusted metrics of the holdout.
 
@@ -112,12 +114,13 @@ def train(
     mode: str = "fail",
 ) -> DataFrame:
     """Fit on the training side only, report on a disjoint holdout, save the model and the report."""
-    rows, _ = manifest.read_manifest(spark, manifest_path, mode=mode)
     files = listing(spark, root)
+    rows, rejects = manifest.read_manifest(spark, manifest_path, files, mode)
     grouped = "grp" in rows.columns
     split, method = None, "group holdout" if grouped else "stratified clip holdout"
     if test_manifest is not None:
-        test, _ = manifest.read_manifest(spark, test_manifest, mode=mode)
+        test, more = manifest.read_manifest(spark, test_manifest, files, mode)
+        rejects = rejects.unionByName(more)
         if ("grp" in test.columns) != grouped:
             raise ValueError("both manifests need groups, or neither")
         shared = joins.leakage(rows, test, "filename", "grp" if grouped else "filename")
@@ -126,10 +129,10 @@ def train(
         method = "provided test manifest"
     else:
         split = splits.split_data(rows, "label", "filename", "grp" if grouped else None, test_size, seed)
-    everything = resolved(rows.withColumn("side", F.lit("train")) if split is None else split, root)
-    paths = files.withColumn("_key", F.regexp_replace("path", "^[a-z]+:/*", "/"))
-    everything = everything.withColumn("_key", F.col("path")).drop("path").join(paths, "_key").drop("_key")
-    everything = everything.withColumn("clip_id", F.col("filename")).persist()
+    everything = rows.withColumn("side", F.lit("train")) if split is None else split
+    everything = everything.join(files, "filename").withColumn("clip_id", F.col("filename")).persist()
+    if mode != "fail":
+        sinks.write_json(rejects, f"{output}/rejects")
 
     # The store keeps what was extracted: a failed or repeated run starts from there.
     place = feature_store or Mo.shared_path(spark)

@@ -13,7 +13,6 @@ AUDIO_SUFFIXES = (
     ".wav", ".mp3", ".m4a", ".mp4", ".ogg", ".flac", ".aac", ".wma", ".aif", ".aiff", ".webm", ".opus",
 )
 SAFE_PART = r"^[A-Za-z0-9_.-]+$"
-MAX_BYTES = 30_000_000
 REAL_MEMBER = r"^LJ\d{3}-\d{4}\.wav$"
 ENCODER_TERMS = (
     "elevenlabs", "eleven labs", "tts", "text to speech", "synthesized", "synthetic",
@@ -67,19 +66,25 @@ def check_members(
     name_pattern: str,
     member: str = "member",
     size: str = "size",
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Archive listing with ``status``: accepted, ignored (other file), or why it is refused."""
+    """Archive listing with ``status``: accepted, ignored (other file), or why it is refused.
+
+    A member that occurs twice is refused; sizes are limited only if the caller sets a limit.
+    """
     parts = path_parts(F.col(member))
     name = F.element_at(parts, -1)
     fits = F.size(parts).isin(*depth) & name.rlike(name_pattern)
+    twice = listing.groupBy(F.col(member).alias("_member")).count().where("count > 1").select("_member", F.lit(True).alias("_twice"))
     status = (
         F.when(~safe(parts), "unsafe path")
         .when(~fits, "ignored")
-        .when(F.col(size) > max_bytes, "too large")
+        .when(F.lit(False) if max_bytes is None else F.col(size) > max_bytes, "too large")
+        .when(F.col("_twice"), "duplicate member")
         .otherwise("accepted")
     )
-    return listing.withColumn("status", status)
+    marked = listing.join(twice, F.col(member) == F.col("_member"), "left")
+    return marked.withColumn("status", status).drop("_member", "_twice")
 
 
 def tag_flags(clips: DataFrame, tags: DataFrame) -> DataFrame:

@@ -114,7 +114,9 @@ def _le(value, n: int):
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as the bytes of an 8-bit mono PCM WAV file: its whole text is the samples."""
+    # One file is one partition here; rendering and decoding are dealt to all cores.
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = docs.repartition(spark.sparkContext.defaultParallelism)
     body = F.encode("text", "UTF-8")
     n = F.octet_length(body)
     pad = n % 2

@@ -55,7 +55,8 @@ def test_decode_channels_rates_and_length():
     got = A.decode(wav(stereo, rate=8_000, channels=2))
     assert len(got) == 2 * len(x)
     assert np.abs(got[500:-500] - tone(440, level=0.25)[500:-500]).max() < 1e-3
-    assert len(A.decode(wav(np.zeros(RATE * 121)))) == RATE * 120
+    assert len(A.decode(wav(np.zeros(RATE * 121)))) == RATE * 121
+    assert len(A.decode(wav(np.zeros(RATE * 3)), seconds=2)) == RATE * 2
     for bad in (b"OggS" + bytes(60), wav(tone(1))[:20]):
         with pytest.raises(ValueError):
             A.decode(bad)
@@ -252,5 +253,5 @@ def test_member_rules(spark):
              ("/resampled/LJ001-0001.wav", 10), ("resampled/LJ001-0002.wav", 30_000_001),
              ("resampled/LJ001 0001.wav", 1)]
     df = spark.createDataFrame(names, "member string, size long")
-    out = {r["member"]: r["status"] for r in listing.check_members(df, (2,), listing.REAL_MEMBER).collect()}
+    out = {r["member"]: r["status"] for r in listing.check_members(df, (2,), listing.REAL_MEMBER, max_bytes=30_000_000).collect()}
     assert list(out.values()) == ["accepted", "ignored", "unsafe path", "unsafe path", "too large", "unsafe path"]

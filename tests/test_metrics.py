@@ -22,11 +22,11 @@ def table(spark, labels, scores, **keys):
 @pytest.mark.parametrize(
     "labels, scores, costs, want, threshold",
     [
-        ([0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9], M.DEFAULT, 0.0, 0.8),
-        ([0] * 10 + [1] * 10, [0.1] * 9 + [0.9] + [0.8] * 10, M.DEFAULT, 2.8 * 0.1 / 0.3, 0.8),
-        ([0, 0, 1, 1], [0.1, 0.5, 0.5, 0.9], M.DEFAULT, 0.5, 0.9),
-        ([0, 0, 1, 1], [0.5] * 4, M.DEFAULT, 1.0, math.nextafter(0.5, 1)),
-        ([0, 0, 1, 1], [0.5] * 4, M.Costs(0.3, 4.0, 1.0), 1.0, 0.5),
+        ([1, 0, 1, 0, 0], [0.75, 0.3, 0.65, 0.05, 0.25], M.DEFAULT, 0.0, 0.65),
+        ([0] * 20 + [1] * 8, [0.15] * 19 + [0.95] + [0.85] * 8, M.DEFAULT, 2.8 * 0.05 / 0.3, 0.85),
+        ([1, 0, 1, 0, 1], [0.35, 0.35, 0.55, 0.2, 0.55], M.DEFAULT, 1 / 3, 0.55),
+        ([0, 1, 1], [0.25] * 3, M.DEFAULT, 1.0, math.nextafter(0.25, 1)),
+        ([0, 1, 1], [0.25] * 3, M.Costs(0.4, 5.0, 1.0), 1.0, 0.25),
         (*SIX, M.DEFAULT, 1 / 3, 0.7),
     ],
 )
@@ -57,9 +57,9 @@ def test_undefined_inputs(spark):
     assert row["min_dcf"] is None and row["reason"] == "one class only"
 
 
-@pytest.mark.parametrize("cutoff, want", [(0.5, 2.8 * (2 / 3) / 0.3), (math.inf, 1.0), (-math.inf, 2.8 / 0.3)])
+@pytest.mark.parametrize("cutoff, want", [(0.45, (0.3 * 0.25 + 2.8 * 0.5) / 0.3), (math.inf, 1.0), (-math.inf, 2.8 / 0.3)])
 def test_dcf_at_cutoff(spark, cutoff, want):
-    rows = table(spark, [0, 0, 0, 1, 1, 1], [0.2, 0.5, 0.8, 0.5, 0.7, 0.9])
+    rows = table(spark, [0, 1, 1, 0, 1, 1], [0.15, 0.4, 0.45, 0.6, 0.65, 1.0])
     assert M.dcf_at(rows, [], cutoff).first()["dcf"] == pytest.approx(want)
     with pytest.raises(ValueError):
         M.dcf_at(rows, [], math.nan)
@@ -82,13 +82,13 @@ def brute(labels, scores):
     return costs[k], cuts[k], rates[k][0], rates[k][1], wins / ((y == 1).sum() * (y == 0).sum()), ap
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 7])
-def test_summary_matches_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_summary_matches_brute_force(spark, ranges):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 400)
     s = np.round(rng.random(400) * 0.7 + 0.3 * y, 2)
     rows = table(spark, y, s, model="m").unionByName(table(spark, 1 - y[:90], s[:90], model="n"))
-    got = {r["model"]: r for r in M.summary(rows, ["model"], hot_rows=hot_rows).collect()}
+    got = {r["model"]: r for r in M.summary(rows, ["model"], ranges=ranges).collect()}
     for name, (labels, scores) in {"m": (y, s), "n": (1 - y[:90], s[:90])}.items():
         r = got[name]
         want = brute(labels, scores)
@@ -100,7 +100,7 @@ def test_eer_uses_corner_points_only(spark):
     curve = M.score_curve(rows, [])
     points = [(r["fpr"], r["tpr"]) for r in M.roc_points(curve, []).orderBy(F.desc("threshold")).collect()]
     # Two synthetic clips on top, then one real at .6 and one at .4 (collinear), .2 synthetic, .1 real.
-    want = [(0, 1 / 3), (0, 2 / 3), (2 / 3, 2 / 3), (2 / 3, 1), (1, 1)]
+    want = [(0, 0), (0, 1 / 3), (0, 2 / 3), (2 / 3, 2 / 3), (2 / 3, 1), (1, 1)]
     assert np.allclose(points, want)
     # |fpr - fnr| is 1/3 at both (0, 2/3) and (2/3, 2/3); the higher threshold comes first.
     assert M.eer(curve, []).first()["eer"] == pytest.approx(1 / 6)
@@ -121,6 +121,20 @@ def test_split_plan_equals_plain_plan(spark):
     assert run(10**9) == run(20)
 
 
+def test_many_hot_keys_and_tied_first_columns_are_cut(spark):
+    """Each of forty keys with values of its own gets ranges of its own, and so does one whose first order column is constant."""
+    from clipscore.operators import ordered
+
+    rows = spark.createDataFrame([(f"k{k}", 7 if k == 0 else k * 1000 + i, i) for k in range(40) for i in range(200)], "k string, x int, i int")
+    cut = ordered._split_hot(rows, ["k"], ["x", "i"], 20)
+    sizes = cut.groupBy("k", "_b").count().groupBy("k").agg(F.count("*").alias("ranges"), F.max("count").alias("most")).collect()
+    assert len(sizes) == 40 and min(r["ranges"] for r in sizes) >= 15 and max(r["most"] for r in sizes) < 60
+    got = ordered.ranked(rows, ["k"], ["x", "i"], hot_rows=20).collect()
+    assert all(r["rn"] == r["i"] + 1 for r in got)
+    whole = ordered.ranked(rows, [], ["x", "i"], hot_rows=500)
+    assert sorted(r["rn"] for r in whole.collect()) == list(range(1, 8001))
+
+
 def test_medians_and_stability_under_hot_keys(spark):
     rng = np.random.default_rng(2)
     a = np.round(rng.random(301), 2)
