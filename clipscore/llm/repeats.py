@@ -23,7 +23,7 @@ from clipscore.llm.common import cut, in_arrow, text_of
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_2 = 0xD1B54A32D192ED03
 POSITION_BITS = 21
-BLOCK = 1 << 19  # symbols looked at together
+BLOCK = 1 << 18  # symbols looked at together
 HOT = 4096  # runs of one anchor that are compared in one go; beyond, windows are dealt out by their own hash
 
 Resolver = Callable[["Candidates"], np.ndarray]
@@ -301,7 +301,7 @@ def _compared(pieces: DataFrame, s: Symbols, resolver: Resolver, width: int) ->
     return in_arrow(sorted_, run, "dk bigint, pos bigint, n int")
 
 
-def _groups(h: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
+def _groups(h: np.ndarray, rows: int = 1024) -> Iterator[tuple[int, int]]:
     """Slices of about ``rows`` rows that do not part an anchor."""
     start = 0
     while start < len(h):
