@@ -319,7 +319,8 @@ def with_repeats(docs: DataFrame, s: Symbols, resolver: Resolver, width: int) ->
     """
     keyed = docs.select("doc_id", text_of().alias("text")).select(
         "doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("dk"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("tk"), "text",
+        # Never null, so that no join puts a filter of its own below the exchange.
+        F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 31)), F.lit(0)).alias("tk"), "text",
     )
     known = cut(_classified(_runs(keyed, s), s))
     place = [F.shiftright("pos", 32).alias("tk"), F.col("pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("p")]
