@@ -3,7 +3,6 @@ properties (bounds, completeness, sums) rather than by SQL."""
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -18,10 +17,11 @@ from clipscore.plans import compare
 
 catalog = Catalog()
 
-# Settings of the registered runs; the defaults of ``Spec`` are the full-size ones.
-SMALL = {"trees": 40, "depth": 8, "random_features": 128, "iterations": 15}
 SPECTRAL = tuple(range(20))
 
+# Queries that fit a forest for every fold, generator or partition take this size; single fits the full one.
+FOLD_FOREST = {"trees": 40, "depth": 8}
+
 
 def rows(spark, sf):
     """Embeddings as feature vectors; the label follows the ten-class cluster, and each class has
@@ -46,32 +46,28 @@ def scored(model, df):
     return model.score(df).select("clip_id", "label", r6("score").alias("score"))
 
 
-def small(name, family, **kw):
-    return Mo.Spec(name, family, **{**SMALL, **kw})
-
-
 @catalog.add("k2_logistic")
 def k2_logistic(spark, sf):
     train, test = sides(spark, sf)
-    return scored(Mo.fit(train, small("logistic", "logistic", c=0.1)), test)
+    return scored(Mo.fit(train, Mo.Spec("logistic", "logistic", c=0.1)), test)
 
 
 @catalog.add("k3_rbf_svm")
 def k3_rbf_svm(spark, sf):
     """Margins of the kernel machine before calibration."""
     train, test = sides(spark, sf)
-    model = Mo.fit(train, small("svm", "svm"), calibrate=False)
+    model = Mo.fit(train, Mo.Spec("svm", "svm"), calibrate=False)
     return model.margin(test).select("clip_id", "label", r6("margin").alias("margin"))
 
 
 @catalog.add("k4_calibrated_svm")
 def k4_calibrated_svm(spark, sf):
     train, test = sides(spark, sf)
-    return scored(Mo.fit(train, small("svm", "svm", c=3.0)), test)
+    return scored(Mo.fit(train, Mo.Spec("svm", "svm", c=3.0)), test)
 
 
 def blend_specs(weight=0.75):
-    return [(replace(s, **SMALL), w) for s, w in Mo.svm_logistic("v", weight)]
+    return Mo.svm_logistic("v", weight)
 
 
 @catalog.add("k5_svm_logistic_blend")
@@ -81,8 +77,7 @@ def k5_svm_logistic_blend(spark, sf):
 
 
 def forests(train):
-    specs = Mo.two_forests(SPECTRAL, "v", SMALL["trees"], SMALL["depth"])
-    return Mo.fit_blend(train, specs)
+    return Mo.fit_blend(train, Mo.two_forests(SPECTRAL, "v"))
 
 
 @catalog.add("k6_two_forests")
@@ -94,7 +89,7 @@ def k6_two_forests(spark, sf):
 @catalog.add("k7_extra_trees")
 def k7_extra_trees(spark, sf):
     train, test = sides(spark, sf)
-    return scored(Mo.fit(train, small("trees", "trees", weighting="cost")), test)
+    return scored(Mo.fit(train, Mo.Spec("trees", "trees", weighting="cost")), test)
 
 
 def labelled_clips(spark, sf, lowpass=None):
@@ -115,21 +110,23 @@ def k8_common_band_forest(spark, sf):
     parts = []
     for name, cutoff in (("raw", None), ("common_band", 1_500.0)):
         data = labelled_clips(spark, sf, cutoff).persist()
-        model = Mo.fit(data.where("clip_id % 3 <> 0"), small("forest", "forest"))
+        model = Mo.fit(data.where("clip_id % 3 <> 0"), Mo.Spec("forest", "forest", **FOLD_FOREST))
         out = model.score(data.where("clip_id % 3 = 0"))
         parts.append(out.select("clip_id", F.lit(name).alias("view"), "label", r6("score").alias("score")))
     return parts[0].unionByName(parts[1])
 
 
-def spec_table():
-    return [replace(s, view="v", **SMALL) for s in Mo.COMPARISON]
+def three_views(df):
+    """The compared views: all columns, and two disjoint parts of them."""
+    parts = {"base_lfcc": F.col("v"), "temporal": F.slice("v", 1, 24), "base": F.slice("v", 25, 40)}
+    return df.withColumns(parts)
 
 
 @catalog.add("k9_ten_models")
 def k9_ten_models(spark, sf):
     """The ten-model table on one grouped holdout, ranked by minDCF."""
-    train, test = sides(spark, sf)
-    fitted = Mo.parallel([lambda s=s: Mo.fit(train, s) for s in spec_table()])
+    train, test = map(three_views, sides(spark, sf))
+    fitted = Mo.parallel([lambda s=s: Mo.fit(train, s) for s in Mo.COMPARISON])
     parts = [
         m.score(test).select(F.lit(m.spec.name).alias("model"), F.lit(i).alias("pos"), "label", "score")
         for i, m in enumerate(fitted)
@@ -143,8 +140,8 @@ def k9_ten_models(spark, sf):
 
 def makers():
     return {
-        "logistic": lambda d: Mo.fit(d, small("logistic", "logistic", c=0.1)),
-        "forest": lambda d: Mo.fit(d, small("forest", "forest")),
+        "logistic": lambda d: Mo.fit(d, Mo.Spec("logistic", "logistic", c=0.1)),
+        "forest": lambda d: Mo.fit(d, Mo.Spec("forest", "forest", **FOLD_FOREST)),
     }
 
 
@@ -187,21 +184,21 @@ def k12_train_report(spark, sf):
 
 @catalog.add("k13_batch_scores")
 def k13_batch_scores(spark, sf):
-    """Rendered clips scored as the batch command does: features, model, container prior, text."""
+    """Rendered clips scored as the batch command does: features, model, container prior, text; a rejected clip
+    has its reason instead of a score."""
     from clipscore.functions.containers import with_verdict
     from clipscore.operators import clip_features as CF
     from clipscore.sources.sinks import score_text
 
     data = labelled_clips(spark, sf).persist()
-    model = Mo.fit(data, small("logistic", "logistic", c=0.1))
-    clips = views.clips(spark, sf).withColumn("suffix", F.lit(".wav"))
-    good, _ = CF.features(clips, ("base", "lfcc"))
-    status = with_verdict(clips.select("clip_id", "content", "length", "suffix")).select(
-        "clip_id", F.col("container.status").alias("status")
-    )
+    model = Mo.fit(data, Mo.Spec("logistic", "logistic", c=0.1))
+    clips = with_verdict(views.clips(spark, sf).withColumn("suffix", F.lit(".wav")))
+    good, bad = CF.features(clips, ("base", "lfcc"), keep=("container",))
     out = model.score(good.withColumn("v", F.concat("base", "lfcc").cast("array<double>")))
-    adjusted = S.container_adjusted(F.col("score"), F.col("status"))
-    return out.join(status, "clip_id").select("clip_id", "status", score_text(adjusted).alias("cm-score"))
+    adjusted = S.container_adjusted(F.col("score"), F.col("container.status"))
+    columns = ("clip_id", F.col("container.status").alias("status"))
+    scored = out.select(*columns, score_text(adjusted).alias("cm-score"), F.lit(None).cast("string").alias("reason"))
+    return scored.unionByName(bad.select(*columns, "reason"), allowMissingColumns=True)
 
 
 @catalog.add("g13_feature_importance")
@@ -235,9 +232,11 @@ def k14_path_explanation(spark, sf):
 
 @catalog.add("k18_select_penalty")
 def k18_select_penalty(spark, sf):
-    data = rows(spark, sf).persist()
+    """The kernel machine's penalty by container-adjusted inner scores."""
+    status = F.when(F.col("clip_id") % 5 < 3, "consistent").otherwise("inconsistent")
+    data = rows(spark, sf).withColumn("status", status).persist()
     folds = splits.stratified_group_folds(data, "label", "grp", 2, 42).select("grp", "fold")
-    best, costs = Mo.select_c(data, folds, 2, small("logistic", "logistic"))
+    best, costs = Mo.select_c(data, folds, 2, Mo.Spec("rbf_svm", "svm", random_features=128, iterations=20), status="status")
     return costs.select("c", r6("min_dcf").alias("min_dcf"), (F.col("c") == best).alias("chosen"))
 
 
@@ -250,23 +249,29 @@ def conditions(spark, sf):
         F.slice("v", 1, 12).alias("quality"),
         F.least(one, F.abs(F.get("v", 20)) * 2 + 0.2 * F.col("label")).alias("a"),
         F.least(one, F.abs(F.get("v", 21)) * 2 + 0.1 * F.col("label")).alias("b"),
+        F.least(one, F.abs(F.get("v", 22)) * 2 + 0.15 * F.col("label")).alias("c"),
+        F.least(one, F.abs(F.get("v", 23)) * 2).alias("d"),
+        "grp",
     )
 
 
 @catalog.add("k19_condition_router")
 def k19_condition_router(spark, sf):
     data = conditions(spark, sf).persist()
-    router = Mo.fit_condition_router(data, "quality", "a", "b", restarts=4)
+    router = Mo.fit_condition_router(data, "quality", "a", "b")
     return router.alphas.select("cluster", "size", "own", "alpha")
 
 
 @catalog.add("k23_cross_fitted_routing")
 def k23_cross_fitted_routing(spark, sf):
-    data = conditions(spark, sf).withColumn("fold", (F.col("clip_id") % 3).cast("int")).persist()
+    """Four models of which each fold's other folds choose two; no group is in two folds."""
+    data = conditions(spark, sf)
+    folds = splits.greedy_folds(splits.group_sizes(data, ["label"], "grp"), ["label"], "grp", 3)
+    data = data.join(folds.select("grp", "fold"), "grp").persist()
     oof = data.select(
-        "clip_id", "label", "fold", F.expr("stack(2, 'first', a, 'second', b) AS (model, score)")
+        "clip_id", "label", "fold", F.expr("stack(4, 'first', a, 'second', b, 'third', c, 'fourth', d) AS (model, score)")
     )
-    out = Mo.cross_fitted_routing(oof, data.select("clip_id", "quality"), 3, restarts=2)
+    out = Mo.cross_fitted_routing(oof, data.select("clip_id", "quality"), 3, ["first", "second", "third", "fourth"])
     return M.summary(out.withColumn("score", F.round("score", 12)), ["policy", "fold"]).select(
         "policy", "fold", r6("min_dcf").alias("min_dcf"), r6("auc").alias("auc")
     )
@@ -275,7 +280,7 @@ def k23_cross_fitted_routing(spark, sf):
 @catalog.add("k24_forest_weight_sweep")
 def k24_forest_weight_sweep(spark, sf):
     data = rows(spark, sf).persist()
-    out = compare.forest_sweep(data, SPECTRAL, [1, 2], [0.0, 0.5, 1.0], SMALL["trees"], SMALL["depth"])
+    out = compare.forest_sweep(data, SPECTRAL, [1, 2], [0.0, 0.25, 0.5, 0.75, 1.0], **FOLD_FOREST)
     return out.select("weight", r6("mean_auc").alias("mean_auc"), r6("worst_auc").alias("worst_auc"))
 
 
@@ -285,7 +290,7 @@ def k25_view_ablation(spark, sf):
     data = rows(spark, sf).select(
         "clip_id", "label", "grp", F.slice("v", 1, 32).alias("left"), F.slice("v", 33, 32).alias("right")
     ).persist()
-    specs = [small("left", "logistic", view="left", c=0.1), small("right", "logistic", view="right", c=0.1)]
+    specs = [Mo.Spec("left", "logistic", view="left", c=0.1), Mo.Spec("right", "logistic", view="right", c=0.1)]
     out = compare.ablation(data, specs, 3, 42)
     return out.select("system", "fold", *[r6(c).alias(c) for c in ("min_dcf", "auc", "ap")])
 
@@ -306,7 +311,7 @@ def k27_candidate_vs_current(spark, sf):
     data = rows(spark, sf).persist()
     out = compare.candidate_vs_current(
         data.where("clip_id % 5 <> 0"), data.where("clip_id % 5 = 0"),
-        makers()["forest"], makers()["logistic"], partitions=2,
+        makers()["forest"], makers()["logistic"], partitions=3,
     )
     return out.select("model", *[r6(c).alias(c) for c in ("mean_min_dcf", "cutoff", "holdout_dcf")])
 

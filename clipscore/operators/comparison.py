@@ -34,15 +34,17 @@ def weight_sweep(
     )
 
 
-def select_model(per_partition: DataFrame) -> DataFrame:
-    """Mean minDCF and median cutoff per model over its partitions; the lowest mean is chosen.
+def select_model(per_partition: DataFrame, listed: list[str] | None = None) -> DataFrame:
+    """Mean minDCF and median cutoff per model over its partitions; the lowest mean is chosen, on ties the
+    first of ``listed`` (without a list, of the names in order).
 
     The table has one row per (model, partition), a handful of each.
     """
     models = per_partition.groupBy("model").agg(
         F.avg("min_dcf").alias("mean_min_dcf"), F.median("threshold").alias("cutoff")
     )
-    best = models.agg(F.min_by("model", F.struct(F.round("mean_min_dcf", 9), "model"))).scalar()
+    tie = F.col("model") if listed is None else F.array_position(F.array(*map(F.lit, listed)), F.col("model"))
+    best = models.agg(F.min_by("model", F.struct(F.round("mean_min_dcf", 9), tie.alias("tie")))).scalar()
     return models.withColumn("chosen", F.col("model") == best)
 
 

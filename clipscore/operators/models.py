@@ -29,10 +29,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipscore.functions.scores import container_adjusted
 from clipscore.functions.vectors import pick
 from clipscore.operators import metrics as M
 from clipscore.operators.comparison import select_model
 from clipscore.operators.joins import with_class_weights
+from clipscore.operators.ordered import ranked
 from clipscore.operators.routing import (
     MIN_CLUSTER,
     Router,
@@ -62,18 +64,18 @@ class Spec:
     seed: int = 42
 
 
-# The compared models.
+# The ten compared models, in the order that decides ties.
 COMPARISON = (
-    Spec("rbf_svm_c1_204", "svm", "base_lfcc", 1.0),
-    Spec("rbf_svm_c03_204", "svm", "base_lfcc", 0.3),
-    Spec("rbf_svm_c3_204", "svm", "base_lfcc", 3.0),
     Spec("logistic_204", "logistic", "base_lfcc", 0.1),
-    Spec("cost_svm_204", "svm", "base_lfcc", 1.0, "cost"),
+    Spec("rbf_svm_204", "svm", "base_lfcc", 1.0),
+    Spec("rbf_svm_c0_3_204", "svm", "base_lfcc", 0.3),
+    Spec("rbf_svm_c3_204", "svm", "base_lfcc", 3.0),
     Spec("cost_logistic_204", "logistic", "base_lfcc", 0.1, "cost"),
-    Spec("trees_204", "trees", "base_lfcc", trees=300),
-    Spec("cost_trees_204", "trees", "base_lfcc", weighting="cost", trees=300),
-    Spec("temporal_logistic", "logistic", "temporal", 0.1),
-    Spec("trees_base", "trees", "base", trees=300),
+    Spec("cost_rbf_svm_204", "svm", "base_lfcc", 1.0, "cost"),
+    Spec("cost_rbf_svm_c0_3_204", "svm", "base_lfcc", 0.3, "cost"),
+    Spec("cost_rbf_svm_c3_204", "svm", "base_lfcc", 3.0, "cost"),
+    Spec("logistic_temporal", "logistic", "temporal", 0.1),
+    Spec("extra_trees_base", "trees", "base", trees=300),
 )
 SVM_CS = (0.1, 0.3, 1.0, 3.0, 10.0)
 
@@ -200,9 +202,11 @@ def fit(df: DataFrame, spec: Spec, calibrate: bool = True) -> Fitted:
 
 
 def _sigmoid(df: DataFrame, spec: Spec, folds: int = 3) -> tuple[float, float]:
-    """Platt sigmoid on margins of rows left out of the fit, folds by hash of the clip."""
-    part = F.pmod(F.xxhash64(F.lit(spec.seed), "clip_id"), F.lit(folds))
-    rows = df.withColumn("_part", part)
+    """Platt sigmoid on margins of rows left out of the fit.  Folds deal each class out by the hash rank
+    of its clips, so every fold holds both classes."""
+    hashed = df.select("clip_id", "label").distinct().withColumn("_h", F.xxhash64(F.lit(spec.seed), "clip_id"))
+    parts = ranked(hashed, ["label"], ["_h", "clip_id"], "_rn").select("clip_id", F.pmod(F.col("_rn"), F.lit(folds)).alias("_part"))
+    rows = df.join(parts, "clip_id")
 
     def left_out(k: int) -> DataFrame:
         fitted = fit(rows.where(F.col("_part") != k).drop("_part"), spec, calibrate=False)
@@ -299,20 +303,26 @@ def out_of_fold(
 def choose_and_refit(df: DataFrame, oof: DataFrame, makers: dict, path: str | None = None):
     """Model with the lowest out-of-fold minDCF, refitted on every row (and saved)."""
     costs = M.min_dcf(oof, ["model"]).withColumn("partition", F.lit(0))
-    best = select_model(costs).where("chosen").first()["model"]
+    best = select_model(costs, list(makers)).where("chosen").first()["model"]
     model = makers[best](df)
     if path is not None:
         model.save(path)
     return best, model
 
 
-def select_c(df: DataFrame, inner: DataFrame, folds: int, spec: Spec, cs=SVM_CS) -> tuple[float, DataFrame]:
-    """Penalty with the lowest pooled inner minDCF, smaller values first on ties."""
+def select_c(
+    df: DataFrame, inner: DataFrame, folds: int, spec: Spec, cs=SVM_CS, status: str | None = None
+) -> tuple[float, DataFrame]:
+    """Penalty with the lowest pooled inner minDCF, smaller values first on ties.  With a ``status`` column
+    the inner scores are container-adjusted, as the final ones are."""
 
     def maker(c: float):
         return lambda rows: fit(rows, Spec(**{**asdict(spec), "c": c, "columns": spec.columns}))
 
     oof = out_of_fold(df, inner, folds, {str(c): maker(c) for c in cs})
+    if status is not None:
+        oof = oof.join(df.select("clip_id", status), "clip_id")
+        oof = oof.withColumn("score", container_adjusted(F.col("score"), F.col(status)))
     costs = M.min_dcf(oof, ["model"]).select(F.col("model").cast("double").alias("c"), "min_dcf")
     best = costs.agg(F.min(F.struct("min_dcf", "c")).alias("m")).first()["m"]["c"]
     return best, costs
@@ -426,7 +436,7 @@ def condition_clusters(
         model = KMeans(k=k, seed=s, featuresCol="_x").fit(rows)
         return model.summary.trainingCost, s, [c.tolist() for c in model.clusterCenters()]
 
-    fits = parallel([lambda s=s: run(s) for s in range(seed, seed + restarts)])
+    fits = parallel([lambda s=s: run(s) for s in range(seed, seed + restarts)], workers=8)
     best = min(fits)[2]
     rows.unpersist()
     table = [(i, c) for i, c in enumerate(best)]
@@ -443,16 +453,18 @@ def fit_condition_router(
     return fit_router(placed, "cluster", vector, a, b, centers, stats, min_size)
 
 
-def cross_fitted_routing(oof: DataFrame, quality: DataFrame, folds: int, restarts: int = 20) -> DataFrame:
-    """Per fold: rank models and fit the router on the other folds only, then score the fold.
+def cross_fitted_routing(oof: DataFrame, quality: DataFrame, folds: int, models: list[str], restarts: int = 20) -> DataFrame:
+    """Per fold: rank models (ties in the order of ``models``) and fit the router on the other folds only, then
+    score the fold.
 
     Returns (clip_id, label, fold, policy, score) for the overall and the conditional blend.
     """
     outs = []
     for f in range(folds):
         rest, held = oof.where(F.col("fold") != f), oof.where(F.col("fold") == f)
-        ranked = M.min_dcf(rest, ["model"]).orderBy(F.round("min_dcf", 12), "model").limit(2).collect()
-        first, second = (r["model"] for r in ranked)
+        place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
+        best = M.min_dcf(rest, ["model"]).orderBy(F.round("min_dcf", 12), place).limit(2).collect()
+        first, second = (r["model"] for r in best)
 
         def wide(rows: DataFrame) -> DataFrame:
             def of(model: str) -> Column:

@@ -127,6 +127,41 @@ def test_bad_clip_fails_or_is_set_aside(spark, corpus, tmp_path):
     assert [r["clip_id"] for r in rejects.collect()] == ["b.wav"]
 
 
+def test_absent_audio_is_an_error(spark, corpus, tmp_path):
+    root, meta, _ = corpus
+    (meta / "short.csv").write_text((meta / "m.csv").read_text() + "nowhere.wav,real,r99\n")
+    with pytest.raises(ValueError, match="missing audio"):
+        train(spark, str(meta / "short.csv"), str(root), str(tmp_path / "run"), feature_store=str(tmp_path / "store"))
+
+
+def test_paths_are_names_not_patterns(spark, corpus, tmp_path):
+    from clipscore.plans.train import contents, listing
+
+    root, _, _ = corpus
+    (tmp_path / "sub").mkdir()
+    for name in ("a[1].wav", "a1.wav", "sub/b.wav"):
+        (tmp_path / name).write_bytes((root / "clip00.wav").read_bytes())
+    files = listing(spark, str(tmp_path))
+    assert {r["filename"] for r in files.collect()} == {"a[1].wav", "a1.wav", "sub/b.wav"}
+    wanted = files.where(F.col("filename").contains("["))
+    assert [r["path"].rsplit("/", 1)[-1] for r in contents(spark, str(tmp_path), wanted).collect()] == ["a[1].wav"]
+    assert contents(spark, str(tmp_path), wanted.where(F.lit(False))).count() == 0
+
+
+def test_rejects_are_written_and_templates_are_complete(spark, corpus, trained, tmp_path):
+    root, meta, _ = corpus
+    model, _, _ = trained
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.wav").write_bytes((root / "clip00.wav").read_bytes())
+    (tmp_path / "in" / "b.wav").write_bytes(b"RIFF....WAVE")
+    P.predict(spark, model, str(tmp_path / "in"), str(tmp_path / "p"), mode="quarantine")
+    assert set(scores(spark, tmp_path / "p")) == {"a.wav"}
+    assert [r["clip_id"] for r in spark.read.json(str(tmp_path / "p_rejects")).collect()] == ["b.wav"]
+    (meta / "both.csv").write_text("filename\na.wav\nb.wav\n")
+    with pytest.raises(ValueError, match="without a score"):
+        P.predict(spark, model, str(tmp_path / "in"), str(tmp_path / "q"), str(meta / "both.csv"), mode="quarantine")
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, i % 2, f"g{i % 8}", (rng.normal(size=6) + (i % 2)).tolist()) for i in range(160)]
