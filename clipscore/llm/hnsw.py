@@ -14,6 +14,8 @@ from clipscore.llm.common import cut
 from clipscore.session import ship
 
 NONE = -1
+BAND = 4.0  # binary orders of length that one graph spans
+_CELLS = 1 << 22  # numbers of the candidates' vectors held at once
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class Shape:
 
 @dataclass
 class Graph:
-    """Distinct vectors of a shard in insertion order, a node's top layer, and per layer a flat array of
+    """Distinct vectors of a band in insertion order, a node's top layer, and per layer a flat array of
     ``width`` neighbours a node (NONE where there are fewer)."""
 
     vectors: np.ndarray
@@ -52,6 +54,9 @@ def _choose(x: np.ndarray, centre: np.ndarray, candidates: np.ndarray, width: in
     Free places go to the nearest of those left out.
     """
     n, c = candidates.shape
+    if n > 1 and n * c * x.shape[1] > _CELLS:
+        parts = np.array_split(np.arange(n), min(n, -(-n * c * x.shape[1] // _CELLS)))
+        return np.concatenate([_choose(x, centre[p], candidates[p], width) for p in parts])
     real = candidates >= 0
     points = x[np.maximum(candidates, 0)]
     away = np.where(real, ((points - x[centre][:, None, :]) ** 2).sum(2), np.inf)
@@ -109,7 +114,7 @@ def _link(x: np.ndarray, members: np.ndarray, width: int, considered: int) -> np
 
 def build(vectors: np.ndarray, draw: np.ndarray, shape: Shape) -> Graph:
     """A graph over distinct vectors in the order given; ``draw`` in (0, 1] sets the levels."""
-    x = vectors.astype(np.float32)
+    x = np.asarray(vectors, np.float64)
     level = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(shape.links)).astype(np.int32)
     layers = []
     for n in range(int(level.max(initial=0)) + 1):
@@ -118,16 +123,17 @@ def build(vectors: np.ndarray, draw: np.ndarray, shape: Shape) -> Graph:
     return Graph(x, level, layers)
 
 
-def search(graph: Graph, queries: np.ndarray, beam: int) -> np.ndarray:
-    """Nodes nearest to each query (NONE behind the last), all queries one step at a time.
+def search(graph: Graph, queries: np.ndarray, beam: int, inner: bool = False) -> np.ndarray:
+    """Nodes nearest to each query (NONE behind the last), all queries one step at a time; with ``inner`` those
+    of largest inner product, without the vectors' lengths in between.
 
     From the top layer down a query moves to its nearest neighbour's place until none is nearer; on the ground it keeps
     the best ``beam`` nodes and opens the best unopened one until all are opened.
     """
-    x, q = graph.vectors, queries.astype(np.float32)
+    x, q = graph.vectors, np.asarray(queries, np.float64)
     n, rows = len(x), np.arange(len(q))
     beam = min(beam, n)
-    norms = (x * x).sum(1)
+    norms = np.zeros(n) if inner else (x * x).sum(1)
     at = np.full(len(q), int(np.argmax(graph.level)))
     best = norms[at] - 2 * (x[at] * q).sum(1)
     for table in graph.layers[:0:-1]:
@@ -140,7 +146,7 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> np.ndarray:
             better = closest < best[moving]
             moving, pick, closest, near = moving[better], pick[better], closest[better], near[better]
             at[moving], best[moving] = near[np.arange(len(moving)), pick], closest
-    ids, away = np.full((len(q), beam), NONE, np.int32), np.full((len(q), beam), np.inf, np.float32)
+    ids, away = np.full((len(q), beam), NONE, np.int32), np.full((len(q), beam), np.inf)
     opened, seen = np.ones((len(q), beam), bool), np.zeros((len(q), n), bool)
     ids[:, 0], away[:, 0], opened[:, 0] = at, best, False
     seen[rows, at] = True
@@ -157,7 +163,7 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> np.ndarray:
         near = ground[ids[active, pick]]
         fresh = (near >= 0) & ~seen[active[:, None], near]
         seen[active[:, None], np.where(near >= 0, near, ids[active, pick][:, None])] = True
-        new = np.where(fresh, norms[near] - 2 * np.einsum("qkd,qd->qk", x[near], q[active]), np.inf).astype(np.float32)
+        new = np.where(fresh, norms[near] - 2 * np.einsum("qkd,qd->qk", x[near], q[active]), np.inf)
         all_away = np.concatenate([away[active], new], 1)
         keep = np.argpartition(all_away, beam - 1, axis=1)[:, :beam]
         away[active] = np.take_along_axis(all_away, keep, 1)
@@ -173,6 +179,29 @@ def _lifted(v: np.ndarray) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))[:, None]], axis=1)
 
 
+def _orders(v: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the lengths (none is zero), also where a square leaves the range of a double."""
+    largest, power = np.frexp(np.abs(v).max(axis=1))
+    return power + np.log2(np.sqrt((np.ldexp(v, -power[:, None]) ** 2).sum(1)))
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Divided by a power of two, the same for all rows, so that no length exceeds one."""
+    return np.ldexp(v, -int(np.ceil(_orders(v).max())))
+
+
+def _bands(orders: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of bands of like length, from the longest down: each takes in what lies up to BAND below its longest."""
+    out = np.empty(len(orders), np.int64)
+    falling = np.argsort(-orders, kind="stable")
+    at = band = 0
+    while at < len(falling):
+        end = int(np.searchsorted(-orders[falling], BAND - orders[falling[at]], side="right"))
+        out[falling[at:end]] = band
+        at, band = end, band + 1
+    return out
+
+
 def sound(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): rows that take part, each once, components as doubles."""
     v = F.col("embedding").cast("array<double>")
@@ -184,10 +213,11 @@ INDEX = "shard int, ids binary, node binary, vectors binary, level binary, layer
 
 
 def index(rows: DataFrame, shards: int, shape: Shape) -> DataFrame:
-    """One row a shard: the graph's flat arrays, and for each of its rows vec_id and node.
+    """One row a band of lengths in a shard: the graph's flat arrays, and for each of its rows vec_id and node.
 
     Equal vectors of a shard share a node.  The shard of a row hashes its id and vector, so that a frequent
-    vector is spread; insertion order and levels hash the id.
+    vector is spread; insertion order and levels hash the id.  A band is lifted by its own longest vector:
+    one far longer than the rest does not press the others into a point.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,13 +227,19 @@ def index(rows: DataFrame, shards: int, shape: Shape) -> DataFrame:
         turn = np.argsort(first)  # distinct vectors by first appearance
         place = np.empty(len(turn), np.int64)
         place[turn] = np.arange(len(turn))
-        own = v[first[turn]]
-        graph = build(_lifted(own), pdf["draw"].to_numpy()[first[turn]], shape)
-        return pd.DataFrame([{
-            "shard": key[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "node": place[node.ravel()].astype(np.int32).tobytes(),
-            "vectors": own.tobytes(), "level": graph.level.tobytes(), "layers": [t.tobytes() for t in graph.layers],
-            "dim": v.shape[1], "width": shape.links,
-        }])
+        distinct, levels, node, ids = v[first[turn]], pdf["draw"].to_numpy()[first[turn]], place[node.ravel()], pdf["vec_id"].to_numpy(np.int64)
+        band = _bands(_orders(distinct))
+        out = []
+        for b in range(int(band.max()) + 1):
+            members, rows_in = np.flatnonzero(band == b), band[node] == b
+            own = distinct[members]
+            graph = build(_lifted(_scaled(own)), levels[members], shape)
+            out.append({
+                "shard": key[0], "ids": ids[rows_in].tobytes(), "node": np.searchsorted(members, node[rows_in]).astype(np.int32).tobytes(),
+                "vectors": own.tobytes(), "level": graph.level.tobytes(), "layers": [t.tobytes() for t in graph.layers],
+                "dim": v.shape[1], "width": shape.links,
+            })
+        return pd.DataFrame(out)
 
     ship(rows.sparkSession)
     draw = (F.pmod(F.xxhash64("vec_id", F.lit("level")), F.lit(1 << 30)) + 1) / float(1 << 30)
@@ -220,7 +256,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shape: Shape = Sha
     take no part, nor do null ids; repeated rows count once; vectors of different lengths are not
     comparable and raise an error.  An empty table gives an empty one; other columns are not looked at.
 
-    Shards number ``rows / shard_rows``; a task holds one shard's graph and one block of queries.
+    Shards number ``rows / shard_rows``; a task holds one shard's graphs, one a band of lengths, and one
+    block of queries.  The beam ranks by inner products in doubles too.
     """
     rows = cut(sound(vectors))
     n, dims = rows.agg(F.count("*"), F.countDistinct(F.size("v"))).first()
@@ -237,28 +274,28 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shape: Shape = Sha
     def run(key: tuple, one: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if one.empty or block.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        g = one.iloc[0]
-        own = np.frombuffer(g["vectors"], np.float64).reshape(-1, g["dim"])
-        ids, node = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["node"], np.int32)
-        layers = [np.frombuffer(t, np.int32).reshape(len(own), -1) for t in g["layers"]]
-        graph = Graph(_lifted(own).astype(np.float32), np.frombuffer(g["level"], np.int32), layers)
-        order = np.lexsort((ids, node))
-        ids, node = ids[order], node[order]
-        low, high = np.searchsorted(node, np.arange(len(own))), np.searchsorted(node, np.arange(len(own)), side="right")
         out = []
-        for at in range(0, len(block), 512):
-            names = block["vec_id"].to_numpy(np.int64)[at : at + 512]
-            q = np.array(block["v"].iloc[at : at + 512].tolist(), np.float64)
-            found = search(graph, np.concatenate([q, np.zeros((len(q), 1))], axis=1), shape.beam)
-            for name, vector, nodes in zip(names, q, found):
-                nodes = nodes[nodes >= 0]
-                score = exact_scores(own[nodes], vector)
-                # Equal vectors share a node: of each, the k + 1 least ids suffice.
-                got = [(ids[low[m] : min(high[m], low[m] + k + 1)], s) for m, s in zip(nodes, score)]
-                near, s = np.concatenate([a for a, _ in got]), np.repeat([b for _, b in got], [len(a) for a, _ in got])
-                near, s = near[(keep := near != name)], s[keep]
-                best = np.lexsort((near, -s))[:k]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": near[best], "score": s[best]}))
+        for g in one.to_dict("records"):
+            own = np.frombuffer(g["vectors"], np.float64).reshape(-1, g["dim"])
+            ids, node = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["node"], np.int32)
+            layers = [np.frombuffer(t, np.int32).reshape(len(own), -1) for t in g["layers"]]
+            graph = Graph(_scaled(own), np.frombuffer(g["level"], np.int32), layers)
+            order = np.lexsort((ids, node))
+            ids, node = ids[order], node[order]
+            low, high = np.searchsorted(node, np.arange(len(own))), np.searchsorted(node, np.arange(len(own)), side="right")
+            for at in range(0, len(block), 512):
+                names = block["vec_id"].to_numpy(np.int64)[at : at + 512]
+                q = np.array(block["v"].iloc[at : at + 512].tolist(), np.float64)
+                found = search(graph, np.ldexp(q, -np.frexp(np.abs(q).max(axis=1))[1][:, None]), shape.beam, inner=True)
+                for name, vector, nodes in zip(names, q, found):
+                    nodes = nodes[nodes >= 0]
+                    score = exact_scores(own[nodes], vector)
+                    # Equal vectors share a node: of each, the k + 1 least ids suffice.
+                    got = [(ids[low[m] : min(high[m], low[m] + k + 1)], s) for m, s in zip(nodes, score)]
+                    near, s = np.concatenate([a for a, _ in got]), np.repeat([b for _, b in got], [len(a) for a, _ in got])
+                    near, s = near[(keep := near != name)], s[keep]
+                    best = np.lexsort((near, -s))[:k]
+                    out.append(pd.DataFrame({"query_id": name, "vec_id": near[best], "score": s[best]}))
         return pd.concat(out)
 
     hits = offered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")

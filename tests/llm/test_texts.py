@@ -241,6 +241,26 @@ def test_recall_against_brute_force(spark):
     assert got.keys() == want.keys() and np.mean(hits) >= 0.95
 
 
+@pytest.mark.parametrize("times", [1e4, 1e20])
+def test_few_long_vectors_do_not_spoil_their_shard(spark, times):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4099, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[1000:1003] *= times
+    x = x.astype(np.float32)
+    data = [(i, v) for i, v in enumerate(x.tolist())]
+    want = plain_neighbours(data)
+    got = found_neighbours(spark.createDataFrame(data, "vec_id long, embedding array<float>"), min_shards=1)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want]
+    assert got.keys() == want.keys() and np.mean(hits) >= 0.9
+
+
+def test_bands_of_length():
+    v = np.array([[3.0, 4.0], [1e300, 0.0], [5e-310, 0.0], [0.0, 5.0], [1e300, 1e300]])
+    assert hnsw._bands(hnsw._orders(v)).tolist() == [1, 0, 2, 1, 0]
+    assert hnsw._scaled(v[1:2]).max() <= 1
+
+
 def test_a_single_graph_is_navigable():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
