@@ -135,6 +135,12 @@ def links(fps: DataFrame) -> DataFrame:
     return in_arrow(dealt.select("grid", "cell", "fp"), run, "a bigint, b bigint").distinct()
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """Distinct ``fp`` with label (null where it links to none) and root, the name of its component."""
+    found = components(links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, linked of every document.
 
@@ -145,28 +151,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     there is no other); an empty table gives an empty one; other columns are not looked at.
     """
     printed = cut(fingerprints(docs))
-    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct)).withColumnRenamed("node", "fp")
-    grouped = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+    grouped = _rooted(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     known = grouped.join(least, "root").select("fp", "component_id", F.col("label").isNotNull().alias("linked"))
     return printed.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "linked")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are their component's least doc_id: one of each group, with the columns of documents.
+    """One document of each component, with the columns of documents: the least doc_id, a null one last.
 
-    Of repeated rows of that doc_id one stays.  A row without a doc_id cannot be named: all such rows of a
-    component stay if it has no doc_id at all, else none.
+    Rows of one doc_id may differ: a digest of the other columns decides between them, and names the row that
+    stays, so that the choice is the same whenever a task runs again.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    decided = cut(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id", "fingerprint").distinct())
-    named = docs.join(decided.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = decided.where("doc_id IS NULL").select(F.col("fingerprint").alias("fp"))
-    if nameless.isEmpty():
-        return named
-
-    bare = docs.where("doc_id IS NULL")
-    prints = fingerprints(bare.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("text_hash"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp")).distinct()
-    stay = prints.join(nameless, "fp", "left_semi").select("text_hash")
-    return named.unionByName(bare.withColumn("text_hash", F.xxhash64("text")).join(stay, "text_hash", "left_semi").select(*DOCUMENT_COLUMNS))
+    fields = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("null")) for c in DOCUMENT_COLUMNS if c != "doc_id"]
+    named = docs.withColumn("digest", F.unhex(F.sha2(F.concat(*fields), 256)))
+    turn = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    printed = cut(fingerprints(named.select(turn.alias("doc_id"), "text")))
+    first = _rooted(printed.groupBy("fp").agg(F.min("doc_id").alias("least"))).groupBy("root").agg(F.min("least").alias("least"))
+    stay = cut(first.select(F.col("least.doc_id").alias("id"), F.col("least.digest").alias("own")))
+    kept = named.join(stay, named["doc_id"].eqNullSafe(stay["id"]) & (named["digest"] == stay["own"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "digest"]).select(*DOCUMENT_COLUMNS)

@@ -140,6 +140,18 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays_where_doc_ids_repeat_or_lack(spark):
+    prose = {k: " ".join(hashlib.md5(f"{k}{i}".encode()).hexdigest() for i in range(60)) for k in "abcdef"}
+    data = [(1, prose["a"], "en", "src0", 1), (1, prose["b"], "en", "src0", 1)]  # least of both groups
+    data += [(2, prose["a"], "en", "src0", 1), (2, prose["c"], "en", "src0", 1), (3, prose["c"], "en", "src0", 1)]  # a copy under the id of another group's least
+    data += [(None, prose["d"], "en", "src0", 1)] * 3 + [(None, prose["d"], "fr", None, None), (None, prose["e"], None, None, 1)]
+    data += [(7, prose["f"], "en", "src0", 1), (7, prose["f"], "en", None, 1), (7, prose["f"], None, "src0", 1)]
+    kept = [tuple(r) for r in simhash.keep_one(frame(spark, data)).collect()]
+    assert sorted((str(r[0]), r[1]) for r in kept) == sorted((str(i), prose[k]) for i, k in [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (7, "f")])
+    again = simhash.keep_one(frame(spark, data[::-1]).repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(str(tuple(r)) for r in again)
+
+
 def test_grids_meet_every_near_pair():
     rng = np.random.default_rng(1)
     masks = [np.uint64(m) for m in simhash.grid_masks()]
