@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipscore.llm.common import DOCUMENT_COLUMNS, text_of
+from clipscore.llm.common import DOCUMENT_COLUMNS, let, text_of
 
 OTHER = "\x00other"
+PART = 500.0  # largest mean drawn at once where sources weigh the same
+BROADCAST_SOURCES = 10_000
 _DIGITS = 13  # hexadecimal digits of a uniform draw: 52 bits, exact in a double
 
 
@@ -56,6 +58,40 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float], other: float
     )
 
 
+def _dealt(drawn: DataFrame, seed: int) -> DataFrame:
+    """Every row ``copies`` times, dealt out and sorted by a hash of (seed, doc_id, copy)."""
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|deal"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy"))), 1, 15), 16, 10)
+    return (
+        drawn.where("copies > 0")
+        .select(*DOCUMENT_COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .withColumn("mix_key", key.cast("bigint"))
+        .repartition("mix_key")
+        .sortWithinPartitions("mix_key")
+    )
+
+
+def mix_equally(docs: DataFrame, *, epochs: float = 1.0, seed: int = 42) -> DataFrame:
+    """As :func:`mix`, with the same weight for every source found that has characters, null being one.
+
+    The sources stay a table; the driver gets their number and the characters of all.  A mean above
+    ``PART`` is drawn as a sum of Poisson numbers of equal means, which has the same distribution, so that
+    a rare source costs time in proportion to its copies.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    sizes = docs.groupBy("source").agg(F.sum(F.length(text_of())).cast("double").alias("chars")).where("chars > 0")
+    n, whole = sizes.agg(F.count("*"), F.sum("chars")).first()
+    rate = F.lit(epochs * (whole or 0.0) / max(n, 1)) / F.col("chars")
+    parts = F.ceil(F.col("rate") / PART).cast("int")
+    rates = sizes.select(F.col("source").alias("grp"), rate.alias("rate")).where("rate > 0").withColumn("parts", parts).select("grp", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf"))
+    drawn = docs.join(F.broadcast(rates) if n <= BROADCAST_SOURCES else rates, docs["source"].eqNullSafe(rates["grp"]))
+
+    def inverted(*parts: Column | str) -> Column:
+        return let(_uniform(F.lit(str(seed)), "doc_id", *parts), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
+
+    sums = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda total, j: total + inverted(j.cast("string")))
+    return _dealt(drawn.withColumn("copies", F.when(F.col("parts") == 1, inverted()).otherwise(sums)), seed)
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float], *, other: float = 0.0, epochs: float = 1.0, seed: int = 42) -> DataFrame:
     """Each document repeated a Poisson number of times whose mean is its source's target repetition rate.
 
@@ -74,15 +110,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], *, other: float = 0.0, ep
     rates = repetition_rates(docs, weights, other, epochs)
     drawn = docs.withColumn("grp", _group(weights)).join(F.broadcast(rates), "grp")
     copies = F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(str(seed)), "doc_id")))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|deal"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy"))), 1, 15), 16, 10)
-    return (
-        drawn.withColumn("copies", copies)
-        .where("copies > 0")
-        .select(*DOCUMENT_COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        .withColumn("mix_key", key.cast("bigint"))
-        .repartition("mix_key")
-        .sortWithinPartitions("mix_key")
-    )
+    return _dealt(drawn.withColumn("copies", copies), seed)
 
 
 def mix_sql(weights: Mapping[str, float], *, other: float = 0.0, epochs: float = 1.0, seed: int = 42, docs: str = "documents") -> str:

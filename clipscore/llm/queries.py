@@ -51,7 +51,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_poisson_mix", mixing.mix_sql(MIX_WEIGHTS, other=1.0))
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty sources and the rest at equal weight, as much text as before."""
+    """Twenty sources and the rest at equal weight; the share of a group without text goes to none, as in the SQL."""
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, other=1.0)
 
 

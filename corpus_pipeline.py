@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clipscore.llm import bpe, langid, mixing, secret_scan, simhash
 from clipscore.llm.common import cut, table
-from clipscore.llm.queries import MIX_WEIGHTS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that every source has the same weight, in shuffled order."""
-    return mixing.mix(docs, MIX_WEIGHTS, other=1.0).drop("copy", "mix_key")
+    return mixing.mix_equally(docs).drop("copy", "mix_key")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

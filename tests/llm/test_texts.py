@@ -167,6 +167,17 @@ def test_mixing_cases(spark):
         mixing.mix(df, {"src1": 0.0})
 
 
+def test_every_source_found_has_the_same_weight(spark):
+    text = "x" * 50
+    sizes = {"web": 6000, "books": 2000, None: 1500, "code": 1000, "rare": 2}
+    data = [(i, text, "en", s, 50) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(-1, "", "en", "empty", 0), (-2, None, "en", "none", 0)]
+    got = Counter(r.source for r in corpus_pipeline.mix(spark, frame(spark, data), SF).collect())
+    assert got.keys() == sizes.keys()
+    assert sum(got.values()) == pytest.approx(sum(sizes.values()), rel=0.05)
+    assert all(n == pytest.approx(sum(sizes.values()) / len(sizes), rel=0.12) for n in got.values())
+    assert corpus_pipeline.mix(spark, frame(spark, []), SF).count() == 0
+
+
 def test_poisson_distribution_is_inverted(spark):
     from pyspark.sql import functions as F
 
