@@ -79,15 +79,17 @@ def running(
     prev: list[str] | None = None,
     hot_rows: int = HOT_ROWS,
     place: Column | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``<name>_before`` and ``<name>_total`` for every entry of ``sums`` and ``prev_<c>``.
 
     ``_before`` is the exclusive running sum inside ``keys`` by ``order``; ``_total`` the key's
-    sum; ``prev_<c>`` the value of ``c`` on the preceding row (null on the first).
+    sum; ``prev_<c>`` the value of ``c`` on the preceding row (null on the first).  ``largest`` is a bound
+    on the rows of a key where the caller knows one.
     """
     prev = prev or []
     rows = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
-    if place is None and largest_key(df, keys) <= hot_rows:
+    if place is None and (largest_key(df, keys) if largest is None else largest) <= hot_rows:
         whole = Window.partitionBy(*keys)
         along = whole.orderBy(*order)
         upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,9 +150,10 @@ def ranked(
     name: str = "rn",
     total: str | None = None,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` inside ``keys`` by the unique ordering ``order``."""
-    out = running(df, keys, order, {"_n": F.lit(1).cast("long")}, hot_rows=hot_rows)
+    out = running(df, keys, order, {"_n": F.lit(1).cast("long")}, hot_rows=hot_rows, largest=largest)
     cols = [*df.columns, (F.col("_n_before") + 1).alias(name)]
     if total:
         cols.append(F.col("_n_total").alias(total))
