@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipscore.llm import bpe, hnsw, langid, mixing, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, syncmers
+from clipscore.llm import (
+    bpe, conversation_trie, hnsw, langid, mixing, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, syncmers, vector_codes, warc,
+)
 from clipscore.llm.common import table
 
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
@@ -74,3 +76,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most a mebibyte, small enough that the smallest tables split too."""
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query("op11_warc_archive", warc.archive_sql())
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@query("op12_conversation_trie", conversation_trie.trie_sql())
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_vector_codes", vector_codes.compress_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
