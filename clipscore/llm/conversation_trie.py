@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipscore.llm.common import attach, cut, in_arrow
+from clipscore.llm.common import attach, in_arrow, stored
 from clipscore.operators import ordered
 
 FAMILY = 20
@@ -28,7 +28,12 @@ def _own_turns(conversations: DataFrame, largest: int, hot_rows: int) -> DataFra
     turns = conversations.where(F.col("conv_id").isNotNull()).select(
         "conv_id", "turn", turn_id.alias("turn_id"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words")
     )
-    return ordered.ranked(turns, ["conv_id"], ["turn", "turn_id"], "pos", hot_rows=hot_rows, largest=largest)
+    return _settled(ordered.ranked(_settled(turns, largest, hot_rows), ["conv_id"], ["turn", "turn_id"], "pos", hot_rows=hot_rows, largest=largest), largest, hot_rows)
+
+
+def _settled(df: DataFrame, largest: int, hot_rows: int) -> DataFrame:
+    """Written where a conversation is so long that ``running`` reads its input several times."""
+    return stored(df) if largest > hot_rows else df
 
 
 def _head_turns(conv_id: Column) -> Column:
@@ -58,11 +63,11 @@ def _sequences(turns: DataFrame, block: int, largest: int, hot_rows: int) -> Dat
     real = F.when(F.col("kind") < 2, 1).otherwise(0).cast("bigint")
     mark = F.when(F.col("kind") == 2, 1).otherwise(0).cast("bigint")
     bound = largest + HEAD_CHOICES
-    counted = ordered.running(rows, ["conv_id"], ["kind", "pos"], {"real": real, "mark": mark}, hot_rows=hot_rows, largest=bound)
+    counted = ordered.running(_settled(rows, largest, hot_rows), ["conv_id"], ["kind", "pos"], {"real": real, "mark": mark}, hot_rows=hot_rows, largest=bound)
     alive = counted.where("mark_total > 0 AND (kind < 2 OR real_total = 0)").withColumn("depth", F.when(F.col("kind") < 2, F.col("real_before") + 1).otherwise(0))
     hashed = [F.xxhash64("depth", "turn_id", F.lit(seed)) for seed in ("first", "second")]
     pieces = {f"s{2 * i + k}": F.when(F.col("depth") > 0, piece).otherwise(0).cast("bigint") for i, h in enumerate(hashed) for k, piece in enumerate((F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))))}
-    named = alive.withColumns(pieces)
+    named = _settled(alive.withColumns(pieces), largest, hot_rows)
     summed = ordered.running(named, ["conv_id"], ["depth"], {s: F.col(s) for s in pieces}, hot_rows=hot_rows, largest=bound)
 
     def prefix(depth: Column, parts: list[Column]) -> Column:
@@ -136,19 +141,19 @@ def _burst(suffixes: DataFrame, limit: int) -> DataFrame:
     share go at once.  Only counts are looked at, and a suffix never moves to another task but where
     its container is one of very many small ones (see ``attach``).
     """
-    boxed = cut(suffixes.withColumns({"d": F.lit(0), "box": F.col("head")}))
+    boxed = stored(suffixes.withColumns({"d": F.lit(0), "box": F.col("head")}))
     while True:
         sizes = boxed.groupBy("box").agg(F.sum((F.size("ids") - F.col("d")).cast("bigint")).alias("turns"), F.count("*").alias("rows"))
-        large = cut(sizes.where((F.col("turns") > limit) & (F.col("rows") > 1)).select("box", "rows"))
+        large = stored(sizes.where((F.col("turns") > limit) & (F.col("rows") > 1)).select("box", "rows"))
         if large.isEmpty():
             return boxed
         marked = attach(boxed, large.withColumn("large", F.lit(True)), "box", "rows")
         ends = marked.where("large").groupBy("box").agg(F.min("ids").alias("low"), F.max("ids").alias("high"))
         differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
-        shared = cut(ends.select("box", F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int").alias("shared")).join(large, "box"))
+        shared = stored(ends.select("box", F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int").alias("shared")).join(large, "box"))
         moved = attach(boxed, shared, "box", "rows")
         deeper = F.when(F.col("shared").isNull(), F.col("d")).otherwise(F.least(F.size("ids"), F.col("shared") + 1))
-        boxed = cut(moved.withColumn("d", deeper).withColumn("box", F.when(F.col("d") > 0, F.get("ids", F.col("d") - 1)).otherwise(F.col("head"))).drop("shared"))
+        boxed = stored(moved.withColumn("d", deeper).withColumn("box", F.when(F.col("d") > 0, F.get("ids", F.col("d") - 1)).otherwise(F.col("head"))).drop("shared"))
 
 
 def _sweep(boxed: DataFrame, base: int, kind: str) -> DataFrame:
@@ -234,11 +239,11 @@ def _sweep(boxed: DataFrame, base: int, kind: str) -> DataFrame:
 def _level(suffixes: DataFrame, base: int, limit: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of one level of blocks, and (head, children, leaves, saved): what its blocks add to the nodes they hang from."""
     boxed = _burst(suffixes, limit)
-    swept = cut(_sweep(boxed, base, kind))
+    swept = stored(_sweep(boxed, base, kind))
     turns = boxed.where("d > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("d"))).alias("j"))
     stops = F.when(F.size("ids") == F.col("j"), F.col("stops")).otherwise(0)
     path = F.slice("ids", 1, F.col("j"))
-    burst = cut(
+    burst = stored(
         turns.groupBy(F.concat(F.array("head"), path).alias("path"), "up", F.element_at("words", F.col("j")).alias("words"))
         .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.sum(stops).alias("stops"))
         .withColumns({"id": F.element_at("path", -1), "leaves": F.when(F.col("n") == F.col("stops"), 1).otherwise(0).cast("bigint"), "saved": (F.col("n") - 1) * F.col("words")})
@@ -249,11 +254,11 @@ def _level(suffixes: DataFrame, base: int, limit: int, kind: str) -> tuple[DataF
     told = from_boxes.unionByName(from_burst).groupBy("id", (F.col("at") == 0).alias("top")).agg(
         F.sum(F.when(F.col("at") == F.col("far"), F.col("children")).otherwise(0)).alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")
     )
-    told = cut(told)
+    told = stored(told)
     ended = boxed.where("d > 0 AND d = size(ids)").select(F.col("box").alias("id"), "ends_sha256")
     whole = burst.drop("leaves", "saved").join(told.where("NOT top").drop("top"), "id").join(ended, "id", "left")
     parents = burst.select("id", F.col("least").alias("parent_least")).join(told.select("id", "children"), "id")
-    parented = attach(whole.withColumn("parent", F.get("path", F.size("path") - 2)), cut(parents).withColumnRenamed("id", "parent").withColumnRenamed("children", "many"), "parent", "many")
+    parented = attach(whole.withColumn("parent", F.get("path", F.size("path") - 2)), stored(parents).withColumnRenamed("id", "parent").withColumnRenamed("children", "many"), "parent", "many")
     top = F.size("path") == 2
     grown = parented.select(
         "id", (F.lit(base) + F.size("path") - 1).cast("bigint").alias("depth"), F.col("least").alias("conv_id"),
@@ -277,13 +282,13 @@ def trie(conversations: DataFrame, limit: int = CONTAINER_TURNS, block: int = BL
     """
     known = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
     largest = ordered.largest_key(known, ["conv_id"])
-    blocks = cut(_blocks(_sequences(_own_turns(known, largest, hot_rows), block, largest, hot_rows), block))
+    blocks = stored(_blocks(_sequences(_own_turns(known, largest, hot_rows), block, largest, hot_rows), block))
     facts = blocks.where("level = 0").agg(F.min("conv_id"), F.count("*")).first()
     least, convs = facts[0], facts[1]
     levels = (blocks.agg(F.max("level")).first()[0] or 0) + 1
     digests = _end_digests(blocks.where("ends").select(_last().alias("node"), "conv_id"))
     distinct = blocks.groupBy("level", "head", "ids", "words").agg(F.count("*").alias("n"), F.min("conv_id").alias("least"), F.count_if("ends").alias("stops"))
-    suffixes = cut(distinct.withColumn("node", _last()).join(digests, "node", "left"))
+    suffixes = stored(distinct.withColumn("node", _last()).join(digests, "node", "left"))
     nodes, below = None, None
     for level in reversed(range(levels)):
         part = suffixes.where(F.col("level") == level)

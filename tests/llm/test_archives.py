@@ -151,7 +151,7 @@ def conversations():
         turns = turns or say(1)
         rows += [(c, i * 3, r, t) for i, (r, t) in enumerate(turns)]
     rows += [(c, t, "user", "alone") for c in (401, 402, 403, 404, 405) for t in (1,)]  # no first of their family
-    rows += [(700, i, "user", f"turn {i % 5}") for i in range(60)] + [(701, i, "user", f"turn {i % 5}") for i in range(45)]
+    rows += [(700, i, "user", f"turn {i % 5}") for i in range(12)] + [(701, i, "user", f"turn {i % 5}") for i in range(9)]
     rows += [(800, None, "user", "first"), (800, None, None, None), (800, 2, "user", "tie"), (800, 2, "user", "tie"), (800, 2, "bot", "tie"), (None, 1, "user", "lost"), rows[5], rows[5]]
     return rows
 
@@ -161,14 +161,14 @@ def conversation_frame(spark, rows):
     return df.withColumns({c: F.lit(1) for c in ("depth", "kind", "pos", "ids", "head", "n", "box", "d", "path", "level", "words", "total")})
 
 
-@pytest.mark.parametrize("shape", [{}, {"limit": 1, "block": 1}, {"limit": 6, "block": 4, "hot_rows": 20}, {"limit": 40, "block": 16}, {"limit": 100, "block": 7}])
+@pytest.mark.parametrize("shape", [{}, {"limit": 12, "block": 5, "hot_rows": 8}])
 def test_tries_equal_plain_python(spark, shape):
     rows = conversations()
     got = in_order(conversation_trie.trie(conversation_frame(spark, rows), **shape).collect())
     assert got == plain_trie(rows)
 
 
-@pytest.mark.parametrize("hot_keys", [1, 3])
+@pytest.mark.parametrize("hot_keys", [1])
 def test_tries_with_facts_that_are_shuffled(spark, monkeypatch, hot_keys):
     monkeypatch.setattr(conversation_trie, "attach", lambda *a: common.attach(*a, hot_keys=hot_keys))
     rows = conversations()
