@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "flagship", "sources", "tables", "signal", "selection", "metrics", "routing", "models",
+    "flagship", "sources", "tables", "signal", "selection", "metrics", "routing", "models", "flows",
 )
 
 

@@ -186,7 +186,7 @@ def j2_group_split(spark, sf):
     with_(views.SCORED, GROUP_SPLIT) + f" SELECT seed, {s6('score')} AS score FROM usable",
 )
 def j2_group_split_scores(spark, sf):
-    _, scores = splits.group_split_scores(views.scored(spark, sf), "label", "grp", 0.2, 42)
+    *_, scores = splits.group_split_scores(views.scored(spark, sf), "label", "grp", 0.2, 42)
     return scores.select(F.col("seed").cast("long").alias("seed"), r6("score").alias("score"))
 
 
@@ -278,14 +278,53 @@ def j6_paired_fold_sizes(spark, sf):
     return joined.groupBy("partition", "fold", "label").agg(F.count("*").alias("n"))
 
 
-# Groups of the scored manifest hold one class each, so the stratum is the label.
+def mixed(spark, sf):
+    """Labelled clips whose groups (source and language) hold both classes."""
+    docs = views.table(spark, sf, "documents").select("doc_id", "source", "lang")
+    grp = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    labels = views.table(spark, sf, "labels").join(docs, "doc_id")
+    return labels.select(F.col("doc_id").alias("clip_id"), (1 - F.col("quality")).cast("int").alias("label"), grp.alias("grp"))
+
+
+MIXED = """mixed AS (SELECT l.doc_id AS clip_id, CAST(1 - l.quality AS INT) AS label, concat(coalesce(d.source, ''), '/', coalesce(d.lang, '')) AS grp
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def counts_sql(rows: str, name: str, key: str, tie: str, source: str | None = None) -> str:
+    """Groups in the order of the class-share walk: (key, grp, r, s, i)."""
+    source = source or f"(SELECT {key} AS key, grp, count(*) FILTER (label = 0) AS r, count(*) FILTER (label = 1) AS s FROM {rows} GROUP BY {key}, grp)"
+    return f"""{name} AS (SELECT key, grp, r, s, sum(r) OVER (PARTITION BY key) AS tr, sum(s) OVER (PARTITION BY key) AS ts,
+ row_number() OVER (PARTITION BY key ORDER BY abs(r - s) DESC, r + s DESC, r DESC, {tie}, grp) AS i FROM {source} q)"""
+
+
+def share_sql(counts: str, folds: int, name: str) -> str:
+    """Sequential walk over ``counts`` as a recursive query: every fold is tried for every group."""
+    zeros = f"list_transform(range(0, {folds}), lambda z: CAST(0 AS BIGINT))"
+    share = "list_aggregate(list_transform(p.l{c}, lambda x, k: (x + CASE WHEN k = f + 1 THEN s.{c} ELSE 0 END)*1e0/greatest(s.t{c}, 1)), 'stddev_pop')"
+    spread = f"round(({share.format(c='r')} + {share.format(c='s')})/2e0, 12)"
+    tried = f"list_sort(list_transform(range(0, {folds}), lambda f: [{spread}, CAST(p.lr[f + 1] + p.ls[f + 1] AS DOUBLE), CAST(f AS DOUBLE)]))[1][3]"
+    return f"""{name}(key, i, lr, ls, grp, n, fold) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), {zeros}, {zeros}, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(-1 AS INT) FROM {counts}
+ UNION ALL SELECT key, i, list_transform(lr, lambda x, k: CASE WHEN k = f + 1 THEN x + r ELSE x END), list_transform(ls, lambda x, k: CASE WHEN k = f + 1 THEN x + s ELSE x END),
+ grp, CAST(r + s AS BIGINT), f FROM (SELECT p.key, s.i, p.lr, p.ls, s.grp, s.r, s.s, CAST({tried} AS INT) AS f FROM {name} p JOIN {counts} s ON s.key = p.key AND s.i = p.i + 1) w)"""
+
+
 @catalog.add(
     "j7_stratified_group_folds",
-    recursive(views.SCORED, greedy_sql("", "label", 5, "md5(concat('2026:', grp)), grp"))
-    + " SELECT grp, n, fold FROM pack WHERE i > 0",
+    recursive(MIXED, counts_sql("mixed", "counts", "CAST(0 AS INT)", "md5(concat('2026:', grp))"), share_sql("counts", 5, "walk"))
+    + " SELECT grp, n, fold FROM walk WHERE i > 0",
 )
 def j7_stratified_group_folds(spark, sf):
-    return splits.stratified_group_folds(views.scored(spark, sf), "label", "grp", 5, 2026)
+    return splits.stratified_group_folds(mixed(spark, sf), "label", "grp", 5, 2026)
+
+
+@catalog.add(
+    "j7_pure_group_folds",
+    recursive(views.SCORED, counts_sql("scored", "counts", "CAST(0 AS INT)", "md5(concat('42:', grp))"), share_sql("counts", 5, "walk"))
+    + " SELECT grp, n, fold FROM walk WHERE i > 0",
+)
+def j7_pure_group_folds(spark, sf):
+    """Groups of one class each."""
+    return splits.stratified_group_folds(views.scored(spark, sf), "label", "grp", 5, 42)
 
 
 @catalog.add(
@@ -304,19 +343,21 @@ def j8_group_holdouts(spark, sf):
     return splits.group_holdouts(views.scored(spark, sf), "label", "grp", 0.25, [1, 2, 3, 4, 5])
 
 
+NESTED = (
+    counts_sql("mixed", "counts", "CAST(0 AS INT)", "md5(concat('42:', grp))"),
+    share_sql("counts", 5, "walk"),
+    counts_sql("", "inner_counts", "", "md5(concat(CAST(key + 43 AS VARCHAR), ':', grp))",
+               "(SELECT o AS key, c.grp, c.r, c.s FROM walk w JOIN counts c ON w.grp = c.grp, range(0, 5) r(o) WHERE w.i > 0 AND w.fold <> o)"),
+    share_sql("inner_counts", 3, "nested"),
+)
+
+
 @catalog.add(
     "j9_nested_folds",
-    recursive(
-        views.SCORED,
-        greedy_sql("", "label", 5, "md5(concat('42:', grp)), grp"),
-        """inner_sizes AS (SELECT o*10 + key AS key, grp, n, row_number() OVER (PARTITION BY o*10 + key
- ORDER BY n DESC, md5(concat(CAST(o + 43 AS VARCHAR), ':', grp)), grp) AS i FROM pack, range(0, 5) r(o) WHERE i > 0 AND fold <> o)""",
-        pack_sql("inner_sizes", "3", "nested"),
-    )
-    + ' SELECT CAST(key // 10 AS INT) AS "outer", fold AS "inner", grp FROM nested WHERE i > 0',
+    recursive(MIXED, *NESTED) + ' SELECT CAST(key AS INT) AS "outer", fold AS "inner", grp FROM nested WHERE i > 0',
 )
 def j9_nested_folds(spark, sf):
-    return splits.nested_folds(views.scored(spark, sf), "label", "grp", 5, 3, 42)
+    return splits.nested_folds(mixed(spark, sf), "label", "grp", 5, 3, 42)
 
 
 @catalog.add(
@@ -346,8 +387,9 @@ def j10_completeness(spark, sf):
     "j11_corpus_expansion",
     recursive(
         views.SCORED,
-        greedy_sql("", "label", 5, "md5(concat('42:', grp)), grp"),
-        "keep AS (SELECT s.* FROM scored s JOIN pack p ON s.grp = p.grp WHERE p.i > 0 AND p.fold <> 0)",
+        counts_sql("scored", "counts", "CAST(0 AS INT)", "md5(concat('42:', grp))"),
+        share_sql("counts", 5, "walk"),
+        "keep AS (SELECT s.* FROM scored s JOIN walk p ON s.grp = p.grp WHERE p.i > 0 AND p.fold <> 0)",
     )
     + """ SELECT training, label, count(*) AS n, count(DISTINCT grp) AS groups FROM (
  SELECT 'original' AS training, label, grp FROM keep WHERE clip_id % 2 = 0

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clipscore.operators.ordered import HOT_ROWS, ranked
 from clipscore.operators.sampling import seeded_hash
@@ -72,8 +73,13 @@ def seeded_group_ranks(
 
 def group_split_scores(
     df: DataFrame, label: str, group: str, test_size: float, seed: int, tries: int = SPLIT_TRIES
-) -> tuple[DataFrame, DataFrame] | None:
-    """Candidate group holdouts: (ranked groups, one score per usable seed), or None."""
+) -> tuple[DataFrame, int, DataFrame] | None:
+    """Candidate group holdouts: (group table, groups held out, one score per usable seed), or None.
+
+    A seed holds out the groups of the least hashes.  Class totals per (seed, first hash digits) are formed
+    in the map tasks, so what is shuffled does not grow with the groups; only groups whose digits
+    are those of a seed's last held group (one in 256 a seed) are ranked.
+    """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie strictly between 0 and 1")
     groups = group_table(df, label, group)
@@ -85,13 +91,20 @@ def group_split_scores(
     n_test = max(2, math.ceil(facts["g"] * test_size))
     if facts["g"] < 4 or n_test > facts["g"] - 2:
         return None
-    drawn = seeded_group_ranks(groups, group, list(range(seed, seed + tries)))
-    held = F.col("rn") <= n_test
+    seeds = F.sequence(F.lit(seed), F.lit(seed + tries - 1))
+    drawn = groups.withColumn("seed", F.explode(seeds)).withColumn("_h", seeded_hash(F.col("seed"), F.col(group)))
+    drawn = drawn.withColumn("_bin", F.substring("_h", 1, 2))
+    cells = drawn.groupBy("seed", "_bin").agg(F.count("*").alias("n"), F.sum("real").alias("r"), F.sum("spoof").alias("s"))
+    before = Window.partitionBy("seed").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "r", "s")]
+    edge = cells.select("seed", "_bin", "n", *sums).where(
+        (F.col("n_before") < n_test) & (F.col("n_before") + F.col("n") >= n_test)
+    ).drop("n")
+    inside = ranked(drawn.join(F.broadcast(edge), ["seed", "_bin"]), ["seed"], ["_h", group], "_rn")  # one row a seed
+    held = inside.where(F.col("n_before") + F.col("_rn") <= n_test).groupBy("seed")
     scores = (
-        drawn.groupBy("seed")
-        .agg(
-            F.sum(F.when(held, F.col("real")).otherwise(0)).alias("tr"),
-            F.sum(F.when(held, F.col("spoof")).otherwise(0)).alias("ts"),
+        held.agg(
+            (F.max("r_before") + F.sum("real")).alias("tr"), (F.max("s_before") + F.sum("spoof")).alias("ts")
         )
         .where(
             (F.col("tr") > 0)
@@ -104,7 +117,7 @@ def group_split_scores(
             F.abs(F.col("tr") / facts["r"] - test_size) + F.abs(F.col("ts") / facts["s"] - test_size),
         )
     )
-    return drawn.withColumn("held", held), scores
+    return groups, n_test, scores
 
 
 def group_split(
@@ -116,15 +129,15 @@ def group_split(
     tries: int = SPLIT_TRIES,
 ) -> DataFrame | None:
     """Group holdout nearest the requested share of each class; adds ``side``."""
-    drawn = group_split_scores(df, label, group, test_size, seed, tries)
-    if drawn is None:
+    found = group_split_scores(df, label, group, test_size, seed, tries)
+    if found is None:
         return None
-    groups, scores = drawn
+    groups, n_test, scores = found
     # Rounded so that equal scores tie whatever the summation order; the first seed wins.
     best = scores.agg(F.min_by("seed", F.struct(F.round("score", 12), "seed"))).first()[0]
     if best is None:
         return None
-    test = groups.where((F.col("seed") == best) & F.col("held")).select(group)
+    test = seeded_group_ranks(groups, group, [best]).where(F.col("rn") <= n_test).select(group)
     flagged = df.join(test.withColumn("_t", F.lit(True)), group, "left")
     return flagged.withColumn(
         "side", F.when(F.col("_t"), "test").otherwise("train")
@@ -308,17 +321,102 @@ def partition_folds(df: DataFrame, label: str, group: str, partitions: int = 3)
     return packed.unionByName(spoof)
 
 
-def _strata(df: DataFrame, label: str, group: str) -> DataFrame:
-    """Group sizes with ``_kind``: 0 real only, 1 synthetic only, 2 mixed."""
-    kind = F.when(F.min(label) != F.max(label), 2).otherwise(F.min(label))
-    return df.groupBy(group).agg(F.count("*").alias("size"), kind.alias("_kind"))
+def _spread_fill(folds: int):
+    """Walk of :func:`share_folds`: given (real, spoof, groups) per key, the fold of the i-th group of each pair.
+
+    One row ``at`` = i a group of the lead, and a row ``at`` = -1 with the lead's length and the cycle that
+    all later groups follow.
+    """
+
+    def spread(load: list[list[int]], total: list[int]) -> float:
+        """Mean over the classes of the deviation of the folds' shares; loads count from the emptiest fold."""
+        out = 0.0
+        for c in (0, 1):
+            low = min(x[c] for x in load)
+            shares = [(x[c] - low) / max(total[c], 1) for x in load]
+            mean = sum(shares) / folds
+            out += math.sqrt(sum((x - mean) ** 2 for x in shares) / folds)
+        return round(out / 2, 12)
+
+    def choice(load: list[list[int]], real: int, spoof: int, total: list[int]) -> int:
+        def outcome(f: int) -> tuple[float, int, int]:
+            after = [[x[0] + real, x[1] + spoof] if k == f else x for k, x in enumerate(load)]
+            return spread(after, total), sum(load[f]), f
+
+        return min(map(outcome, range(folds)))[2]
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        pairs = sorted(
+            zip(batch["real"].tolist(), batch["spoof"].tolist(), batch["groups"].tolist()),
+            key=lambda p: (-abs(p[0] - p[1]), -(p[0] + p[1]), -p[0]),
+        )
+        total = [sum(r * n for r, _, n in pairs), sum(s * n for _, s, n in pairs)]
+        load, out = [[0, 0] for _ in range(folds)], []
+        for real, spoof, groups in pairs:
+            taken, picks, seen, cycle = [0] * folds, [], {}, []
+            while len(picks) < groups:
+                # Equal groups, and what decides depends on differences of loads alone: a state that comes
+                # back repeats all that followed it.
+                low = min(taken)
+                state = tuple(t - low for t in taken)
+                if state in seen:
+                    cycle, picks = picks[seen[state] :], picks[: seen[state]]
+                    break
+                seen[state] = len(picks)
+                now = [[x[0] + t * real, x[1] + t * spoof] for x, t in zip(load, taken)]
+                picks.append(choice(now, real, spoof, total))
+                taken[picks[-1]] += 1
+            rest = groups - len(picks)
+            for f in range(folds):
+                n = picks.count(f)
+                if cycle:
+                    n += rest // len(cycle) * cycle.count(f) + cycle[: rest % len(cycle)].count(f)
+                load[f] = [load[f][0] + n * real, load[f][1] + n * spoof]
+            out.append((real, spoof, -1, len(picks), cycle))
+            out += [(real, spoof, i, f, []) for i, f in enumerate(picks)]
+        walked = pd.DataFrame(out, columns=["real", "spoof", "at", "value", "cycle"])
+        for key in batch.columns.difference(["real", "spoof", "groups"]):
+            walked[key] = batch[key].iloc[0]
+        return walked
+
+    return run
+
+
+def share_folds(
+    counts: DataFrame, keys: list[str], group: str, folds: int, tie: str | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Folds with close class shares, per ``keys``: groups in order of the difference of their class counts, largest
+    first, each to the fold that leaves the least spread of class shares over the folds, then the one with the fewest
+    rows, then the first.
+
+    ``counts`` has one row per (keys, group) with ``real`` and ``spoof``.  Groups of equal counts are
+    interchangeable, so the walk goes over distinct (real, spoof) pairs, the larger ones first where differences
+    tie: their number is at most about (rows)^(2/3), and the folds that many equal groups take become
+    periodic once the folds are level.  Every group then finds its fold by its rank (by ``tie``, then
+    name) among its equals.  Returns (keys, group, n, fold).
+    """
+    counts = counts if keys else counts.withColumn("_k", F.lit(0))
+    by = keys or ["_k"]
+    pair = [*by, "real", "spoof"]
+    distinct = counts.groupBy(*pair).agg(F.count("*").alias("groups"))
+    fields = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in pair)
+    walked = distinct.groupBy(*by).applyInPandas(
+        _spread_fill(folds), f"{fields}, at bigint, value bigint, cycle array<bigint>"
+    )
+    order = list(dict.fromkeys([tie or group, group]))
+    placed = ranked(counts, pair, order, "_i", hot_rows=hot_rows).withColumn("at", F.col("_i") - 1)
+    cycles = walked.where("at < 0").select(*pair, F.col("value").alias("_lead"), "cycle")
+    leads = walked.where("at >= 0").select(*pair, "at", "value")
+    met = placed.join(cycles, pair).join(leads, [*pair, "at"], "left")
+    turn = F.get("cycle", ((F.col("at") - F.col("_lead")) % F.size("cycle")).cast("int"))
+    fold = F.when(F.col("value").isNotNull(), F.col("value")).otherwise(turn).cast("int")
+    return met.select(*keys, group, (F.col("real") + F.col("spoof")).alias("n"), fold.alias("fold"))
 
 
 def stratified_group_folds(df: DataFrame, label: str, group: str, folds: int, seed: int) -> DataFrame:
-    """Group folds with close class shares: groups are packed greedily by size inside each of the
-    real-only, synthetic-only and mixed strata, size ties broken by a seeded hash."""
-    sizes = _strata(df, label, group).withColumn("_t", seeded_hash(seed, F.col(group)))
-    return greedy_folds(sizes, ["_kind"], group, folds, "_t").select(group, "n", "fold")
+    """Group folds with close class shares, mixed groups included; equal groups are dealt by a seeded hash."""
+    counts = group_table(df, label, group).withColumn("_t", seeded_hash(seed, F.col(group)))
+    return share_folds(counts, [], group, folds, "_t")
 
 
 def nested_folds(
@@ -326,17 +424,17 @@ def nested_folds(
 ) -> DataFrame:
     """(outer, inner, group): inner folds built from the outer training side alone, for all outer
     folds in one pass over the group table."""
-    sizes = _strata(df, label, group)
+    counts = group_table(df, label, group)
     held = stratified_group_folds(df, label, group, outer, seed).select(
         group, F.col("fold").alias("_held")
     )
-    every = sizes.join(held, group).withColumn(
+    every = counts.join(held, group).withColumn(
         "outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))
     )
     train = every.where(F.col("outer") != F.col("_held")).withColumn(
         "_t", seeded_hash(F.col("outer") + (seed + 1), F.col(group))
     )
-    out = greedy_folds(train, ["outer", "_kind"], group, inner, "_t")
+    out = share_folds(train, ["outer"], group, inner, "_t")
     return out.select("outer", F.col("fold").alias("inner"), group)
 
 

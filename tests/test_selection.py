@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import statistics
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +151,56 @@ def test_nested_folds_stay_inside_the_training_side(spark):
     assert all(outer[r["grp"]] != r["outer"] for r in inner)
     assert len(inner) == 2 * len(groups)
     assert {r["inner"] for r in inner} == {0, 1}
+
+
+def plain_share_folds(counts: dict, folds: int) -> dict:
+    """The sequential rule, one group at a time: counts are (real, spoof) per group name."""
+    total = [sum(c[k] for c in counts.values()) or 1 for k in (0, 1)]
+    load, out = [[0, 0] for _ in range(folds)], {}
+    for name in sorted(counts, key=lambda g: (-abs(counts[g][0] - counts[g][1]), -sum(counts[g]), -counts[g][0], g)):
+        tried = []
+        for f in range(folds):
+            after = [[a + b * (k == f) for a, b in zip(x, counts[name])] for k, x in enumerate(load)]
+            spread = sum(statistics.pstdev(x[c] / total[c] for x in after) for c in (0, 1)) / 2
+            tried.append((round(spread, 12), sum(load[f]), f))
+        best = min(tried)[2]
+        out[name] = best
+        load[best] = [a + b for a, b in zip(load[best], counts[name])]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_share_folds_equal_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    top, folds = rng.choice([1, 3, 20]), rng.choice([2, 3, 5])
+    counts = {f"g{i:03d}": (rng.randint(0, top), rng.randint(0, top)) for i in range(rng.choice([9, 80, 300]))}
+    counts = {g: c if any(c) else (1, 0) for g, c in counts.items()}
+    table = spark.createDataFrame([(g, *c) for g, c in counts.items()], "grp string, real long, spoof long")
+    for hot in (10**9, 3)[: 2 if seed < 2 else 1]:
+        got = {r["grp"]: r["fold"] for r in splits.share_folds(table, [], "grp", folds, hot_rows=hot).collect()}
+        assert got == plain_share_folds(counts, folds)
+
+
+def test_many_equal_groups_become_periodic(spark):
+    counts = {f"a{i:04d}": (1, 0) for i in range(3001)} | {"big": (7, 90)} | {f"m{i:03d}": (2, 1) for i in range(601)}
+    table = spark.createDataFrame([(g, *c) for g, c in counts.items()], "grp string, real long, spoof long")
+    rows = splits.share_folds(table, [], "grp", 4).collect()
+    assert {r["grp"]: r["fold"] for r in rows} == plain_share_folds(counts, 4)
+    batch = pd.DataFrame({"real": [1, 2, 7], "spoof": [0, 1, 90], "groups": [10**12, 10**9, 1]})
+    walked = splits._spread_fill(4)(batch)
+    assert len(walked) < 2000  # steps of the walk, not groups
+
+
+def test_share_folds_of_no_groups(spark):
+    assert splits.share_folds(spark.createDataFrame([], "grp string, real long, spoof long"), [], "grp", 3).count() == 0
+
+
+def test_split_scores_equal_ranks_of_every_seed(spark):
+    groups = {f"real:{i}": 1 + i % 5 for i in range(300)} | {f"synthetic:{i}": 2 + i % 3 for i in range(200)}
+    df = clips(spark, groups)
+    *_, scores = splits.group_split_scores(df, "label", "grp", 0.2, 7, 12)
+    got = {r["seed"]: (r["tr"], r["ts"]) for r in scores.collect()}
+    for seed in range(7, 19):
+        least = sorted(groups, key=lambda g: (hashlib.md5(f"{seed}:{g}".encode()).hexdigest(), g))[:100]
+        want = tuple(sum(groups[g] for g in least if g.startswith(k)) for k in ("real", "synthetic"))
+        assert got[seed] == want
