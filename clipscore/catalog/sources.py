@@ -8,6 +8,7 @@ from clipscore import views
 from clipscore.catalog.common import Catalog, r6, s6, with_
 from clipscore.operators import sampling, splits
 from clipscore.operators.ordered import ranked
+from clipscore.operators import models as Mo
 from clipscore.sources import listing as L
 from clipscore.sources import manifest as Mf
 from clipscore.sources import sinks, store
@@ -76,6 +77,54 @@ def a3_manifest_integrity(spark, sf):
     return Mf.manifest_violations(Mf.normalized(rows), listed)
 
 
+@catalog.add(
+    "a3_reject_lines",
+    with_(
+        views.SCORED,
+        """m AS (SELECT clip_id, CASE WHEN clip_id % 17 = 0 THEN NULL ELSE concat('clip_', CAST(clip_id AS VARCHAR)) END AS item,
+ clip_id % 17 = 0 OR clip_id % 19 = 0 AS bad, clip_id % 23 = 0 AS lost,
+ row_number() OVER (PARTITION BY clip_id % 3 ORDER BY clip_id) + 1 AS line FROM scored)""",
+    )
+    + """ SELECT CAST(clip_id % 3 AS INT) AS part, item, line, CASE WHEN bad THEN 'invalid filename or label' ELSE 'missing group' END AS reason
+ FROM m WHERE bad OR lost""",
+)
+def a3_reject_lines(spark, sf):
+    """The manifest as three files, read back: rejects name the file and its line."""
+    i = F.col("clip_id")
+    rows = raw_manifest(spark, sf).select(
+        (i % 3).cast("int").alias("part"),
+        i,
+        F.when(i % 17 == 0, None).otherwise(F.concat(F.lit("clip_"), i.cast("string"))).alias("filename"),
+        F.when(i % 19 == 0, "maybe").otherwise(F.col("label")).alias("label"),
+        F.when(i % 23 == 0, None).otherwise(F.col("group")).alias("group"),
+    )
+    place = Mo.shared_path(spark)
+    ordered = rows.repartition(3, "part").sortWithinPartitions("part", "clip_id")
+    ordered.write.partitionBy("part").csv(place, header=True)
+    read = Mf.with_lines(Mf.read_delimited(spark, place))
+    bad = Mf.manifest_violations(Mf.normalized(read)).where("line IS NOT NULL")
+    part = F.regexp_extract("source_file", r"part=(\d)", 1).cast("int")
+    return bad.select(part.alias("part"), "item", "line", "reason")
+
+
+@catalog.add(
+    "a14_reject_lines",
+    with_(
+        views.SCORED,
+        f"""n AS (SELECT *, row_number() OVER (PARTITION BY clip_id % 3 ORDER BY clip_id) AS line FROM scored)""",
+    )
+    + """ SELECT CAST(clip_id % 3 AS INT) AS part, line, CASE WHEN clip_id % 47 = 0 THEN 'needs 10 fields' WHEN clip_id % 43 = 0 THEN 'unsafe utterance id'
+ ELSE 'unrecognized key' END AS reason FROM n WHERE clip_id % 47 = 0 OR clip_id % 43 = 0 OR clip_id % 53 = 0""",
+)
+def a14_reject_lines(spark, sf):
+    """Protocol lines of three files; rejects carry the line."""
+    lines = views.scored(spark, sf).select((F.col("clip_id") % 3).cast("int").alias("part"), "clip_id", F.expr(LINE).alias("value"))
+    place = Mo.shared_path(spark)
+    lines.repartition(3, "part").sortWithinPartitions("part", "clip_id").drop("clip_id").write.partitionBy("part").text(place)
+    parsed = Mf.parse_protocol(Mf.with_lines(spark.read.text(place), first=1))
+    return parsed.where("reason IS NOT NULL").select("part", "line", "reason")
+
+
 SUFFIXES = (".wav", ".MP3", ".m4a", ".txt", ".ogg", ".Flac", ".csv", ".opus", ".json", ".webm")
 EXT = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUFFIXES)) + " END"
 TREE = f"concat(CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END, '/', lang, '/clip', CAST(doc_id AS VARCHAR(20)), {EXT})"
@@ -345,7 +394,7 @@ def a14_protocol_manifest(spark, sf):
     "a14_protocol_summary",
     with_(views.SCORED, PROTOCOL_SQL)
     + """ SELECT count(*) AS clips, CAST(sum(1-label) AS BIGINT) AS real, CAST(sum(label) AS BIGINT) AS synthetic,
- count(DISTINCT grp) AS groups, count(DISTINCT CASE WHEN label = 1 THEN grp END) AS families FROM manifest""",
+ count(DISTINCT grp) AS groups, string_agg(DISTINCT CASE WHEN label = 1 THEN split_part(grp, ':', 3) END, ',' ORDER BY CASE WHEN label = 1 THEN split_part(grp, ':', 3) END) AS families FROM manifest""",
 )
 def a14_protocol_summary(spark, sf):
     return Mf.manifest_summary(protocol_manifest(spark, sf))

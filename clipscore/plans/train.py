@@ -45,14 +45,15 @@ def bare(root: str) -> str:
 
 
 def extract_base(spark: SparkSession, root: str, mode: str):
-    """Extractor for the store: missing clips to (identity, clip_id, vector)."""
+    """Extractor for the store: missing clips to (identity, vector, reason); ``mode="fail"`` stops at a bad clip."""
 
     def run(todo: DataFrame) -> DataFrame:
         files = contents(spark, root, todo).select("path", "content")
         rows = files.join(todo.select("path", "identity"), "path")
         clips = rows.withColumn("clip_id", F.col("identity"))
-        good, _ = CF.features(clips, ("base",), mode=mode)
-        return good.select(F.col("clip_id").alias("identity"), F.col("base").alias("vector"))
+        made, _ = CF.features(clips, ("base",), mode=mode, together=mode != "fail")
+        reason = "reason" if mode != "fail" else F.lit(None).cast("string").alias("reason")
+        return made.select(F.col("clip_id").alias("identity"), F.col("base").alias("vector"), reason)
 
     return run
 
@@ -131,8 +132,6 @@ def train(
         split = splits.split_data(rows, "label", "filename", "grp" if grouped else None, test_size, seed)
     everything = rows.withColumn("side", F.lit("train")) if split is None else split
     everything = everything.join(files, "filename").withColumn("clip_id", F.col("filename")).persist()
-    if mode != "fail":
-        sinks.write_json(rejects, f"{output}/rejects")
 
     # The store keeps what was extracted: a failed or repeated run starts from there.
     place = feature_store or Mo.shared_path(spark)
@@ -140,7 +139,13 @@ def train(
         spark, place, everything.select("path", "length", "modificationTime"), CF.CODE_VERSION, "base",
         extract_base(spark, root, mode),
     )
-    data = everything.join(stored.select("path", F.col("vector").cast("array<double>").alias("v")), "path")
+    if mode == "fail":
+        checks.fail_if_any(stored.where("reason IS NOT NULL").select("path", "reason"), "stored clips")
+    else:
+        unusable = stored.where("reason IS NOT NULL").select(F.col("path").alias("item"), "reason")
+        sinks.write_json(rejects.unionByName(unusable, allowMissingColumns=True), f"{output}/rejects")
+    usable = stored.where("reason IS NULL")
+    data = everything.join(usable.select("path", F.col("vector").cast("array<double>").alias("v")), "path")
     data = data.persist()
     model = Mo.fit_blend(data.where("side = 'train'"), Mo.two_forests(SPECTRAL, "v", trees, depth))
     model.save(f"{output}/model")

@@ -27,7 +27,8 @@ def repeated(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """All rows; a column that some parts lack is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def fail_if_any(violations: DataFrame, what: str) -> None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clipscore.functions.scores import in_unit, label_of
-from clipscore.operators.ordered import ranked
+from clipscore.operators.ordered import running
 from clipscore.sources import checks
 
 # Protocol layout.
@@ -52,10 +53,11 @@ def row_violations(manifest: DataFrame) -> DataFrame:
 
 def manifest_violations(manifest: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Every problem of a manifest as (item, reason): bad rows, missing files, duplicates, and a
-    class that is absent altogether."""
+    class that is absent altogether.  Problems of one row name its file and line where they are known."""
     bad = row_violations(manifest).where(F.col("reason").isNotNull())
+    lines = [c for c in ("source_file", "line") if c in manifest.columns]
     parts = [
-        bad.select(F.col("filename").alias("item"), "reason"),
+        bad.select(F.col("filename").alias("item"), "reason", *lines),
         checks.repeated(manifest, "filename", "duplicate path"),
         manifest.agg(F.count_distinct("label").alias("n"))
         .where("n <> 2")
@@ -64,23 +66,35 @@ def manifest_violations(manifest: DataFrame, listing: DataFrame | None = None) -
     if listing is not None:
         absent = manifest.join(listing.select("filename"), "filename", "left_anti")
         parts.append(
-            absent.select(F.col("filename").alias("item"), F.lit("missing audio").alias("reason"))
+            absent.select(F.col("filename").alias("item"), F.lit("missing audio").alias("reason"), *lines)
         )
     return checks.union(parts)
 
 
 def with_lines(df: DataFrame, name: str = "line", first: int = 2) -> DataFrame:
-    """Number the rows of one file in file order (data starts on line 2)."""
-    at = df.withColumn("_at", F.monotonically_increasing_id())
-    return ranked(at, [], ["_at"], name).withColumn(name, F.col(name) + (first - 1)).drop("_at")
+    """Number the rows of every file that ``df`` reads, in file order (data below a header starts on line 2);
+    adds ``source_file`` too.
+
+    A large file is read in blocks.  Rows are counted per block, running sums of the counts give where a
+    block starts, and a window inside each block does the rest: no task sees more than a block.
+    """
+    meta = F.col("_metadata")
+    at = df.select("*", meta["file_path"].alias("source_file"), meta["file_block_start"].alias("_block")).withColumn("_at", F.monotonically_increasing_id())
+    counts = at.groupBy("source_file", "_block").agg(F.count("*").alias("_rows"))
+    starts = running(counts, ["source_file"], ["_block"], {"_start": F.col("_rows")}).select("source_file", "_block", "_start_before")
+    inside = Window.partitionBy("source_file", "_block").orderBy("_at")
+    placed = at.withColumn("_n", F.row_number().over(inside)).join(starts, ["source_file", "_block"])
+    line = (F.col("_start_before") + F.col("_n") + (first - 1)).cast("bigint")
+    return placed.select(*df.columns, "source_file", line.alias(name))
 
 
 def read_manifest(
     spark: SparkSession, path: str, listing: DataFrame | None = None, mode: str = "fail"
 ) -> tuple[DataFrame, DataFrame]:
-    """Manifest as (filename, label[, grp]) plus its rejects."""
+    """Manifest as (filename, label[, grp]) plus its rejects, which carry source_file and line."""
+    numbered = normalized(with_lines(read_delimited(spark, path).drop("line", "source_file")))
+    problems = manifest_violations(numbered, listing)
     rows = normalized(read_delimited(spark, path))
-    problems = manifest_violations(rows, listing)
     if mode == "fail":
         checks.fail_if_any(problems, f"manifest {path}")
         return rows, problems
@@ -172,7 +186,7 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
     """Template names with their row order ``ord`` (tab-separated whatever the suffix)."""
     raw = read_delimited(spark, path, "\t")
     require_columns(raw, {"filename"}, "template")
-    return with_lines(raw.select(F.trim("filename").alias("filename")), "ord", 1)
+    return with_lines(raw, "ord", 1).select(F.trim("filename").alias("filename"), "ord")
 
 
 def ordered_by_template(inputs: DataFrame, template: DataFrame) -> DataFrame:
@@ -224,14 +238,14 @@ def manifest_summary(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("real"),
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("synthetic"),
         F.count_distinct("grp").alias("groups"),
-        F.count_distinct(family).alias("families"),
+        F.array_join(F.array_sort(F.collect_set(family)), ",").alias("families"),
     )
 
 
 def build_protocol_manifest(
     spark: SparkSession, path: str, listing: DataFrame, prefix: str, mode: str = "fail"
 ) -> tuple[DataFrame, DataFrame]:
-    parsed = parse_protocol(spark.read.text(path))
+    parsed = parse_protocol(with_lines(spark.read.text(path), first=1))
     good, rejects = checks.admit(parsed, mode, f"protocol {path}")
     manifest = protocol_manifest(good.withColumn("reason", F.lit(None)), listing, prefix)
     if mode == "fail":

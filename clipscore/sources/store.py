@@ -25,12 +25,13 @@ def missing_clips(listing: DataFrame, store: DataFrame, code_version: str, view:
 def extend_store(
     spark: SparkSession, path: str, listing: DataFrame, code_version: str, view: str, extract
 ) -> DataFrame:
-    """Append features of missing clips and return the rows of the current listing.
+    """Append missing clips and return the rows of the current listing: a ``vector``, or the ``reason`` for none.
 
-    ``extract`` maps a listing to (identity, vector).  An interrupted run resumes by itself: what
-    was committed is found by identity.
+    ``extract`` maps a listing to (identity, vector) and, where clips can be rejected, reason.  Rejected clips are
+    stored like others, so they are not read again before they change.  An interrupted run resumes by
+    itself: what was committed is found by identity, within the part of this code version alone.
     """
-    target = f"{path}/view={view}"
+    target = f"{path}/view={view}/code={code_version}"
     try:
         store = spark.read.parquet(target)
     except Exception as error:
@@ -39,11 +40,21 @@ def extend_store(
         store = None
     wanted = listing.withColumn("identity", identity(code_version, view))
     todo = wanted if store is None else missing_clips(listing, store, code_version, view)
-    extract(todo).write.mode("append").parquet(target)
+    made = extract(todo)
+    reason = F.col("reason") if "reason" in made.columns else F.lit(None).cast("string")
+    made.select("identity", F.when(reason.isNull(), F.col("vector")).alias("vector"), reason.alias("reason")).write.mode("append").parquet(target)
     saved = spark.read.parquet(target).dropDuplicates(["identity"])
     return wanted.join(saved, "identity")
 
 
+def compacted(spark: SparkSession, path: str, code_version: str, view: str, output: str) -> DataFrame:
+    """Write a store's part as one row per identity to ``output``, a new store; appends of many runs leave small files
+    and, where runs met, repeated rows."""
+    rows = spark.read.parquet(f"{path}/view={view}/code={code_version}").dropDuplicates(["identity"])
+    rows.write.mode("errorifexists").parquet(f"{output}/view={view}/code={code_version}")
+    return spark.read.parquet(f"{output}/view={view}/code={code_version}")
+
+
 def spot_check(
     store: DataFrame,
     listing: DataFrame,

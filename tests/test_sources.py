@@ -63,6 +63,30 @@ def test_lines_number_the_file(spark, tmp_path):
     assert {r["filename"]: r["line"] for r in got} == {"a.wav": 2, "b.wav": 3}
 
 
+def test_lines_over_blocks_and_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for f, n in (("x.csv", 900), ("y.csv", 400), ("z.csv", 0)):
+        (folder / f).write_text("filename,label\n" + "".join(f"{f}{i},real\n" for i in range(n)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        read = manifest.with_lines(manifest.read_delimited(spark, str(folder)))
+        got = {r["filename"]: (r["source_file"].rsplit("/", 1)[1], r["line"]) for r in read.collect()}
+        assert manifest.read_delimited(spark, str(folder)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"{f}{i}": (f, i + 2) for f, n in (("x.csv", 900), ("y.csv", 400)) for i in range(n)}
+
+
+def test_rejects_carry_their_line(spark, tmp_path):
+    path = write(tmp_path, "m.csv", "filename,label,group\na.wav,real,g\nb.wav,maybe,h\nc.wav,fake,\nd.wav,fake,k\nd.wav,fake,k\n")
+    _, problems = manifest.read_manifest(spark, path, names(spark, "a.wav", "b.wav", "c.wav", "d.wav"), mode="quarantine")
+    assert {(r["item"], r["line"]) for r in problems.collect()} == {("b.wav", 3), ("c.wav", 4), ("d.wav", None)}
+    with pytest.raises(ValueError, match="line=3"):
+        manifest.read_manifest(spark, path)
+
+
 @pytest.mark.parametrize("value", ["nan", "inf", "-0.01", "1.01", "", "x"])
 def test_external_scores_reject(spark, tmp_path, value):
     path = write(tmp_path, "s.tsv", f"filename\tcm-score\na.wav\t0.25\nb.wav\t{value}\n")
@@ -120,7 +144,7 @@ def test_protocol(spark, tmp_path):
         f"{ids[2]}.flac": (1, "corpus:spoof:A02"),
     }
     s = manifest.manifest_summary(rows).first()
-    assert (s["clips"], s["real"], s["synthetic"], s["groups"], s["families"]) == (3, 1, 2, 3, 2)
+    assert (s["clips"], s["real"], s["synthetic"], s["groups"], s["families"]) == (3, 1, 2, 3, 'A01,A02')
     for bad in ("S1 ../x F - - - - - bonafide -", f"S1 {ids[0]} F - - - - bonafide -", f"S1 {ids[0]} F - - - - - odd -"):
         with pytest.raises(ValueError):
             manifest.build_protocol_manifest(spark, write(tmp_path, "b.txt", bad + "\n"), listed, "c")
@@ -203,6 +227,25 @@ def test_store_extracts_only_what_is_missing(spark, tmp_path):
     assert calls == [["a", "b"], ["a", "c"], ["a", "b", "c"]]
 
 
+def test_store_keeps_rejects(spark, tmp_path):
+    listed = spark.createDataFrame([(p, n, "t") for p, n in (("a", 1), ("b", 2), ("c", 3))], "path string, length long, modificationTime string")
+    calls = []
+
+    def extract(todo):
+        calls.append(sorted(r["path"] for r in todo.collect()))
+        bad = F.when(F.col("path") == "b", "odd header")
+        return todo.select("identity", F.array(F.col("length").cast("float")).alias("vector"), bad.alias("reason"))
+
+    for _ in range(2):
+        out = {r["path"]: (r["vector"], r["reason"]) for r in store.extend_store(spark, str(tmp_path), listed, "1", "base", extract).collect()}
+        assert out == {"a": ([1.0], None), "b": (None, "odd header"), "c": ([3.0], None)}
+    assert calls == [["a", "b", "c"], []]
+    target = f"{tmp_path}/view=base/code=1"
+    spark.read.parquet(target).write.mode("append").parquet(f"{tmp_path}/twice/view=base/code=1")
+    spark.read.parquet(target).write.mode("append").parquet(f"{tmp_path}/twice/view=base/code=1")
+    assert store.compacted(spark, f"{tmp_path}/twice", "1", "base", f"{tmp_path}/once").count() == 3
+
+
 def test_spot_check(spark):
     rows = spark.createDataFrame([(i, f"p{i}", [float(i)] * 3) for i in range(7)], "pos long, path string, vector array<double>")
     files = spark.createDataFrame([("p0", 1), ("p1", 2)], "path string, modificationTime long")
