@@ -12,7 +12,7 @@ from clipscore.catalog.selection import counts_sql, recursive, share_sql
 from clipscore.operators import models as Mo
 from clipscore.operators import registry as Rg
 from clipscore.operators import splits
-from clipscore.plans import fusion, unseen
+from clipscore.plans import compare, fusion, unseen
 
 catalog = Catalog()
 
@@ -201,3 +201,13 @@ def k11_select_to_unseen(spark, sf):
     return models.unionByName(policies, allowMissingColumns=True).select(
         "model", "chosen", *[r6(c).alias(c) for c in ("oof_min_dcf", "cutoff", "unseen_dcf", "far", "miss")]
     )
+
+
+@catalog.add("j11_expansion_models")
+def j11_expansion_models(spark, sf):
+    """One model on three training corpora, the same five held-out folds, scored on the old clips."""
+    data = rows(spark, sf)
+    folds = splits.stratified_group_folds(data, "label", "grp", FOLDS, 42).select("grp", "fold")
+    maker = lambda d: Mo.fit(d, Mo.Spec("logistic", "logistic", c=0.1))
+    out = compare.corpus_expansion(data.where("clip_id % 2 = 0"), data.where("clip_id % 2 = 1"), folds, FOLDS, maker, Mo.shared_path(spark))
+    return out.select("training", "fold", *[r6(c).alias(c) for c in ("min_dcf", "auc", "eer")])

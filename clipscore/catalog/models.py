@@ -13,6 +13,7 @@ from clipscore.functions import scores as S
 from clipscore.operators import comparison, splits
 from clipscore.operators import metrics as M
 from clipscore.operators import models as Mo
+from clipscore.operators import registry as Rg
 from clipscore.plans import compare
 
 catalog = Catalog()
@@ -153,13 +154,15 @@ def oof_scores(spark, sf):
 
 @catalog.add("k10_oof_scores")
 def k10_oof_scores(spark, sf):
-    """Out-of-fold scores; clips without exactly one finite score per model would be an error."""
-    from clipscore.sources.checks import fail_if_any
-
-    data, oof = oof_scores(spark, sf)
-    gaps = splits.completeness(oof, ["model"], data.select("clip_id"), oof.select("model"))
-    fail_if_any(gaps, "out-of-fold scores")
-    return oof.withColumn("score", r6("score"))
+    """Out-of-fold scores of a logistic model, of two forests and of their composite, which is read from their
+    scores; clips without exactly one finite score per model would be an error."""
+    data = rows(spark, sf)
+    folds = splits.greedy_folds(splits.group_sizes(data, ["label"], "grp"), ["label"], "grp", 4)
+    specs = [Mo.Spec("logistic", "logistic", c=0.1), *[s for s, _ in Mo.two_forests(SPECTRAL, "v", **FOLD_FOREST)]]
+    fits = {s.name: (lambda d, s=s: Mo.fit(d, s)) for s in specs}
+    made = Rg.build(data, folds.select("grp", "fold"), 4, fits, Mo.shared_path(spark))
+    out = Rg.with_blends(made.out_of_fold(spark), {"two_forests": {"forest_full": 0.5, "forest_spectral": 0.5}})
+    return out.withColumn("score", r6("score"))
 
 
 @catalog.add("k11_select_and_refit")

@@ -84,7 +84,7 @@ def build(
     try:
         wanted = list(range(n_folds)) + ([] if unseen is None else [ALL])
         parallel([one(name, fold) for fold in wanted for name in makers], workers)
-        oof = registry.out_of_fold(spark)
+        oof = registry.out_of_fold(spark).where(F.col("model").isin(list(makers)))
         models = spark.createDataFrame([(name,) for name in makers], "model string")
         gaps = splits.completeness(oof, ["model"], placed.select("clip_id"), models)
         checks.fail_if_any(gaps, "out-of-fold scores")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipscore.functions.scores import container_adjusted
 from clipscore.operators import metrics as M
 from clipscore.operators import models as Mo
+from clipscore.operators import registry as Rg
 from clipscore.operators import splits
 from clipscore.operators.comparison import select_model, weight_sweep
 from clipscore.sources import checks
@@ -73,6 +74,28 @@ def recorded_holdout(df: DataFrame, held: DataFrame, makers: dict) -> DataFrame:
     return M.summary(checks.union(Mo.parallel([one(n) for n in makers])), ["system"])
 
 
+def corpus_expansion(
+    old: DataFrame, new: DataFrame, folds: DataFrame, n_folds: int, maker, path: str, prefix: str = "real:"
+) -> DataFrame:
+    """Metrics of one model trained on three corpora: the old clips, these with the new clips of real speakers, and
+    all; per corpus (``training``) and fold, and pooled (fold -1).
+
+    The held-out groups are the same for all corpora and leave each of them; only old clips are scored
+    in the report.  Fits lie in one registry keyed by (corpus, fold).
+    """
+    spark = old.sparkSession
+    corpora = {
+        "original": old,
+        "speakers": old.unionByName(new.where(F.col("grp").startswith(prefix))),
+        "expanded": old.unionByName(new),
+    }
+    for name, corpus in corpora.items():
+        made = Rg.build(corpus, folds, n_folds, {name: maker}, path)
+    scores = made.out_of_fold(spark).join(old.select("clip_id"), "clip_id", "left_semi")
+    scoped = scores.withColumn("fold", F.explode(F.array("fold", F.lit(-1))))
+    return M.summary(scoped.withColumnRenamed("model", "training"), ["training", "fold"])
+
+
 def cost_at_training_cutoff(per_partition: DataFrame, holdout: DataFrame) -> DataFrame:
     """Mean training minDCF, median cutoff, and the cost of that cutoff on the holdout, per model."""
     chosen = select_model(per_partition).select("model", "mean_min_dcf", "cutoff", "chosen")

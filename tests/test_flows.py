@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipscore.operators import registry as Rg
-from clipscore.plans import fusion, unseen
+from clipscore.plans import compare, fusion, unseen
 
 
 class Mean:
@@ -55,6 +55,27 @@ def test_registry_fits_each_pair_once_and_resumes(spark, tmp_path):
     assert made.unseen(spark).count() == 10 and not Rg.committed(spark, made.place("a", 7))
 
 
+def test_corpora_share_held_out_groups(spark, tmp_path):
+    _, old = clips(spark)
+    new = old.select((F.col("clip_id") + 100).alias("clip_id"), "label", F.when(F.col("label") == 0, F.concat(F.lit("real:"), "grp")).otherwise(F.col("grp")).alias("grp"), "x")
+    digit = F.expr("cast(right(grp, 1) as int)")
+    folds = old.unionByName(new).select("grp").distinct().withColumn("fold", digit % 2)
+    seen: list = []
+
+    class Taught(Mean):
+        def __init__(self, d):
+            seen.append((d.where("clip_id >= 100 AND label = 0").count(), d.where("clip_id >= 100 AND label = 1").count(), d.select(digit % 2).distinct().count()))
+            self.mean = 0.0
+
+    out = compare.corpus_expansion(old, new, folds, 2, Taught, f"{tmp_path}/c")
+    got = {(r.training, r.fold): r.auc for r in out.collect()}
+    assert sorted(got) == sorted((t, f) for t in ("original", "speakers", "expanded") for f in (-1, 0, 1))
+    assert len({got[t, -1] for t in ("original", "speakers", "expanded")}) == 1  # the same clips are scored
+    assert all(parts == 1 for *_, parts in seen) and len(seen) == 6
+    assert {bool(r) for r, s, _ in seen[:2]} == {False} and sum(r for r, _, _ in seen[2:4]) == 30
+    assert sum(s for _, s, _ in seen[2:4]) == 0 and sum(r + s for r, s, _ in seen[4:]) == 60
+
+
 def test_incomplete_scores_are_an_error(spark, tmp_path):
     _, df = clips(spark)
     folds = df.select("grp").distinct().withColumn("fold", F.lit(0))
