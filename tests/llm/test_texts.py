@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -60,6 +61,33 @@ def test_secret_spans_equal_plain_python(spark):
     assert any("entropy" in w[1] for w in want) and secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_long_runs_and_many_matches(spark):
+    """Work in proportion to the text: a run of 150,000 characters and 20,000 matches of two kinds, beyond plain ASCII."""
+    rng = random.Random(11)
+    drawn = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    hexes = [drawn("0123456789abcdef", 32) for _ in range(10_000)]
+    mixed = "é".join(f"{h}😀{drawn(base64, 30)}" for h in hexes)
+    texts = ["é😀 " + drawn(base64, 150_000) + " end", mixed, "x" + "ab" * 50_000]
+    data = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    found = {r.doc_id: r for r in secret_scan.scan(frame(spark, data)).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, data)).collect()}
+    for doc, text, *_ in data:
+        base = plain_base(text)
+        every = sorted(base + plain_entropy(text, base))
+        assert found[doc].spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in every)
+        at, out = 0, ""
+        for a, _, b in every:
+            out += text[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert clean[doc] == out + text[at:]
+    assert found[1].n_hex == 10_000 and found[1].n_entropy > 5_000 and found[0].n_entropy == 1
+
+
+def test_redaction_of_no_documents(spark):
+    assert secret_scan.redact(frame(spark, [])).count() == 0
+
+
 def test_redaction_strikes_out_the_spans(spark):
     data = [(i, t, None, None, None) for i, t in enumerate(SECRETS)] + [(50, None, None, None, None), (51, "nothing", None, None, 7)]
     for r in secret_scan.redact(frame(spark, data)).collect():
