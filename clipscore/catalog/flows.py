@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clipscore import views
 from clipscore.catalog.common import Catalog, r6, s6, with_
 from clipscore.catalog.metrics import AUC_SQL, LONG, curve_sql, long_scores
-from clipscore.catalog.models import rows
+from clipscore.catalog.models import rows, three_views
 from clipscore.catalog.selection import counts_sql, recursive, share_sql
 from clipscore.operators import models as Mo
 from clipscore.operators import registry as Rg
@@ -54,11 +54,6 @@ def k11_attack_recall(spark, sf):
     return out.select("grp", "model", "spoofs", r6("recall").alias("recall"))
 
 
-def three_views(df):
-    parts = {"base_lfcc": F.col("v"), "temporal": F.slice("v", 1, 24), "base": F.slice("v", 25, 40)}
-    return df.withColumns(parts)
-
-
 # Members of the registry and the blends read from their scores.
 MEMBERS = (
     Mo.Spec("logistic_full", "logistic", "base_lfcc", 0.1),
