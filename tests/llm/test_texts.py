@@ -134,12 +134,85 @@ def test_no_labels_no_model(spark):
     assert {r.lang_pred for r in got} == {"und"} and langid.identify(frame(spark, [])).count() == 0
 
 
-def test_probabilities_of_a_history_add_up(spark):
-    model = langid.fit(frame(spark, documents()))
-    symbols = np.arange(1 << langid._BITS)
-    for history in (0, 1, (5 << langid._BITS) | 9, (300 << 3) | 77):
-        p = 2.0 ** langid.log_probabilities(model, (history << langid._BITS) | symbols)
-        assert (p.sum(axis=1) <= 1 + 1e-9).all() and (p > 0).all()
+def plain_kneser_ney(texts, kinds):
+    """The recursion over dictionaries: P(symbol | history) of one language."""
+    tri = Counter()
+    for text in texts:
+        syms = [0]
+        for c in text.lower():
+            point = ord(c) if c.isalpha() else 0
+            if point or syms[-1]:
+                syms.append(point)
+        syms += [0] if syms[-1] else []
+        tri.update(tuple(syms[i : i + 3]) for i in range(len(syms) - 2))
+    counts = {3: tri}
+    for n in (2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / kinds
+        c = counts[n]
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = n1 / (n1 + 2 * n2) if n1 else 0.5
+        after = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return max(c[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+def packed(gram):
+    return sum(s << (langid._BITS * i) for i, s in enumerate(reversed(gram)))
+
+
+def test_probabilities_equal_plain_recursion(spark):
+    texts = {"aa": ["abra cadabra!", "a b", "Ab  ra", ""], "zz": ["ДДД жжж", "жаба 漢字", "𐐀𐐨 x"]}
+    data = [(i, t, lang, None, 1) for lang, ts in texts.items() for i, t in enumerate(ts * 3)]
+    docs = langid.training_sample(frame(spark, data), 400)
+    counts = langid._gram_counts(docs)
+    learnt = {s for r in counts.collect() for s in [r.code & ((1 << langid._BITS) - 1)]}
+    rows_ = {(r.lang, r.n): r for r in langid._fitted(counts, len(learnt) + 1).collect()}
+    orders = tuple(tuple(langid.Order(*[np.array(rows_[x, n][c]) for c in ("gram", "prob", "history", "weight")]) for n in (1, 2, 3)) for x in texts)
+    flat = np.zeros(2)
+    model = langid.Model(tuple(texts), len(learnt) + 1, orders, flat, flat, flat, 1.0)
+    unseen = ord("q")
+    for lang, name in enumerate(texts):
+        p = plain_kneser_ney(texts[name] * 3, model.kinds)
+        histories = [(0, ord("a")), (ord("a"), ord("b")), (ord("ж"), ord("ж")), (unseen, unseen), (0, 0), (unseen, ord("a"))]
+        for history in histories:
+            grams = [(*history, s) for s in (*sorted(learnt), unseen)]
+            got = 2.0 ** langid.log_probabilities(model, lang, np.array([packed(g) for g in grams], np.int64))
+            assert got == pytest.approx([p(g) for g in grams], rel=1e-12)
+            assert got.sum() == pytest.approx(1, abs=1e-9)
+        h, n = langid.cross_entropies(model, ["ab ra", "жаба q", ""])
+        bits = [-math.log2(p(g)) for g in ((0, 97, 98), (97, 98, 0), (98, 0, 114), (0, 114, 97), (114, 97, 0))]
+        assert h[lang][0] == pytest.approx(sum(bits) / 5) and list(n) == [5, 6, 0] and h[lang][2] == 0
+
+
+def test_large_scripts_and_many_languages(spark):
+    """Two scripts of 2,000 letters each beside five small alphabets and 600 rare labels."""
+    draw = random.Random(5)
+    scripts = {"big1": range(0x4E00, 0x4E00 + 2000), "big2": range(0xAC00, 0xAC00 + 2000)}
+    scripts |= {f"small{i}": range(a, a + 24) for i, a in enumerate((0x61, 0x3B1, 0x430, 0x5D0, 0x10D0))}
+    data = []
+    for lang, points in scripts.items():
+        for i in range(120):
+            words = ["".join(chr(draw.choice(points)) for _ in range(4)) for _ in range(40)]
+            data.append((len(data), " ".join(words), lang, "s", 1))
+    data += [(10_000 + i, "rare words here", f"rare{i:03d}", "s", 1) for i in range(600)]
+    got = {r.doc_id: r for r in langid.identify(frame(spark, data)).collect()}
+    held = [d for d in data if d[2] in scripts and got[d[0]].held_out]
+    for lang in scripts:
+        own = [got[d[0]].lang_pred == lang for d in held if d[2] == lang]
+        assert sum(own) / len(own) > 0.95
+    assert len(got) == len(data)
+
+
+def test_keep_accepted_of_no_documents(spark):
+    assert langid.keep_accepted(frame(spark, [])).collect() == []
 
 
 # BPE ---------------------------------------------------------------------------------------------
