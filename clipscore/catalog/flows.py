@@ -1,18 +1,22 @@
-"""Flows of several steps: from out-of-fold choice to unseen data (K9-K11, I8, G6), nested fusion (K17 inside J9)."""
+"""Flows of several steps: from out-of-fold choice to unseen data (K9-K11, I8, G6), nested fusion (K17 inside J9),
+routing on group holdouts (K19-K22 on J8)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from clipscore import views
 from clipscore.catalog.common import Catalog, r6, s6, with_
 from clipscore.catalog.metrics import AUC_SQL, LONG, curve_sql, long_scores
-from clipscore.catalog.models import rows, three_views
+from clipscore.catalog.models import conditions, rows, three_views
+from clipscore.catalog.routing import ROWS, routed_rows
 from clipscore.catalog.selection import counts_sql, recursive, share_sql
 from clipscore.operators import models as Mo
 from clipscore.operators import registry as Rg
 from clipscore.operators import splits
-from clipscore.plans import compare, fusion, unseen
+from clipscore.plans import compare, fusion, holdout_routing, unseen
 
 catalog = Catalog()
 
@@ -206,3 +210,78 @@ def j11_expansion_models(spark, sf):
     maker = lambda d: Mo.fit(d, Mo.Spec("logistic", "logistic", c=0.1))
     out = compare.corpus_expansion(data.where("clip_id % 2 = 0"), data.where("clip_id % 2 = 1"), folds, FOLDS, maker, Mo.shared_path(spark))
     return out.select("training", "fold", *[r6(c).alias(c) for c in ("min_dcf", "auc", "eer")])
+
+
+def renamed(sql: str, suffix: str) -> str:
+    """A second curve in one statement, under names of its own."""
+    return re.sub(r"\b(pts|cum|cand|costed|best|roc|eer)\b(?= AS \(|\)| |,|$)", lambda m: m[1] + suffix, sql)
+
+
+HOLDOUTS = (
+    "grouped AS (SELECT *, 'g' || CAST(clip_id % 20 AS VARCHAR) AS grp FROM rows)",
+    "gt AS (SELECT grp, sum(1-label) AS real, sum(label) AS spoof FROM grouped GROUP BY grp)",
+    """drawn AS (SELECT seed, grp, real, spoof, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(CAST(seed AS VARCHAR), ':', grp)), grp)
+ <= (SELECT CAST(ceil(count(*)*25e-2) AS BIGINT) FROM gt) AS held FROM gt, range(73, 78) r(seed))""",
+    """ok AS (SELECT seed FROM drawn GROUP BY seed HAVING sum(CASE WHEN held THEN real ELSE 0 END) > 0 AND sum(CASE WHEN held THEN spoof ELSE 0 END) > 0
+ AND sum(CASE WHEN held THEN 0 ELSE real END) > 0 AND sum(CASE WHEN held THEN 0 ELSE spoof END) > 0)""",
+    """parts AS (SELECT CAST(d.seed - 73 AS INT) AS fold, d.held, g.* FROM grouped g JOIN drawn d ON g.grp = d.grp JOIN ok ON ok.seed = d.seed
+ UNION ALL SELECT -1, false, g.* FROM grouped g)""",
+    """cgrid AS (SELECT fold, scope, label, i/2e1 AS alpha, round(i/2e1*a + (1e0 - i/2e1)*b, 12) AS score
+ FROM (SELECT fold, cluster AS scope, label, a, b FROM parts WHERE NOT held UNION ALL SELECT fold, -1, label, a, b FROM parts WHERE NOT held) q, range(0, 21) g(i))""",
+    curve_sql("fold, scope, alpha", "cgrid").replace("nr-rb)*1e0/nr", "nr-rb)*1e0/nullif(nr, 0)").replace("pb*1e0/np", "pb*1e0/nullif(np, 0)"),
+    """chosen AS (SELECT fold, scope, alpha FROM (SELECT *, row_number() OVER (PARTITION BY fold, scope ORDER BY cost, alpha) AS r FROM best
+ WHERE cost IS NOT NULL) q WHERE r = 1)""",
+    """weights AS (SELECT f.fold, f.cluster, size, size >= 40 AND both_classes AS own,
+ CASE WHEN size >= 40 AND both_classes THEN c.alpha ELSE o.alpha END AS alpha, o.alpha AS overall
+ FROM (SELECT fold, cluster, count(*) AS size, min(label) <> max(label) AS both_classes FROM parts WHERE NOT held GROUP BY fold, cluster) f
+ LEFT JOIN chosen c ON f.fold = c.fold AND f.cluster = c.scope JOIN chosen o ON o.fold = f.fold AND o.scope = -1)""",
+)
+
+
+@catalog.add(
+    "k20_holdout_weights",
+    with_(views.SPECTRA, ROWS, *HOLDOUTS) + f" SELECT fold, CAST(cluster AS INT) AS cluster, size, own, {s6('alpha')} AS alpha, {s6('overall')} AS overall FROM weights",
+)
+def k20_holdout_weights(spark, sf):
+    """Weights of a supplied partition on the training side of every group holdout and on all rows (-1)."""
+    out = holdout_routing.weights(supplied(spark, sf).where("NOT held"), "a", "b")
+    return out.withColumn("alpha", r6("alpha")).withColumn("overall", r6("overall"))
+
+
+@catalog.add(
+    "k21_holdout_routing",
+    with_(
+        views.SPECTRA,
+        ROWS,
+        *HOLDOUTS,
+        "overalls AS (SELECT fold, max(overall) AS overall FROM weights GROUP BY fold)",
+        "tested AS (SELECT p.*, o.overall, coalesce(w.alpha, o.overall) AS alpha FROM parts p JOIN overalls o ON o.fold = p.fold"
+        " LEFT JOIN weights w ON w.fold = p.fold AND w.cluster = p.cluster WHERE held)",
+        """pol AS (SELECT fold, 'overall' AS policy, label, round(overall*a + (1e0-overall)*b, 12) AS score FROM tested
+ UNION ALL SELECT fold, 'conditional', label, round(alpha*a + (1e0-alpha)*b, 12) FROM tested)""",
+        renamed(curve_sql("fold, policy", "pol"), "2"),
+        "per AS (SELECT b.fold, max(overall) AS alpha, max(CASE WHEN policy = 'overall' THEN cost END) AS o,"
+        " max(CASE WHEN policy = 'conditional' THEN cost END) AS c FROM best2 b JOIN overalls v ON v.fold = b.fold GROUP BY b.fold)",
+    )
+    + f" SELECT fold, {s6('alpha')} AS alpha, {s6('o')} AS overall_dcf, {s6('c')} AS conditional_dcf FROM per"
+    f" UNION ALL SELECT CAST(NULL AS INT), CAST(NULL AS DOUBLE), {s6('avg(o)')}, {s6('avg(c)')} FROM per",
+)
+def k21_holdout_routing(spark, sf):
+    """A supplied partition on five random group holdouts: cost of the overall and the cluster-wise blend, and their means."""
+    parts = supplied(spark, sf)
+    table = holdout_routing.weights(parts.where("NOT held"), "a", "b")
+    out = holdout_routing.report(holdout_routing.policies(parts.where("held"), table, "a", "b"), table)
+    return out.select("fold", *[r6(c).alias(c) for c in ("alpha", "overall_dcf", "conditional_dcf")])
+
+
+def supplied(spark, sf):
+    data = routed_rows(spark, sf).withColumn("grp", F.concat(F.lit("g"), (F.col("clip_id") % 20).cast("string")))
+    return holdout_routing.by_holdout(holdout_routing.roles(data)).withColumn("cluster", F.col("cluster").cast("int"))
+
+
+@catalog.add("k19_holdout_routing")
+def k19_holdout_routing(spark, sf):
+    """Scaler, clusters and weights fitted on the training groups of five holdouts, all in the same passes; costs on held groups."""
+    data = conditions(spark, sf).withColumn("grp", F.concat("grp", F.lit("/"), (F.col("clip_id") % 5).cast("string")))
+    out, _ = holdout_routing.evaluate(data, "quality", "a", "b")
+    return out.select("fold", *[r6(c).alias(c) for c in ("alpha", "overall_dcf", "conditional_dcf")])
