@@ -214,7 +214,7 @@ def j11_expansion_models(spark, sf):
 
 def renamed(sql: str, suffix: str) -> str:
     """A second curve in one statement, under names of its own."""
-    return re.sub(r"\b(pts|cum|cand|costed|best|roc|eer)\b(?= AS \(|\)| |,|$)", lambda m: m[1] + suffix, sql)
+    return re.sub(r"\b(pts|cum|cand|costed|best|roc|eer)\b(?=[\s,)]|$)", lambda m: m[1] + suffix, sql)
 
 
 HOLDOUTS = (
