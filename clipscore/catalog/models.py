@@ -14,7 +14,7 @@ from clipscore.operators import comparison, splits
 from clipscore.operators import metrics as M
 from clipscore.operators import models as Mo
 from clipscore.operators import registry as Rg
-from clipscore.plans import compare
+from clipscore.plans import compare, fusion, tuning
 
 catalog = Catalog()
 
@@ -233,14 +233,27 @@ def k14_path_explanation(spark, sf):
     )
 
 
+def with_status(spark, sf):
+    return rows(spark, sf).withColumn("status", F.when(F.col("clip_id") % 5 < 3, "consistent").otherwise("inconsistent"))
+
+
 @catalog.add("k18_select_penalty")
 def k18_select_penalty(spark, sf):
-    """The kernel machine's penalty by container-adjusted inner scores."""
-    status = F.when(F.col("clip_id") % 5 < 3, "consistent").otherwise("inconsistent")
-    data = rows(spark, sf).withColumn("status", status).persist()
-    folds = splits.stratified_group_folds(data, "label", "grp", 2, 42).select("grp", "fold")
-    best, costs = Mo.select_c(data, folds, 2, Mo.Spec("rbf_svm", "svm", random_features=128, iterations=20), status="status")
-    return costs.select("c", r6("min_dcf").alias("min_dcf"), (F.col("c") == best).alias("chosen"))
+    """The kernel machine's penalty by container-adjusted out-of-fold scores of all rows, five folds."""
+    data = with_status(spark, sf)
+    raw = tuning.path_scores(data, Mo.Spec("rbf_svm", "svm"), Mo.SVM_CS, Mo.shared_path(spark), 5, 0)
+    scores = raw.join(data.select("clip_id", "status"), "clip_id")
+    scores = scores.withColumn("score", S.container_adjusted(F.col("score"), F.col("status")))
+    costs, best = tuning.penalty_costs(scores), tuning.choose_penalties(scores).select("outer", F.col("c").alias("best"))
+    return costs.join(best, "outer").select("c", r6("min_dcf").alias("min_dcf"), (F.col("c") == F.col("best")).alias("chosen"))
+
+
+@catalog.add("k18_nested_penalty")
+def k18_nested_penalty(spark, sf):
+    """Penalty chosen inside five outer folds on three inner ones, against the fixed blend, per outer fold and pooled."""
+    chosen, systems = tuning.nested_penalty(with_status(spark, sf), Mo.Spec("rbf_svm", "svm"), Mo.shared_path(spark))
+    out = fusion.report(systems).join(chosen.select("outer", "c"), "outer")
+    return out.select("system", "outer", F.when(F.col("system") == "tuned", F.col("c")).alias("c"), *[r6(x).alias(x) for x in ("min_dcf", "auc", "ap")])
 
 
 def conditions(spark, sf):
@@ -346,3 +359,24 @@ def k27_cost_at_training_cutoff(spark, sf):
     holdout = long_scores(spark, sf).where("corpus = 'a'")
     out = compare.cost_at_training_cutoff(per, holdout)
     return out.select("model", *[r6(c).alias(c) for c in ("mean_min_dcf", "cutoff", "holdout_dcf")])
+
+
+@catalog.add(
+    "k18_penalty_choice",
+    with_(
+        views.SCORED,
+        LONG,
+        PARTED,
+        curve_sql("model, partition", "parted"),
+        """walked AS (SELECT partition, cost, CASE model WHEN 'secondary' THEN 1e-1 ELSE 1e0 END AS c,
+ row_number() OVER (PARTITION BY partition ORDER BY round(cost, 12), CASE model WHEN 'secondary' THEN 0 ELSE 1 END) AS rn FROM best)""",
+    )
+    + f' SELECT partition AS "outer", CAST(c AS DOUBLE) AS c, {s6("cost")} AS inner_min_dcf FROM walked WHERE rn = 1',
+)
+def k18_penalty_choice(spark, sf):
+    """The choice alone, on given scores that stand for those of two penalties."""
+    from clipscore.catalog.tables import partitioned
+
+    c = F.when(F.col("model") == "secondary", 0.1).otherwise(1.0)
+    scores = partitioned(spark, sf).select(F.col("partition").alias("outer"), F.lit(0).alias("inner"), c.alias("c"), "label", "score")
+    return tuning.choose_penalties(scores).withColumn("inner_min_dcf", r6("inner_min_dcf"))

@@ -80,12 +80,16 @@ COMPARISON = (
 SVM_CS = (0.1, 0.3, 1.0, 3.0, 10.0)
 
 
+def fourier_basis(width: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and phases of random Fourier features of the RBF kernel with gamma = 1 / width."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, math.sqrt(2.0 / width), (width, features)), rng.uniform(0.0, 2 * math.pi, features)
+
+
 def random_fourier(vector: Column, width: int, features: int, seed: int) -> Column:
     """Random Fourier features of the RBF kernel with gamma = 1 / width on standardized input
     (Rahimi and Recht 2007): sqrt(2/D) cos(Wx + b), one matrix product per Arrow batch."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 / width), (width, features))
-    b = rng.uniform(0.0, 2 * math.pi, features)
+    w, b = fourier_basis(width, features, seed)
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -349,67 +353,80 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def _nodes(model: RandomForestClassificationModel, path: str) -> dict[str, np.ndarray]:
-    """Node arrays of a forest, trees one after another.  Their number is bounded by trees times
-    2^(depth+1), and Spark ships the same nodes to every task when it scores."""
+def _nodes(model: RandomForestClassificationModel, path: str) -> DataFrame:
+    """The nodes of a forest as a table (tree, id, p, left, right, feature), read from where the model is saved."""
     model.write().overwrite().save(path)
     table = SparkSession.active().read.parquet(f"{path}/data")
-    n = table.select("treeID", "nodeData.*").select(
+    total = F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda s, v: s + v)
+    return table.select(
         F.col("treeID").alias("tree"),
-        "id",
-        F.get("impurityStats", 1).alias("one"),
-        F.aggregate("impurityStats", F.lit(0.0), lambda s, v: s + v).alias("all"),
-        "leftChild",
-        "rightChild",
-        F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", 0).alias("threshold"),
+        F.col("nodeData.id").alias("id"),
+        (F.get("nodeData.impurityStats", 1) / total).alias("p"),
+        F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
     )
-    p = n.toPandas().sort_values(["tree", "id"], ignore_index=True)
-    first = p.groupby("tree").size().cumsum().shift(fill_value=0)
-    offset = p["tree"].map(first).to_numpy()
-    inner = p["leftChild"].to_numpy() >= 0
-    return {
-        "root": first.to_numpy(),
-        "p": (p["one"] / p["all"]).to_numpy(),
-        "left": np.where(inner, p["leftChild"] + offset, -1),
-        "right": np.where(inner, p["rightChild"] + offset, -1),
-        "feature": p["feature"].to_numpy(),
-        "threshold": p["threshold"].fillna(0.0).to_numpy(),
-    }
+
+
+def _leaf_paths(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, feature, gain): what each feature adds to the probability on the way to a leaf.
+
+    Leaves are numbered as ``leafCol`` numbers them, in the order of node ids.  A group is one tree, whose nodes
+    are bounded by 2^(depth+1).
+    """
+
+    def climb(tree: pd.DataFrame) -> pd.DataFrame:
+        tree = tree.sort_values("id", ignore_index=True)
+        p, feature = tree["p"].to_numpy(), tree["feature"].to_numpy()
+        left, right = tree["left"].to_numpy(), tree["right"].to_numpy()
+        inner = np.flatnonzero(left >= 0)
+        parent = np.zeros(len(tree), dtype=int)
+        parent[left[inner]] = parent[right[inner]] = inner
+        at = np.flatnonzero(left < 0)
+        leaf = np.arange(len(at))
+        steps = [pd.DataFrame({"leaf": leaf[:0], "feature": leaf[:0], "gain": p[:0]})]
+        while (live := at > 0).any():
+            at, leaf = at[live], leaf[live]
+            up = parent[at]
+            steps.append(pd.DataFrame({"leaf": leaf, "feature": feature[up], "gain": p[at] - p[up]}))
+            at = up
+        out = pd.concat(steps).groupby(["leaf", "feature"], as_index=False)["gain"].sum()
+        return out.assign(tree=tree["tree"].iloc[0])[["tree", "leaf", "feature", "gain"]]
+
+    return nodes.groupBy("tree").applyInPandas(climb, "tree int, leaf int, feature int, gain double")
 
 
 def path_contributions(df: DataFrame, blend: Blend, width: int) -> DataFrame:
     """Add ``baseline`` and ``contributions``: the root probability and, per feature, the summed
-    change of probability along the paths.  They add up to the blend's score."""
+    change of probability along the paths.  They add up to the blend's score.
+
+    The forests name the leaf that a clip reaches in each tree; leaves meet the table of their paths, and sums per
+    (clip, feature) form in the map tasks.  Nodes pass neither through the driver nor through a broadcast of this
+    function's own.  ``clip_id`` names a row; ``df`` is read twice.
+    """
     spark = df.sparkSession
-    members = []
-    for model, weight in blend.parts:
+    rows, paths, roots, reached = df, [], [], []
+    for m, (model, weight) in enumerate(blend.parts):
         nodes = _nodes(model.model, shared_path(spark))
-        nodes["columns"] = np.array(model.spec.columns or range(width))
-        members.append((nodes, weight / len(nodes["root"])))
-    held = spark.sparkContext.broadcast(members)
-
-    @F.pandas_udf("struct<baseline:double,contributions:array<double>>")
-    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, width))
-            rows = np.arange(len(x))
-            out, base = np.zeros((len(x), width)), 0.0
-            for nodes, weight in held.value:
-                base += weight * nodes["p"][nodes["root"]].sum()
-                for root in nodes["root"]:
-                    at = np.full(len(x), root)
-                    while (live := nodes["left"][at] >= 0).any():
-                        column = nodes["columns"][nodes["feature"][at]]
-                        down = x[rows, column] <= nodes["threshold"][at]
-                        child = np.where(down, nodes["left"][at], nodes["right"][at])
-                        child = np.where(live, child, at)
-                        gain = weight * (nodes["p"][child] - nodes["p"][at])
-                        np.add.at(out, (rows[live], column[live]), gain[live])
-                        at = child
-            yield pd.DataFrame({"baseline": base, "contributions": list(out)}, index=batch.index)
-
-    return df.withColumn("_e", walk(blend.parts[0][0].spec.view)).select("*", "_e.*").drop("_e")
+        share = F.lit(weight / model.model.getNumTrees)
+        columns = F.array(*map(F.lit, model.spec.columns or range(width)))
+        path = _leaf_paths(nodes).select(
+            F.lit(m).alias("_member"), "tree", "leaf", F.get(columns, F.col("feature")).alias("_column"), (share * F.col("gain")).alias("_gain")
+        )
+        paths.append(path)
+        roots.append(nodes.where("id = 0").select((share * F.col("p")).alias("p")))
+        forest = model.model.copy()
+        forest.setLeafCol(f"_leaf{m}").setPredictionCol("").setProbabilityCol("").setRawPredictionCol("")
+        rows = forest.transform(model.inputs(rows)).drop("_x")
+        member = F.lit(m).alias("_member")
+        reached.append(F.transform(vector_to_array(f"_leaf{m}"), lambda x, i: F.struct(member, i.alias("tree"), x.cast("int").alias("leaf"))))  # noqa: B023
+    at = rows.select("clip_id", F.inline(F.concat(*reached)))
+    gains = at.join(checks.union(paths), ["_member", "tree", "leaf"]).groupBy("clip_id", "_column").agg(F.sum("_gain").alias("_gain"))
+    of_clip = gains.groupBy("clip_id").agg(F.map_from_entries(F.collect_list(F.struct("_column", "_gain"))).alias("_gains"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("_gains")[i], F.lit(0.0)))
+    none = F.array_repeat(F.lit(0.0), width)
+    out = df.withColumn("baseline", checks.union(roots).agg(F.sum("p")).scalar()).join(of_clip, "clip_id", "left")
+    return out.withColumn("contributions", F.when(F.col("_gains").isNull(), none).otherwise(every)).drop("_gains")
 
 
 # -- condition clusters ------------------------------------------------------------------------

@@ -84,12 +84,17 @@ def predict(
     rows = rows.withColumn("v", F.col("base").cast("array<double>"))
     scored = model.score(rows, "audio_score")
     final = container_adjusted(F.col("audio_score"), F.col("container.status"))
-    if explanations is not None:
-        if explanations.rstrip("/") == output.rstrip("/"):
-            raise ValueError("explanations would overwrite the predictions")
-        sinks.require_fresh(listed, explanations)
+    if explanations is None:
+        return finish(scored, final, listed, output, kept(bad, mode), template)
+    if explanations.rstrip("/") == output.rstrip("/"):
+        raise ValueError("explanations would overwrite the predictions")
+    sinks.require_fresh(listed, explanations)
+    scored = scored.persist()  # explanations and predictions read it
+    try:
         sinks.write_json(explained(scored, model, final), explanations)
-    return finish(scored, final, listed, output, kept(bad, mode), template)
+        return finish(scored, final, listed, output, kept(bad, mode), template)
+    finally:
+        scored.unpersist()
 
 
 def explained(scored: DataFrame, model: Mo.Blend, final: Column) -> DataFrame:
