@@ -29,7 +29,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipscore.functions.scores import container_adjusted
 from clipscore.functions.vectors import pick
 from clipscore.operators import metrics as M
 from clipscore.operators.comparison import select_model
@@ -314,24 +313,6 @@ def choose_and_refit(df: DataFrame, oof: DataFrame, makers: dict, path: str | No
     return best, model
 
 
-def select_c(
-    df: DataFrame, inner: DataFrame, folds: int, spec: Spec, cs=SVM_CS, status: str | None = None
-) -> tuple[float, DataFrame]:
-    """Penalty with the lowest pooled inner minDCF, smaller values first on ties.  With a ``status`` column
-    the inner scores are container-adjusted, as the final ones are."""
-
-    def maker(c: float):
-        return lambda rows: fit(rows, Spec(**{**asdict(spec), "c": c, "columns": spec.columns}))
-
-    oof = out_of_fold(df, inner, folds, {str(c): maker(c) for c in cs})
-    if status is not None:
-        oof = oof.join(df.select("clip_id", status), "clip_id")
-        oof = oof.withColumn("score", container_adjusted(F.col("score"), F.col(status)))
-    costs = M.min_dcf(oof, ["model"]).select(F.col("model").cast("double").alias("c"), "min_dcf")
-    best = costs.agg(F.min(F.struct("min_dcf", "c")).alias("m")).first()["m"]["c"]
-    return best, costs
-
-
 # -- importance and path explanations ----------------------------------------------------------
 
 
