@@ -14,7 +14,7 @@ from clipscore.operators import comparison, splits
 from clipscore.operators import metrics as M
 from clipscore.operators import models as Mo
 from clipscore.operators import registry as Rg
-from clipscore.plans import compare, fusion, tuning
+from clipscore.plans import compare, fusion, holdout_routing, tuning
 
 catalog = Catalog()
 
@@ -287,7 +287,7 @@ def k23_cross_fitted_routing(spark, sf):
     oof = data.select(
         "clip_id", "label", "fold", F.expr("stack(4, 'first', a, 'second', b, 'third', c, 'fourth', d) AS (model, score)")
     )
-    out = Mo.cross_fitted_routing(oof, data.select("clip_id", "quality"), 3, ["first", "second", "third", "fourth"])
+    out = holdout_routing.cross_fitted_routing(oof, data.select("clip_id", "quality"), 3, ["first", "second", "third", "fourth"])
     return M.summary(out.withColumn("score", F.round("score", 12)), ["policy", "fold"]).select(
         "policy", "fold", r6("min_dcf").alias("min_dcf"), r6("auc").alias("auc")
     )

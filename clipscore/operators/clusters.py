@@ -49,13 +49,14 @@ def _sums(rows: DataFrame, vector: str, keys: str, state: dict) -> DataFrame:
             owner, key = np.repeat(np.arange(batch.num_rows), sizes), batch.column(1).flatten().to_numpy()
             for name, (mean, scale, centers) in shared.value.items():
                 z = (x[owner[key == name]] - mean) / scale
+                lengths = (z**2).sum(1)[:, None]
                 for r, c in enumerate(centers):
-                    gaps = np.maximum((z**2).sum(1)[:, None] - 2 * z @ c.T + (c**2).sum(1), 0)
+                    gaps = np.maximum(lengths - 2 * z @ c.T + (c**2).sum(1), 0)
                     near = gaps.argmin(1)
                     n, cost, total = sums.setdefault((name, r), (np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)))
-                    np.add.at(n, near, 1)
-                    np.add.at(cost, near, gaps[np.arange(len(z)), near])
-                    np.add.at(total, near, z)
+                    n += np.bincount(near, minlength=len(c))
+                    cost += np.bincount(near, gaps[np.arange(len(z)), near], len(c))
+                    total += (near == np.arange(len(c))[:, None]).astype(float) @ z
         out = [(k, r, i, int(n[i]), cost[i], total[i].tolist()) for (k, r), (n, cost, total) in sums.items() for i in range(len(n)) if n[i]]
         if out:
             names = ["key", "restart", "cluster", "n", "cost", "total"]

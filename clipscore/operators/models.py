@@ -24,25 +24,17 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipscore.functions.vectors import pick
 from clipscore.operators import metrics as M
+from clipscore.operators.clusters import keyed_kmeans
 from clipscore.operators.comparison import select_model
 from clipscore.operators.joins import with_class_weights
 from clipscore.operators.ordered import ranked
-from clipscore.operators.routing import (
-    MIN_CLUSTER,
-    Router,
-    fit_router,
-    nearest,
-    routed,
-    scaler,
-    standardized,
-)
+from clipscore.operators.routing import MIN_CLUSTER, Router, fit_router, nearest, scaler, standardized
 from clipscore.sources import checks
 
 
@@ -414,32 +406,21 @@ def path_contributions(df: DataFrame, blend: Blend, width: int) -> DataFrame:
 
 
 def condition_clusters(
-    df: DataFrame, vector: str, clusters: int = 3, min_size: int = MIN_CLUSTER, restarts: int = 20, seed: int = 42
+    df: DataFrame, vector: str, clusters: int = 3, min_size: int = MIN_CLUSTER, restarts: int = 20, seed: int = 42,
+    name: str = "clip_id",
 ) -> tuple[DataFrame, DataFrame, int]:
-    """K-means on the standardized condition vector, the restart with the lowest cost.
+    """K-means on the standardized condition vector, the restart with the lowest cost; all restarts share the passes.
 
-    Returns (scaler row, centroids, number of clusters).
+    ``name`` names a row.  Returns (scaler row, centroids, number of clusters).
     """
-    stats = scaler(df, vector)
-    fixed = stats.first()
-    frozen = df.sparkSession.createDataFrame([fixed], stats.schema)
-    k = min(max(1, clusters), max(1, df.count() // max(1, min_size)))
-    rows = standardized(df, frozen, vector, "_z").select(array_to_vector("_z").alias("_x")).persist()
-    if k == 1:
-        zero = [(0, [0.0] * len(fixed["mean"]))]
-        centers = df.sparkSession.createDataFrame(zero, "cluster int, center array<double>")
-        return frozen, centers, 1
-
-    def run(s: int):
-        model = KMeans(k=k, seed=s, featuresCol="_x").fit(rows)
-        return model.summary.trainingCost, s, [c.tolist() for c in model.clusterCenters()]
-
-    fits = parallel([lambda s=s: run(s) for s in range(seed, seed + restarts)], workers=8)
-    best = min(fits)[2]
-    rows.unpersist()
-    table = [(i, c) for i, c in enumerate(best)]
-    centers = df.sparkSession.createDataFrame(table, "cluster int, center array<double>")
-    return frozen, centers, k
+    spark = df.sparkSession
+    keyed = df.select(vector, name, F.array(F.lit(0)).alias("_keys"))
+    fit = keyed_kmeans(keyed, vector, "_keys", name, clusters, restarts, min_size=min_size, seed=seed).first()
+    if fit is None:
+        raise ValueError("no rows to cluster")
+    stats = spark.createDataFrame([(fit.mean, fit.scale)], "mean array<double>, scale array<double>")
+    centers = spark.createDataFrame(list(enumerate(fit.centers)), "cluster int, center array<double>")
+    return stats, centers, len(fit.centers)
 
 
 def fit_condition_router(
@@ -449,34 +430,3 @@ def fit_condition_router(
     stats, centers, _ = condition_clusters(df, vector, clusters, min_size, restarts)
     placed = nearest(standardized(df, stats, vector, "_z"), centers, "_z").drop("_z")
     return fit_router(placed, "cluster", vector, a, b, centers, stats, min_size)
-
-
-def cross_fitted_routing(oof: DataFrame, quality: DataFrame, folds: int, models: list[str], restarts: int = 20) -> DataFrame:
-    """Per fold: rank models (ties in the order of ``models``) and fit the router on the other folds only, then
-    score the fold.
-
-    Returns (clip_id, label, fold, policy, score) for the overall and the conditional blend.
-    """
-    outs = []
-    for f in range(folds):
-        rest, held = oof.where(F.col("fold") != f), oof.where(F.col("fold") == f)
-        place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
-        best = M.min_dcf(rest, ["model"]).orderBy(F.round("min_dcf", 12), place).limit(2).collect()
-        first, second = (r["model"] for r in best)
-
-        def wide(rows: DataFrame) -> DataFrame:
-            def of(model: str) -> Column:
-                return F.max(F.when(F.col("model") == model, F.col("score")))
-
-            pairs = rows.where(F.col("model").isin(first, second)).groupBy("clip_id", "label", "fold")
-            return pairs.agg(of(first).alias("a"), of(second).alias("b")).join(quality, "clip_id")
-
-        router = fit_condition_router(wide(rest), "quality", "a", "b", restarts=restarts)
-        out = routed(wide(held), router, "quality", "a", "b")
-        overall = F.lit(router.overall) * F.col("a") + F.lit(1 - router.overall) * F.col("b")
-        policies = F.create_map(
-            F.lit("overall"), overall, F.lit("conditional"), F.col("routed")
-        )
-        outs.append(out.select("clip_id", "label", "fold", F.explode(policies).alias("policy", "score")))
-    return checks.union(outs)
-

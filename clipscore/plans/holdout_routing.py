@@ -130,3 +130,37 @@ def evaluate(
     router = R.Router(final.select("mean", "scale"), centers, own.select("cluster", "alpha", "own", "size"), first["overall"])
     return spark.createDataFrame(made, "fold int, alpha double, overall_dcf double, conditional_dcf double"), router
 
+
+def cross_fitted_routing(oof: DataFrame, quality: DataFrame, folds: int, models: list[str], restarts: int = 20) -> DataFrame:
+    """Per fold: rank models (ties in the order of ``models``) and fit the router on the other folds only, then
+    score the fold.
+
+    Returns (clip_id, label, fold, policy, score) for the overall and the conditional blend.  The folds share all
+    jobs: one of the ranks, the passes of one clustering, one of the weights.
+    """
+    spark = oof.sparkSession
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    rest = oof.withColumn("_without", F.explode(others))
+    place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
+    costs = M.min_dcf(rest, ["_without", "model"]).select("_without", F.struct(F.round("min_dcf", 12).alias("cost"), place.alias("place"), "model").alias("m"))
+    ranks = costs.groupBy("_without").agg(F.slice(F.sort_array(F.collect_list("m")), 1, 2)["model"].alias("best")).collect()  # a row a fold
+    chosen = spark.createDataFrame([(r["_without"], *r["best"]) for r in ranks], "fold int, first string, second string")
+    wide = oof.groupBy("clip_id", "label", F.col("fold").cast("int").alias("fold")).agg(
+        F.map_from_entries(F.collect_list(F.struct("model", "score"))).alias("_scores")
+    )
+    rows = wide.join(quality, "clip_id").select(
+        "clip_id", "label", "quality", "_scores", others.alias("train"), F.array("fold").alias("test")
+    ).persist()
+    try:
+        fits = keyed_kmeans(rows, "quality", "train", "clip_id", restarts=restarts)
+        of = lambda c: F.col("_scores")[F.col(c)]
+        paired = by_holdout(rows).join(chosen, "fold").select("*", of("first").alias("a"), of("second").alias("b"))
+        parts = placed(paired.drop("_scores", "first", "second"), fits, "quality")
+        table = spark.createDataFrame(weights(parts.where("NOT held"), "a", "b").collect(), WEIGHTS)
+    finally:
+        rows.unpersist()
+    held = {r["fold"] for r in oof.select("fold").distinct().collect()}
+    lacking = sorted(held - {r["fold"] for r in table.select("fold").distinct().collect()})
+    if lacking:
+        raise ValueError(f"no rows of both classes to fit a router on without folds {lacking}")
+    return policies(parts.where("held"), table, "a", "b")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipscore.operators.clusters import keyed_kmeans
+from clipscore.operators.routing import select_alpha
 from clipscore.plans import holdout_routing as H
 
 
@@ -69,3 +70,24 @@ def test_clusters_route_to_the_better_score(spark):
     assert got[None].conditional_dcf < got[None].overall_dcf
     alphas = sorted(r.alpha for r in router.alphas.collect())
     assert len(alphas) == 3 and alphas[0] < 0.5 < alphas[2] and router.centers.count() == 3
+
+
+def test_cross_fitted_routing_shares_its_passes(spark):
+    """The restarts of all folds' clusterings advance together: jobs do not multiply by folds and restarts."""
+    _, df = conditions(spark)
+    data = df.withColumn("fold", F.pmod(F.xxhash64("grp"), F.lit(3)).cast("int")).withColumn("quality", F.col("q"))
+    oof = data.select("clip_id", "label", "fold", F.expr("stack(3, 'a', a, 'b', b, 'c', 0.5D) AS (model, score)"))
+    spark.sparkContext.setJobGroup("cross_fitted", "routing")
+    try:
+        out = H.cross_fitted_routing(oof, data.select("clip_id", "quality"), 3, ["a", "b", "c"]).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("cross_fitted")) < 250
+    assert len(out) == 2 * data.count()
+    got = {(r.clip_id, r.policy): r.score for r in out}
+    for f in range(3):
+        best = select_alpha(data.where(F.col("fold") != f).withColumn("k", F.lit(0)), ["k"], "a", "b").first()["alpha"]
+        for r in data.where(F.col("fold") == f).collect():
+            assert got[r.clip_id, "overall"] in (pytest.approx(best * r.a + (1 - best) * r.b), pytest.approx(best * r.b + (1 - best) * r.a))
+    with pytest.raises(ValueError, match="both classes"):
+        H.cross_fitted_routing(oof.where("label = 1"), data.select("clip_id", "quality"), 3, ["a", "b", "c"]).collect()
