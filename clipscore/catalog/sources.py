@@ -434,12 +434,15 @@ def a15_member_rules(spark, sf):
     + """ SELECT suffix, count(*) AS missing FROM containers WHERE clip_id % 7 = 0 OR clip_id % 10 = 1 OR clip_id % 11 = 2 GROUP BY suffix""",
 )
 def a18_missing_features(spark, sf):
-    """Store lacking some clips, holding others at an older size, others from older code."""
+    """Store lacking some clips, holding others at an older size, others from older code.
+
+    Pages may share a URL; a clip's path names its page too, as files of a listing differ by path.
+    """
     files = views.containers(spark, sf).select(
         "clip_id",
-        "path",
+        F.concat_ws("#", "path", "clip_id").alias("path"),
         "suffix",
-        F.col("size").alias("length"),
+        F.coalesce("size", F.lit(0)).alias("length"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime"),
     )
     old = F.when(F.col("clip_id") % 10 == 1, F.col("length") - 1).otherwise(F.col("length"))

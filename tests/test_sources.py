@@ -278,3 +278,18 @@ def test_leakage(spark):
 
     found = joins.leakage(side(("a", "g"), ("b", "h")), side(("a", "i"), ("c", "h")), "filename", "grp")
     assert sorted(map(tuple, found.collect())) == [("file", "a"), ("group", "h")]
+
+
+def test_missing_features_of_pages_that_share_urls(spark, tmp_path):
+    """Pages of one URL and size, and pages without text, are clips of their own."""
+    import duckdb
+
+    from clipscore.catalog import all_oracles, all_queries
+
+    urls = ["https://a.example/x.wav", "https://a.example/y.mp3"]
+    rows = [(i, urls[i % 2], None if i % 31 == 1 else "<p>same</p>") for i in range(140)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, all_queries()["a18_missing_features"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(all_oracles()["a18_missing_features"]).fetchall())
