@@ -108,6 +108,26 @@ def test_penalty_paths_reach_the_optimum_of_each_set(spark):
             assert np.allclose(margins, z @ found[:-1] + found[-1])
 
 
+def test_penalties_of_a_set_share_passes(spark, monkeypatch):
+    """More penalties take no more passes than the slowest alone, and rows are dealt to all cores however few bytes they are."""
+    _, df = clips(spark)
+    placed = df.withColumn("keys", F.array(F.lit(1), F.lit(2))).coalesce(1)
+    spec, passes, losses = Mo.Spec("svm", "svm", random_features=24), [], penalty._losses
+
+    def counted(rows, columns, static, points):
+        passes.append(rows.rdd.getNumPartitions())
+        return losses(rows, columns, static, points)
+
+    monkeypatch.setattr(penalty, "_losses", counted)
+    taken = []
+    for cs in ((10.0,), (0.1, 0.3, 1.0, 3.0, 10.0)):
+        passes.clear()
+        penalty.keyed_paths(placed, "v", "keys", "label", cs, spec)
+        taken.append(len(passes))
+        assert set(passes) == {spark.sparkContext.defaultParallelism}
+    assert taken[1] <= taken[0] + 2
+
+
 def test_a_set_of_one_class_is_an_error(spark):
     _, df = clips(spark)
     one = df.withColumn("keys", F.array(F.lit(1), F.col("label") + 2))
