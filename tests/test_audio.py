@@ -255,3 +255,37 @@ def test_member_rules(spark):
     df = spark.createDataFrame(names, "member string, size long")
     out = {r["member"]: r["status"] for r in listing.check_members(df, (2,), listing.REAL_MEMBER, max_bytes=30_000_000).collect()}
     assert list(out.values()) == ["accepted", "ignored", "unsafe path", "unsafe path", "too large", "unsafe path"]
+
+
+def test_lowpass_transforms_smooth_lengths(monkeypatch):
+    """A prime length costs no more than its neighbours, and the result is that of the plain transform."""
+    x = np.random.default_rng(3).normal(size=20_011)
+    lengths, plain = [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda y, *a, **k: (lengths.append(len(y)), plain(y, *a, **k))[1])
+    got = A.lowpass(x, 4_000.0)
+    rest = lengths[0]
+    for p in (2, 3, 5):
+        while rest % p == 0:
+            rest //= p
+    assert rest == 1
+    y = np.concatenate((2 * x[0] - x[4096:0:-1], x, 2 * x[-1] - x[-2:-4098:-1]))
+    f = np.fft.rfftfreq(len(y), 1 / A.RATE)
+    ratio = np.tan(np.pi * np.minimum(f, A.RATE / 2 - 1e-9) / A.RATE)
+    want = np.fft.irfft(plain(y) / (1 + ratio**12), len(y))[4096 : 4096 + len(x)]
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+def test_clips_are_rendered_once(spark):
+    """Both bands and both outcomes of a clip come from one read of the documents."""
+    from clipscore import views
+    from clipscore.catalog import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    out = all_queries()["d3_common_band"](spark, sf)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    each = [CF.measure(views.clips(spark, sf), (), True, c).where("reason IS NULL").select("clip_id", CF.fact("high").alias("v")) for c in (None, 4000.0)]
+    raw, low = ({r.clip_id: r.v for r in df.collect()} for df in each)
+    assert tuple(out.first()) == pytest.approx((len(raw), np.mean(list(raw.values())), np.mean(list(low.values()))), rel=1e-9)
+    scored = all_queries()["k13_batch_scores"](spark, sf)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert all((r["cm-score"] is None) == (r["reason"] is not None) for r in scored.collect())
