@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     LinearSVC,
@@ -69,6 +70,7 @@ COMPARISON = (
     Spec("extra_trees_base", "trees", "base", trees=300),
 )
 SVM_CS = (0.1, 0.3, 1.0, 3.0, 10.0)
+_PROJECTED_ROWS = 256  # whose angles a task holds beside its batch
 
 
 def fourier_basis(width: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +84,17 @@ def random_fourier(vector: Column, width: int, features: int, seed: int) -> Colu
     (Rahimi and Recht 2007): sqrt(2/D) cos(Wx + b), one matrix product per Arrow batch."""
     w, b = fourier_basis(width, features, seed)
 
-    @F.pandas_udf("array<double>")
-    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            out = math.sqrt(2.0 / features) * np.cos(np.stack(x.to_numpy()) @ w + b) if len(x) else []
-            yield pd.Series(list(out))
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
+            out = np.empty((len(x), features))
+            for i in range(0, len(x), _PROJECTED_ROWS):
+                part = rows[i : i + _PROJECTED_ROWS] @ w + b
+                np.cos(part, out=out[i : i + _PROJECTED_ROWS])
+            out *= math.sqrt(2.0 / features)
+            ends = np.arange(0, out.size + 1, features, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
     return project(vector)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,21 @@ def test_penalties_of_a_set_share_passes(spark, monkeypatch):
     assert taken[1] <= taken[0] + 2
 
 
+def test_random_features_are_formed_in_blocks(monkeypatch):
+    """Beside a batch and its features a task holds the angles of few rows."""
+    inner, seen, cos = [], [], np.cos
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: (inner.append(f), lambda column: column)[1])
+    Mo.random_fourier(None, 6, 16, 42)
+    monkeypatch.setattr(np, "cos", lambda x, **k: (seen.append(len(x)), cos(x, **k))[1])
+    x = np.random.default_rng(5).normal(size=(1_000, 6))
+    w, b = Mo.fourier_basis(6, 16, 42)
+    got = list(inner[0](iter([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([], pa.list_(pa.float64()))])))
+    assert max(seen) <= 256 and [len(g) for g in got] == [1_000, 0]
+    assert np.allclose(got[0].to_pylist(), np.sqrt(2 / 16) * cos(x @ w + b))
+    with pytest.raises(ValueError):
+        list(inner[0](iter([pa.array([[1.0] * 6, None], pa.list_(pa.float64()))])))
+
+
 def test_a_set_of_one_class_is_an_error(spark):
     _, df = clips(spark)
     one = df.withColumn("keys", F.array(F.lit(1), F.col("label") + 2))
