@@ -196,12 +196,11 @@ def k13_batch_scores(spark, sf):
     data = labelled_clips(spark, sf).persist()
     model = Mo.fit(data, Mo.Spec("logistic", "logistic", c=0.1))
     clips = with_verdict(views.clips(spark, sf).withColumn("suffix", F.lit(".wav")))
-    good, bad = CF.features(clips, ("base", "lfcc"), keep=("container",))
-    out = model.score(good.withColumn("v", F.concat("base", "lfcc").cast("array<double>")))
+    every, _ = CF.features(clips, ("base", "lfcc"), keep=("container",), together=True)
+    out = model.score(every.withColumn("v", F.concat("base", "lfcc").cast("array<double>")))
     adjusted = S.container_adjusted(F.col("score"), F.col("container.status"))
-    columns = ("clip_id", F.col("container.status").alias("status"))
-    scored = out.select(*columns, score_text(adjusted).alias("cm-score"), F.lit(None).cast("string").alias("reason"))
-    return scored.unionByName(bad.select(*columns, "reason"), allowMissingColumns=True)
+    text = F.when(F.col("reason").isNull(), score_text(adjusted)).alias("cm-score")
+    return out.select("clip_id", F.col("container.status").alias("status"), text, "reason")
 
 
 @catalog.add("g13_feature_importance")
