@@ -73,7 +73,7 @@ FOLDS = 5
 
 
 def makers_of(specs):
-    return {s.name: (lambda d, s=s: Mo.fit(d, s)) for s in specs}
+    return {s.name: Mo.Maker(s) for s in specs}
 
 
 def registry(spark, sf, specs):
@@ -207,7 +207,7 @@ def j11_expansion_models(spark, sf):
     """One model on three training corpora, the same five held-out folds, scored on the old clips."""
     data = rows(spark, sf)
     folds = splits.stratified_group_folds(data, "label", "grp", FOLDS, 42).select("grp", "fold")
-    maker = lambda d: Mo.fit(d, Mo.Spec("logistic", "logistic", c=0.1))
+    maker = Mo.Maker(Mo.Spec("logistic", "logistic", c=0.1))
     out = compare.corpus_expansion(data.where("clip_id % 2 = 0"), data.where("clip_id % 2 = 1"), folds, FOLDS, maker, Mo.shared_path(spark))
     return out.select("training", "fold", *[r6(c).alias(c) for c in ("min_dcf", "auc", "eer")])
 

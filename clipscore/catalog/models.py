@@ -159,7 +159,7 @@ def k10_oof_scores(spark, sf):
     data = rows(spark, sf)
     folds = splits.greedy_folds(splits.group_sizes(data, ["label"], "grp"), ["label"], "grp", 4)
     specs = [Mo.Spec("logistic", "logistic", c=0.1), *[s for s, _ in Mo.two_forests(SPECTRAL, "v", **FOLD_FOREST)]]
-    fits = {s.name: (lambda d, s=s: Mo.fit(d, s)) for s in specs}
+    fits = {s.name: Mo.Maker(s) for s in specs}
     made = Rg.build(data, folds.select("grp", "fold"), 4, fits, Mo.shared_path(spark))
     out = Rg.with_blends(made.out_of_fold(spark), {"two_forests": {"forest_full": 0.5, "forest_spectral": 0.5}})
     return out.withColumn("score", r6("score"))

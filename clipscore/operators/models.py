@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipscore.functions.vectors import pick
+from clipscore.functions.vectors import dot, pick
 from clipscore.operators import metrics as M
 from clipscore.operators.clusters import keyed_kmeans
 from clipscore.operators.comparison import select_model
@@ -101,13 +101,14 @@ def random_fourier(vector: Column, width: int, features: int, seed: int) -> Colu
 
 @dataclass
 class Fitted:
-    """A fitted model: scaler row, Spark ML model, and for margins a sigmoid."""
+    """A fitted model: scaler row, Spark ML model or (coefficients, intercept), and for margins a sigmoid."""
 
     spec: Spec
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     model: object = None
     sigmoid: tuple[float, float] | None = None
+    line: tuple[list[float], float] | None = None
 
     def inputs(self, df: DataFrame) -> DataFrame:
         """Add the model's input vector ``_x``."""
@@ -125,6 +126,10 @@ class Fitted:
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """Add the probability of the synthetic class."""
         made = {"_x", "rawPrediction", "probability", "prediction"}
+        if self.line is not None:
+            out = self.inputs(df)
+            z = dot(vector_to_array("_x"), F.array(*map(F.lit, self.line[0]))) + F.lit(self.line[1])
+            return out.withColumn(name, 1.0 / (1.0 + F.exp(-z))).drop(*made)
         out = self.model.transform(self.inputs(df))
         if self.sigmoid is None:
             value = F.get(vector_to_array("probability"), 1)
@@ -142,8 +147,9 @@ class Fitted:
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        self.model.write().overwrite().save(f"{path}/model")
-        row = {"spec": asdict(self.spec), "mean": self.mean, "scale": self.scale, "sigmoid": self.sigmoid}
+        if self.line is None:
+            self.model.write().overwrite().save(f"{path}/model")
+        row = {"spec": asdict(self.spec), "mean": self.mean, "scale": self.scale, "sigmoid": self.sigmoid, "line": self.line}
         lines = spark.createDataFrame([(json.dumps(row),)], "value string")
         lines.write.mode("overwrite").text(f"{path}/bundle")
 
@@ -153,9 +159,11 @@ class Fitted:
         row = json.loads(spark.read.text(f"{path}/bundle").first()[0])
         row["spec"]["columns"] = tuple(row["spec"]["columns"])
         spec = Spec(**row["spec"])
+        sigmoid = tuple(row["sigmoid"]) if row["sigmoid"] else None
+        if row.get("line"):
+            return Fitted(spec, row["mean"], row["scale"], sigmoid=sigmoid, line=(row["line"][0], row["line"][1]))
         kinds = {"logistic": LogisticRegressionModel, "svm": LinearSVCModel}
         kind = kinds.get(spec.family, RandomForestClassificationModel)
-        sigmoid = tuple(row["sigmoid"]) if row["sigmoid"] else None
         return Fitted(spec, row["mean"], row["scale"], kind.load(f"{path}/model"), sigmoid)
 
 
@@ -204,6 +212,16 @@ def fit(df: DataFrame, spec: Spec, calibrate: bool = True) -> Fitted:
     return out
 
 
+@dataclass(frozen=True)
+class Maker:
+    """``fit`` with a spec; flows that see the spec fit logistic models of all their training sets in shared passes."""
+
+    spec: Spec
+
+    def __call__(self, df: DataFrame) -> Fitted:
+        return fit(df, self.spec)
+
+
 def _sigmoid(df: DataFrame, spec: Spec, folds: int = 3) -> tuple[float, float]:
     """Platt sigmoid on margins of rows left out of the fit.  Folds deal each class out by the hash rank
     of its clips, so every fold holds both classes."""

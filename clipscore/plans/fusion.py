@@ -30,6 +30,8 @@ def cross_scores(
     nested = splits.nested_folds(df, "label", "grp", outer, inner, seed)
     placed = df.join(held, "grp").persist()
     try:
+        if specs := Rg.shareable(makers):
+            _fit_together(placed, nested, specs, path, outer, inner)
         for o in range(outer):
             train, test = placed.where(F.col("_outer") != o).drop("_outer"), placed.where(F.col("_outer") == o).drop("_outer")
             folds = nested.where(F.col("outer") == o).select("grp", F.col("inner").alias("fold"))
@@ -39,6 +41,22 @@ def cross_scores(
     return read_scores(spark, path, outer)
 
 
+def _fit_together(placed: DataFrame, nested: DataFrame, specs: Mapping, path: str, outer: int, inner: int) -> None:
+    """The logistic models of all outer and inner folds in the same passes; the code of a set is (outer, fold)."""
+    code = lambda o, fold: o * (inner + 1) + fold + 1
+    of_group = nested.groupBy("grp").agg(F.collect_list(F.struct(F.col("outer").cast("int").alias("outer"), F.col("inner").cast("int").alias("inner"))).alias("_inner"))
+    folds = F.array(*map(F.lit, (Rg.ALL, *range(inner))))
+    trains = F.flatten(F.transform("_inner", lambda e: F.transform(F.filter(folds, lambda j: j != e["inner"]), lambda j: code(e["outer"], j))))
+    own = code(F.col("_outer").cast("int"), F.lit(Rg.ALL))
+    held = F.concat(F.array(own), F.transform("_inner", lambda e: code(e["outer"], e["inner"])))
+    views = {s.view for s in specs.values()}
+    rows = placed.join(of_group, "grp").select("clip_id", "label", "grp", *sorted(views), trains.alias("trains"), held.alias("held")).persist()
+    try:
+        Rg.fit_together(rows, {code(o, j): (f"{path}/outer={o}", j, specs) for o in range(outer) for j in (Rg.ALL, *range(inner))})
+    finally:
+        rows.unpersist()
+
+
 def read_scores(spark: SparkSession, path: str, outer: int) -> DataFrame:
     parts = [Rg.Registry(f"{path}/outer={o}").scores(spark).withColumn("outer", F.lit(o)) for o in range(outer)]
     out = parts[0]

@@ -106,7 +106,7 @@ def nested_penalty(
     tuned = tests.join(chosen.select("outer", "c"), ["outer", "c"])
     logistic = Mo.Spec("logistic", "logistic", spec.view, 0.1)
     folds = splits.stratified_group_folds(df, "label", "grp", outer, seed).select("grp", "fold")
-    made = Rg.build(df.drop("status"), folds, outer, {"logistic": lambda d: Mo.fit(d, logistic)}, f"{path}/logistic")
+    made = Rg.build(df.drop("status"), folds, outer, {"logistic": Mo.Maker(logistic)}, f"{path}/logistic")
     other = made.out_of_fold(spark).join(status, "clip_id")
     other = other.select("clip_id", container_adjusted(F.col("score"), F.col("status")).alias("_other"))
     fixed = tests.where(F.col("c") == 1.0).join(other, "clip_id").withColumn("score", 0.75 * F.col("score") + 0.25 * F.col("_other"))

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from clipscore.operators import models as Mo
 from clipscore.operators import registry as Rg
 from clipscore.plans import compare, fusion, unseen
 
@@ -148,3 +149,46 @@ def test_weights_of_an_outer_fold_do_not_see_it(spark):
         pulled = base * (1 - m) if status == "consistent" else base
         assert got[i, "nested_fusion"] == pytest.approx(t * temporal + (1 - t) * pulled)
     assert {r.outer for r in fusion.report(out).collect()} == {-1, 0, 1, 2}
+
+
+def vectors(spark, n=240, seed=5):
+    rng = random.Random(seed)
+    rows = [(i, i % 2, f"{'real:' if i % 2 == 0 else 'synthetic:'}{i % 12}", [rng.gauss(0.6 * (i % 2) * (j < 2) + 3 * j, 1 + j) for j in range(6)] + [2.5]) for i in range(n)]
+    df = spark.createDataFrame(rows, "clip_id bigint, label int, grp string, v array<double>")
+    return df.withColumn("status", F.lit("consistent")).repartition(3).persist()
+
+
+def test_logistic_models_of_all_sets_share_passes(spark, tmp_path):
+    df = vectors(spark)
+    folds = df.select("grp").distinct().withColumn("fold", F.pmod(F.xxhash64("grp"), F.lit(3)))
+    specs = {"balanced": Mo.Spec("a", c=0.1), "cost": Mo.Spec("b", c=1.0, weighting="cost"), "few": Mo.Spec("c", columns=(0, 2, 6))}
+    train, new = df.where("clip_id < 200"), df.where("clip_id >= 200")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    made = Rg.build(train, folds, 3, {k: Mo.Maker(s) for k, s in specs.items()}, f"{tmp_path}/s", new)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 120  # one fit after another takes several times as many
+    got = {(r.model, r.fold, r.clip_id): r.score for r in made.scores(spark).collect()}
+    alone = Rg.build(train, folds, 3, {k: (lambda d, s=s: Mo.fit(d, s)) for k, s in specs.items()}, f"{tmp_path}/a", new)
+    want = {(r.model, r.fold, r.clip_id): r.score for r in alone.scores(spark).collect()}
+    assert set(got) == set(want) and len(got) == 720
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-4
+    model = made.model("few")
+    kept = {r.clip_id: r.score for r in model.score(new).select("clip_id", "score").collect()}
+    assert all(kept[c] == pytest.approx(s, abs=1e-12) for (m, f, c), s in got.items() if m == "few" and f == -1)
+
+
+def test_nested_and_corpus_fits_share_passes(spark, tmp_path):
+    df = vectors(spark)
+    makers = {"one": Mo.Spec("one", c=0.1), "two": Mo.Spec("two", c=1.0, columns=(0, 1))}
+    key = ["outer", "fold", "model", "clip_id"]
+    got, want = (
+        {tuple(r[k] for k in key): r.score for r in fusion.cross_scores(df, m, f"{tmp_path}/{n}", 3, 2).collect()}
+        for n, m in (("s", {k: Mo.Maker(s) for k, s in makers.items()}), ("a", {k: (lambda d, s=s: Mo.fit(d, s)) for k, s in makers.items()}))
+    )
+    assert set(got) == set(want) and len(got) == 2 * 3 * 240
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-4
+    folds = df.select("grp").distinct().withColumn("fold", F.expr("CAST(substring_index(grp, ':', -1) AS INT) % 4 > 1").cast("int"))
+    old, new, spec = df.where("clip_id % 3 > 0"), df.where("clip_id % 3 = 0"), makers["one"]
+    for name, maker in (("s", Mo.Maker(spec)), ("a", lambda d: Mo.fit(d, spec))):
+        compare.corpus_expansion(old, new, folds, 2, maker, f"{tmp_path}/c{name}").collect()
+    shared, alone = ({(r.model, r.fold, r.clip_id): r.score for r in Rg.Registry(f"{tmp_path}/c{n}").scores(spark).collect()} for n in "sa")
+    assert set(shared) == set(alone) and max(abs(shared[k] - alone[k]) for k in alone) < 1e-4
