@@ -89,6 +89,8 @@ def corpus_expansion(
         "speakers": old.unionByName(new.where(F.col("grp").startswith(prefix))),
         "expanded": old.unionByName(new),
     }
+    if Rg.shareable({"": maker}):
+        _fit_together(old, new, folds, n_folds, maker.spec, list(corpora), path, prefix)
     for name, corpus in corpora.items():
         made = Rg.build(corpus, folds, n_folds, {name: maker}, path)
     scores = made.out_of_fold(spark).join(old.select("clip_id"), "clip_id", "left_semi")
@@ -96,6 +98,22 @@ def corpus_expansion(
     return M.summary(scoped.withColumnRenamed("model", "training"), ["training", "fold"])
 
 
+def _fit_together(old: DataFrame, new: DataFrame, folds: DataFrame, n_folds: int, spec: Mo.Spec, names: list[str], path: str, prefix: str) -> None:
+    """The fits of all (corpus, fold) in the same passes; the corpora are nested, so a clip is in the last ones of the list."""
+    first = F.when(~F.col("_new"), 0).when(F.col("grp").startswith(prefix), 1).otherwise(2)
+    both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    rows = both.join(folds.select("grp", F.col("fold").cast("int").alias("fold")), "grp").withColumn("_first", first)
+    corpora, sets = F.sequence("_first", F.lit(len(names) - 1)), F.array(*map(F.lit, range(n_folds)))
+    others = F.filter(sets, lambda k: k != F.col("fold"))
+    trains = F.flatten(F.transform(corpora, lambda c: F.transform(others, lambda k: c * n_folds + k)))
+    held = F.transform(corpora, lambda c: c * n_folds + F.col("fold"))
+    rows = rows.select("clip_id", "label", "grp", spec.view, trains.alias("trains"), held.alias("held")).persist()
+    try:
+        Rg.fit_together(rows, {c * n_folds + k: (path, k, {name: spec}) for c, name in enumerate(names) for k in range(n_folds)})
+    finally:
+        rows.unpersist()
+
+
 def cost_at_training_cutoff(per_partition: DataFrame, holdout: DataFrame) -> DataFrame:
     """Mean training minDCF, median cutoff, and the cost of that cutoff on the holdout, per model."""
     chosen = select_model(per_partition).select("model", "mean_min_dcf", "cutoff", "chosen")
