@@ -57,6 +57,9 @@ TEMPORAL = tuple(
 ENCODING = ENCODING_HEADER + ENCODING_SIGNAL
 VIEWS = {"base": BASE, "lfcc": LFCC, "temporal": TEMPORAL, "encoding": ENCODING, "quality": QUALITY}
 
+# Parts of the base view that can be asked for alone.
+PARTS = {part: tuple(n for n in BASE if n.startswith(f"{part}_")) for part in ("mfcc", "chroma")}
+
 
 def is_sound(vector: Column, width: int) -> Column:
     """Exact width and every element finite."""

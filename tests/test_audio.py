@@ -189,6 +189,32 @@ def test_all_views_from_one_pass(spark):
         CF.features(clip_table(spark, named), ("base",), mode="fail")
 
 
+def test_tasks_return_clips_in_batches_and_parts_of_a_view_alone(spark):
+    rng = np.random.default_rng(3)
+    named = {f"c{i:03d}": wav(rng.normal(size=9_000 if i % 3 else 100) * 0.1) for i in range(90)}
+    clips = clip_table(spark, named).coalesce(1)
+    out = CF.measure(clips, ("base", "mfcc", "chroma"))
+    rows = {r["clip_id"]: r for r in out.collect()}
+    assert [r["reason"] is None for _, r in sorted(rows.items())] == [i % 3 > 0 for i in range(90)]
+    assert all((r["base"] is None) == (r["signal"] is None) == (r["reason"] is not None) for r in rows.values())
+    good, _ = CF.features(clips, ("base", "mfcc", "chroma"))
+    for r in good.collect():
+        parts = {p: [x for n, x in zip(V.BASE, r["base"]) if n in V.PARTS[p]] for p in V.PARTS}
+        assert len(r["mfcc"]) == 40 and len(r["chroma"]) == 24 and all(r[p] == parts[p] for p in parts)
+
+
+def test_shared_frames_and_grouped_logarithms_are_exact():
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=9_001), np.concatenate((np.zeros(9_000), rng.normal(size=900) * 1e-3)), rng.normal(size=8_000) * 1e30):
+        alone, shared = CF.reduced(x, (), True)["signal"], CF.reduced(x, ("base",), True)["signal"]
+        for k, v in alone.items():
+            assert np.allclose(shared[k], v, rtol=1e-9)
+        power = np.maximum(A.magnitudes(x, 1024, 512) ** 2, A.FLOOR)
+        assert np.allclose(A.flatness(np.sqrt(power)), np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1), rtol=1e-12)
+        signs = A.framed(np.where(np.abs(x) <= A.FLOOR, 0.0, x), 1024, 256, "edge") < 0
+        assert np.array_equal(A.crossings(x, 1024, 256), (signs[:, 1:] != signs[:, :-1]).sum(axis=1) / 1024)
+
+
 def status(spark, named):
     rows = [(n, bytearray(b), len(b), n[n.rindex(".") :]) for n, b in named.items()]
     df = spark.createDataFrame(rows, "clip_id string, content binary, length long, suffix string")
