@@ -410,8 +410,8 @@ def d12_cepstra(spark, sf):
 @catalog.add("d12_mfcc_means")
 def d12_mfcc_means(spark, sf):
     """Mel cepstra of the rendered clips: mean over frames per coefficient."""
-    good, _ = CF.features(views.clips(spark, sf), ("base",))
-    part = V.pick_by_name(F.col("base"), V.BASE, lambda n: n.startswith("mfcc_") and n.endswith("_mean"))
+    good, _ = CF.features(views.clips(spark, sf), ("mfcc",))
+    part = V.pick_by_name(F.col("mfcc"), V.PARTS["mfcc"], lambda n: n.endswith("_mean"))
     return elements(good.select("clip_id", part.alias("v")), "v", "clip_id")
 
 
