@@ -417,8 +417,8 @@ def d12_mfcc_means(spark, sf):
 
 @catalog.add("d13_chroma_means")
 def d13_chroma_means(spark, sf):
-    good, _ = CF.features(views.clips(spark, sf), ("base",))
-    part = V.pick_by_name(F.col("base"), V.BASE, lambda n: n.startswith("chroma_") and n.endswith("_mean"))
+    good, _ = CF.features(views.clips(spark, sf), ("chroma",))
+    part = V.pick_by_name(F.col("chroma"), V.PARTS["chroma"], lambda n: n.endswith("_mean"))
     return elements(good.select("clip_id", part.alias("v")), "v", "clip_id")
 
 
