@@ -42,14 +42,16 @@ def by_holdout(rows: DataFrame) -> DataFrame:
 def placed(rows: DataFrame, fits: DataFrame, quality: str) -> DataFrame:
     """Add ``cluster``, the nearest centre (lowest index on ties) in the fit of the row's holdout.
 
-    ``fits`` has one row a holdout.
+    ``fits`` has one row a holdout and is broadcast: dealt by holdout, the rows would lie in as many tasks as there are
+    holdouts, whatever their number.
     """
     def gap(center: Column) -> Column:
         return F.aggregate(F.zip_with("_z", center, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, v: total + v)
 
     z = F.zip_with(F.zip_with(quality, "mean", lambda x, m: x - m), "scale", lambda x, s: x / s)
     near = F.array_min(F.transform("centers", lambda c, i: F.struct(gap(c).alias("d"), i.alias("i"))))
-    met = rows.join(fits.select(F.col("key").alias("fold"), "mean", "scale", "centers"), "fold").withColumn("_z", z)
+    table = F.broadcast(fits.select(F.col("key").alias("fold"), "mean", "scale", "centers"))
+    met = rows.join(table, "fold").withColumn("_z", z)
     return met.withColumn("cluster", near["i"]).drop("mean", "scale", "centers", "_z")
 
 

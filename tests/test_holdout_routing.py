@@ -91,3 +91,11 @@ def test_cross_fitted_routing_shares_its_passes(spark):
             assert got[r.clip_id, "overall"] in (pytest.approx(best * r.a + (1 - best) * r.b), pytest.approx(best * r.b + (1 - best) * r.a))
     with pytest.raises(ValueError, match="both classes"):
         H.cross_fitted_routing(oof.where("label = 1"), data.select("clip_id", "quality"), 3, ["a", "b", "c"]).collect()
+
+
+def test_rows_of_few_holdouts_stay_spread_over_tasks(spark):
+    rows = spark.range(0, 4_000, 1, 16).select(F.col("id").alias("clip_id"), (F.col("id") % 2).cast("int").alias("fold"), F.array(F.rand(1), F.rand(2)).alias("quality"))
+    fits = spark.createDataFrame([(k, [0.5, 0.5], [1.0, 1.0], [[-0.2, 0.0], [0.2, 0.0]]) for k in (0, 1)], "key int, mean array<double>, scale array<double>, centers array<array<double>>")
+    placed = H.placed(rows, fits, "quality")
+    sizes = placed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) == 250
