@@ -71,6 +71,21 @@ COMPARISON = (
 )
 SVM_CS = (0.1, 0.3, 1.0, 3.0, 10.0)
 _PROJECTED_ROWS = 256  # whose angles a task holds beside its batch
+_LEAST_ROWS, _MOST_ROWS = 32_768, 65_536  # of a task of a fit
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: they are small, so partitions by size would leave the work on them to a few tasks."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _dealt(rows: DataFrame, count: int, spec: Spec) -> DataFrame:
+    """Training rows dealt for a fit: to all cores, and to further tasks beyond 65,536 rows each.  A pass of a linear
+    model over few rows costs less than a task, so its tasks have 32,768 rows where that takes fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if spec.family in ("logistic", "svm"):
+        cores = min(cores, -(-count // _LEAST_ROWS))
+    return rows.repartition(max(1, cores, -(-count // _MOST_ROWS)))
 
 
 def fourier_basis(width: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,9 +215,9 @@ def fit(df: DataFrame, spec: Spec, calibrate: bool = True) -> Fitted:
         v = pick(F.col(spec.view), columns) if columns else F.col(spec.view)
         row = scaler(df.select(v.alias("v")), "v").first()
         out.mean, out.scale = list(row["mean"]), list(row["scale"])
-    rows = _weighted(df, spec)
-    total = rows.agg(F.sum("_w")).first()[0]
-    train = out.inputs(rows).select("_x", "label", "_w")
+    rows = _weighted(df, spec).select(spec.view, "label", "_w")
+    n, total = rows.agg(F.count("*"), F.sum("_w")).first()
+    train = out.inputs(_dealt(rows, n, spec)).select("_x", "label", "_w")
     if spec.family == "svm" and calibrate:
         out.model, out.sigmoid = parallel(
             [lambda: _estimator(spec, total).fit(train), lambda: _sigmoid(df, spec)]
@@ -227,15 +242,20 @@ def _sigmoid(df: DataFrame, spec: Spec, folds: int = 3) -> tuple[float, float]:
     of its clips, so every fold holds both classes."""
     hashed = df.select("clip_id", "label").distinct().withColumn("_h", F.xxhash64(F.lit(spec.seed), "clip_id"))
     parts = ranked(hashed, ["label"], ["_h", "clip_id"], "_rn").select("clip_id", F.pmod(F.col("_rn"), F.lit(folds)).alias("_part"))
-    rows = df.join(parts, "clip_id")
+    wanted = dict.fromkeys(["clip_id", "label", spec.view])
+    rows = spread(df.select(*wanted).join(parts, "clip_id")).persist()
 
     def left_out(k: int) -> DataFrame:
         fitted = fit(rows.where(F.col("_part") != k).drop("_part"), spec, calibrate=False)
         return fitted.margin(rows.where(F.col("_part") == k)).select("label", "margin")
 
-    outs = parallel([lambda k=k: left_out(k) for k in range(folds)])
-    margins = checks.union(outs).withColumn("_x", array_to_vector(F.array("margin")))
-    line = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=100).fit(margins)
+    try:
+        outs = parallel([lambda k=k: left_out(k) for k in range(folds)])
+        margins = checks.union(outs).withColumn("_x", array_to_vector(F.array("margin"))).persist()
+        line = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=100).fit(margins)
+        margins.unpersist()
+    finally:
+        rows.unpersist()
     return float(line.coefficients[0]), float(line.intercept)
 
 

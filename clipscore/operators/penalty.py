@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipscore.operators.clusters import keyed_scalers
-from clipscore.operators.models import Spec, fourier_basis
+from clipscore.operators.models import Spec, fourier_basis, spread
 
 Walk = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 ROUNDING = 0.1  # width of the parabola that rounds the hinge's corner
@@ -100,11 +100,6 @@ def _vectors(batch: pa.RecordBatch, at: int = 0) -> np.ndarray:
     return batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all cores: they are small, so partitions by size would leave the work of many sets to a few tasks."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-
-
 class Paths:
     """Solutions (key -> penalty x coefficients) with what a row needs to get its margins."""
 
@@ -132,7 +127,7 @@ class Paths:
 
         kinds = dict(rows.dtypes)
         schema = f"`{name}` {kinds[name]}, `{label}` {kinds[label]}, key int, c double, margin double"
-        return _spread(rows.select(vector, keys, name, label)).mapInArrow(run, schema)
+        return spread(rows.select(vector, keys, name, label)).mapInArrow(run, schema)
 
 
 def _projected(x: np.ndarray, scale: tuple, basis: tuple[np.ndarray, np.ndarray], fitting: bool = False) -> np.ndarray:
@@ -212,7 +207,7 @@ def keyed_paths(
     cs = sorted(set(cs))
     if not cs or cs[0] <= 0:
         raise ValueError("penalties must be positive")
-    kept = _spread(rows.select(vector, keys, label)).persist()
+    kept = spread(rows.select(vector, keys, label)).persist()
     try:
         counts: dict[int, dict[int, int]] = {}
         per = kept.select(F.explode(keys).alias("key"), F.col(label).cast("int").alias("label"))
