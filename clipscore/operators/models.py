@@ -195,7 +195,7 @@ def _estimator(spec: Spec, total_weight: float):
         )
     return RandomForestClassifier(
         numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
-        bootstrap=spec.family == "forest", seed=spec.seed, **common,
+        bootstrap=spec.family == "forest", seed=spec.seed, cacheNodeIds=True, **common,
     )
 
 
@@ -293,7 +293,8 @@ class Blend:
 
 
 def fit_blend(df: DataFrame, specs: list[tuple[Spec, float]]) -> Blend:
-    return Blend([(fit(df, spec), weight) for spec, weight in specs])
+    fitted = parallel([lambda s=s: fit(df, s) for s, _ in specs])
+    return Blend([(model, weight) for model, (_, weight) in zip(fitted, specs)])
 
 
 def svm_logistic(view: str = "v", svm_weight: float = 0.75) -> list[tuple[Spec, float]]:

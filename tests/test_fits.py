@@ -33,3 +33,11 @@ def test_linear_fits_have_tasks_by_their_rows(spark, monkeypatch, least, most, p
     monkeypatch.setattr(Mo, "_LEAST_ROWS", least)
     monkeypatch.setattr(Mo, "_MOST_ROWS", most)
     assert dealt(df, Mo.Spec("svm", "svm", random_features=8), monkeypatch) == [parts]
+
+
+@pytest.mark.parametrize("family", ["forest", "trees"])
+def test_forests_are_fitted_on_all_cores(spark, monkeypatch, family):
+    _, df = clips(spark)
+    assert dealt(df.coalesce(1), Mo.Spec("forest", family, trees=2), monkeypatch) == [spark.sparkContext.defaultParallelism]
+    monkeypatch.undo()
+    assert Mo._estimator(Mo.Spec("forest", family), 1.0).getCacheNodeIds()
