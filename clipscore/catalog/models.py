@@ -30,7 +30,8 @@ def rows(spark, sf):
     label = (F.col("label") >= 5).cast("int")
     group = F.when(label == 0, F.concat(F.lit("real:"), (F.col("vec_id") % 12).cast("string")))
     group = group.otherwise(F.concat(F.lit("synthetic:"), (F.col("label") % 4).cast("string")))
-    return views.table(spark, sf, "embeddings").select(
+    # One file is one partition here; fits and scores are dealt to all cores.
+    return Mo.spread(views.table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("clip_id"),
         label.alias("label"),
         group.alias("grp"),

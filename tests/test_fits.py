@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from clipscore.catalog import models as C
 from clipscore.operators import models as Mo
 from tests.test_models import clips
 
@@ -41,3 +42,8 @@ def test_forests_are_fitted_on_all_cores(spark, monkeypatch, family):
     assert dealt(df.coalesce(1), Mo.Spec("forest", family, trees=2), monkeypatch) == [spark.sparkContext.defaultParallelism]
     monkeypatch.undo()
     assert Mo._estimator(Mo.Spec("forest", family), 1.0).getCacheNodeIds()
+
+
+def test_shared_vectors_are_dealt_to_all_cores(spark):
+    train, test = C.sides(spark, "/root/testdata/sf0.001")
+    assert train.rdd.getNumPartitions() == test.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
