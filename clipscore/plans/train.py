@@ -61,8 +61,10 @@ def extract_base(spark: SparkSession, root: str, mode: str):
 def holdout_report(scored: DataFrame, everything: DataFrame, method: str = "group holdout") -> DataFrame:
     """One-row report: sample counts and container-adjusted metrics of the holdout.
 
-    ``scored`` needs label, score and status; every aggregate is one row, joined as scalars.
+    ``scored`` needs label, score and status; every aggregate is one row, joined as scalars.  Scores are kept, as
+    several aggregates read them.
     """
+    scored = scored.select("label", "score", "status").persist()
     adjusted = scored.withColumn("score", container_adjusted(F.col("score"), F.col("status")))
     facts = everything.agg(
         F.count("*").alias("samples"),

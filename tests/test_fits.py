@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from clipscore.catalog import models as C
 from clipscore.operators import models as Mo
+from clipscore.plans.train import holdout_report
 from tests.test_models import clips
 
 
@@ -47,3 +49,17 @@ def test_forests_are_fitted_on_all_cores(spark, monkeypatch, family):
 def test_shared_vectors_are_dealt_to_all_cores(spark):
     train, test = C.sides(spark, "/root/testdata/sf0.001")
     assert train.rdd.getNumPartitions() == test.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_holdout_report_scores_a_clip_once(spark):
+    _, df = clips(spark)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        calls.add(1)
+        return i % 7 / 7
+
+    data = df.withColumn("status", F.lit("consistent"))
+    report = holdout_report(data.withColumn("score", score("clip_id")), data).first()
+    assert report.samples == report.holdout.test_samples == calls.value == 160
