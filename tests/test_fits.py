@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,9 +49,29 @@ def test_forests_are_fitted_on_all_cores(spark, monkeypatch, family):
     assert Mo._estimator(Mo.Spec("forest", family), 1.0).getCacheNodeIds()
 
 
-def test_shared_vectors_are_dealt_to_all_cores(spark):
-    train, test = C.sides(spark, "/root/testdata/sf0.001")
-    assert train.rdd.getNumPartitions() == test.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_ten_models_fit_two_at_a_time(spark, monkeypatch):
+    """Each machine keeps the random features of its four fits, so few fits stand beside each other."""
+    lock, now, most = threading.Lock(), [0], [0]
+
+    class Half:
+        def __init__(self, spec):
+            self.spec = spec
+
+        def score(self, df):
+            return df.withColumn("score", F.lit(0.5))
+
+    def fit(df, spec):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        with lock:
+            now[0] -= 1
+        return Half(spec)
+
+    monkeypatch.setattr(Mo, "fit", fit)
+    out = C.k9_ten_models(spark, "/root/testdata/sf0.001").collect()
+    assert {r.model for r in out} == {s.name for s in Mo.COMPARISON} and most[0] == 2
 
 
 def test_holdout_report_scores_a_clip_once(spark):
@@ -63,3 +86,8 @@ def test_holdout_report_scores_a_clip_once(spark):
     data = df.withColumn("status", F.lit("consistent"))
     report = holdout_report(data.withColumn("score", score("clip_id")), data).first()
     assert report.samples == report.holdout.test_samples == calls.value == 160
+
+
+def test_shared_vectors_are_dealt_to_all_cores(spark):
+    train, test = C.sides(spark, "/root/testdata/sf0.001")
+    assert train.rdd.getNumPartitions() == test.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
