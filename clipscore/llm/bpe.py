@@ -1,4 +1,4 @@
-"""Byte-level BPE: whole pre-tokens by a minimal perfect hash, the rest by merging linked bytes from a heap."""
+"""Byte-level BPE: whole pre-tokens by a minimal perfect hash, the rest by merging bytes, short ones many at a time."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,7 +22,10 @@ _MASK = (1 << 64) - 1
 _STRIDE = 0x9E3779B97F4A7C15
 _CACHE_ENTRIES = 1 << 18  # pre-tokens a worker remembers; it only saves time
 _CACHED_CHARS = 64
-_BATCH_TOKENS = 1 << 19
+_BATCH_CHARS = 1 << 19
+_BATCH_IDS = 1 << 18
+_MERGED_BYTES = 1 << 20  # of pre-tokens merged at a time
+_NO_RANK = (1 << 31) - 1
 
 
 class PerfectHash:
@@ -119,22 +123,113 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Ids(dict):
-    """Pre-token to its ids as little-endian bytes, worked out on first use; emptied when full."""
+class Pairs:
+    """Rank of the token that two neighbouring parts make, for whole arrays of parts.
+
+    A part is the rank of its token; a byte that is no token has a number beyond all ranks.
+    """
 
-    def __init__(self, table: PerfectHash) -> None:
-        self.table = table
-        self.pairs = dict(zip(table.keys, table.ranks))
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.beyond = max(ranks.values(), default=-1) + 1
+        parts = {bytes([b]): self.beyond + b for b in range(256)} | ranks
+        self.of_byte = np.array([parts[bytes([b])] for b in range(256)], np.int64)
+        made = {(1 << 63) - 1: _NO_RANK}
+        for token, rank in ranks.items():
+            for at in range(1, len(token)):
+                left, right = parts.get(token[:at]), parts.get(token[at:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = rank
+        keys = np.fromiter(made, np.int64, len(made))
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.fromiter(made.values(), np.int64, len(made))[order]
+        self.of_two_bytes = self.get(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks, or _NO_RANK."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.ranks[at], _NO_RANK)
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[bytes]:
+    """Ids of many short, non-empty pre-tokens, each as :func:`merge_bytes` finds them, as little-endian bytes.
+
+    The parts of all pre-tokens lie in one array, beside each the rank of its pair with the next.  A round
+    merges in every pre-token the pair of lowest rank, leftmost first; those without a pair leave.
+    """
+    out = [b""] * len(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts, names = np.cumsum(sizes) - sizes, np.arange(len(pieces))
+    letters = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    parts, rank = pairs.of_byte[letters], pairs.of_two_bytes[letters << 8 | np.roll(letters, -1)]
+    rank[starts + sizes - 1] = _NO_RANK
+    while len(names):
+        best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+        at, live = (best & 0xFFFFFFFF) - starts, best >> 32 != _NO_RANK
+        if not live.all():
+            inside = np.repeat(live, sizes)
+            if (ended := parts[~inside]).max() >= pairs.beyond:
+                raise KeyError(f"byte {np.flatnonzero(pairs.of_byte == ended.max())[0]} is no token")
+            ids, ends = ended.astype("<i4").tobytes(), np.cumsum(sizes[~live]) * 4
+            for name, start, end in zip(names[~live].tolist(), (ends - sizes[~live] * 4).tolist(), ends.tolist()):
+                out[name] = ids[start:end]
+            parts, rank, names, sizes, at = parts[inside], rank[inside], names[live], sizes[live], at[live]
+            starts = np.cumsum(sizes) - sizes
+        at += starts
+        parts[at] = rank[at]
+        stays = np.ones(len(parts), bool)
+        stays[at + 1] = False
+        parts, rank = parts[stays], rank[stays]
+        gone = np.arange(len(names))
+        at, starts, sizes = at - gone, starts - gone, sizes - 1
+        last, first = at == starts + sizes - 1, at == starts
+        rank[at[last]] = _NO_RANK
+        for left in (at[~last], at[~first] - 1):
+            rank[left] = pairs.get(parts[left], parts[left + 1])
+    return out
+
+
+class _Ids(dict):
+    """Pre-token to its ids as little-endian bytes: short ones are learnt, long ones worked out on each use."""
+
+    def __init__(self, table: PerfectHash, pairs: Pairs) -> None:
+        self.table, self.pairs = table, pairs
+        self.ranks = dict(zip(table.keys, table.ranks))
+
+    def of_texts(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of the pre-tokens of each text, learnt for all texts at once, or for blocks of a long text."""
+        if sum(map(len, texts)) <= _CACHE_ENTRIES:
+            self.learn(set().union(*texts))
+            return [b"".join(map(self.__getitem__, pieces)) for pieces in texts]
+        blocks = ((pieces[i : i + _CACHE_ENTRIES] for i in range(0, len(pieces), _CACHE_ENTRIES)) for pieces in texts)
+        return [b"".join(self.of_texts([block])[0] for block in own) for own in blocks]
+
+    def learn(self, pieces: set[str]) -> None:
+        """From now on the short ones of ``pieces`` are known; others are forgotten when they would be too many."""
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > _CACHE_ENTRIES:
+            self.clear()
+            new = list(pieces)
+        short, tokens, held = [], [], 0
+        for piece in new:
+            if 0 < len(piece) <= _CACHED_CHARS:
+                token = piece.encode()
+                rank = self.table.get(token)
+                if rank >= 0:
+                    self[piece] = struct.pack("<i", rank)
+                else:
+                    short.append(piece)
+                    tokens.append(token)
+                    held += len(token)
+            if held >= _MERGED_BYTES:
+                self.update(zip(short, merge_many(tokens, self.pairs)))
+                short, tokens, held = [], [], 0
+        self.update(zip(short, merge_many(tokens, self.pairs)))
 
     def __missing__(self, piece: str) -> bytes:
         token = piece.encode()
         rank = self.table.get(token)
-        ids = struct.pack("<i", rank) if rank >= 0 else array("i", merge_bytes(token, self.pairs)).tobytes()
-        if len(piece) <= _CACHED_CHARS:
-            if len(self) >= _CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return array("i", [rank] if rank >= 0 else merge_bytes(token, self.ranks)).tobytes()
 
 
 def _batches(columns: list[pa.Array], lengths: list[int], values: list, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
@@ -143,6 +238,15 @@ def _batches(columns: list[pa.Array], lengths: list[int], values: list, kind: pa
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names)
 
 
+def _joined(ids: pa.Array, by_rank: pa.Array) -> pa.Array:
+    """For each list of ids the bytes of its tokens, which lie one after the other in what ``take`` returns."""
+    tokens = by_rank.take(ids.flatten())
+    lengths = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+    token_ends = np.cumsum(pc.binary_length(tokens).to_numpy(zero_copy_only=False), dtype="i4")
+    offsets = np.append(np.int32(0), token_ends)[np.append(0, np.cumsum(lengths, dtype="i8"))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), tokens.buffers()[2]])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``ids`` (array<int>) of every whole text.
 
@@ -151,22 +255,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
     ``text`` and ``keep`` are not looked at.  The vocabulary, of fixed size, is broadcast.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(PerfectHash(ranks))
+    vocabulary = spark.sparkContext.broadcast((PerfectHash(ranks), Pairs(ranks)))
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, split = _Ids(table.value), regex.compile(pattern).findall
+        ids, split = _Ids(*vocabulary.value), regex.compile(pattern).findall
         for batch in batches:
-            texts, start, held, lengths, values = batch.column(len(keep)), 0, 0, [], []
+            texts, start, held, pieces = batch.column(len(keep)), 0, 0, []
             for i in range(batch.num_rows):
-                joined = b"".join(map(ids.__getitem__, split(texts[i].as_py() or "")))
-                values.append(np.frombuffer(joined, "<i4"))
-                lengths.append(len(values[-1]))
-                held += lengths[-1]
-                if held >= _BATCH_TOKENS or i == batch.num_rows - 1:
+                text = texts[i].as_py() or ""
+                pieces.append(split(text))
+                held += len(text)
+                if held >= _BATCH_CHARS or i == batch.num_rows - 1:
+                    values = [np.frombuffer(x, "<i4") for x in ids.of_texts(pieces)]
                     rows = [batch.column(c).slice(start, i + 1 - start) for c in range(len(keep))]
-                    yield _batches(rows, lengths, values, pa.int32(), [*keep, "ids"])
-                    start, held, lengths, values = i + 1, 0, [], []
+                    yield _batches(rows, list(map(len, values)), values, pa.int32(), [*keep, "ids"])
+                    start, held, pieces = i + 1, 0, []
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>"
     return in_arrow(docs.select(*keep, "text"), run, schema)
@@ -178,17 +282,19 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     by_rank: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_rank[rank] = token
-    shared = spark.sparkContext.broadcast(by_rank)
+    shared = spark.sparkContext.broadcast(pa.array(by_rank, pa.binary()))
     names = tokens.columns
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [b"".join(map(token, part.column(at)[i].values.to_numpy().tolist())) if part.column(at)[i].is_valid else b"" for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
+            ends = np.cumsum(pc.list_value_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False), dtype="i8")
+            stop = 0
+            while (start := stop) < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + _BATCH_IDS, "right")))
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, _joined(part.column(at), shared.value)], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", decoded binary"
     return in_arrow(tokens, run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -244,6 +245,54 @@ def test_encoding_equals_the_public_library(spark, vocabulary):
     assert bpe.round_trip(frame(spark, []), ranks, pattern).count() == 0
 
 
+def test_rare_words_merge_many_at_a_time(vocabulary, monkeypatch):
+    ranks, _ = vocabulary
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abehinorst éß日😀'\x00", k=rng.randint(1, 40))) for _ in range(5000)} | {"a" * 64, "😀" * 64, " "}
+    want = {w: bpe.merge_bytes(w.encode(), ranks) if w.encode() not in ranks else [ranks[w.encode()]] for w in words}
+    monkeypatch.setattr(bpe, "merge_bytes", None)  # a rare word on its own has no part in it
+    monkeypatch.setattr(bpe, "_CACHE_ENTRIES", 6000)
+    ids = bpe._Ids(bpe.PerfectHash(ranks), bpe.Pairs(ranks))
+    ids.learn(words)
+    more = set(sorted(words)[::2]) | {w + "x" for w in words if len(w) < 64}
+    assert {w: np.frombuffer(ids[w], "<i4").tolist() for w in words} == want
+    ids.learn(more)  # too many together: the earlier ones go, but none of these
+    assert set(ids) == more
+    assert all(np.frombuffer(ids[w], "<i4").tolist() == want[w] for w in more & words)
+    monkeypatch.setattr(bpe, "_CACHE_ENTRIES", 700)
+    monkeypatch.setattr(bpe, "_MERGED_BYTES", 3000)
+    texts = [[], sorted(words)[:300], sorted(words), [" "]]  # the third in blocks
+    got = [np.frombuffer(x, "<i4").tolist() for x in ids.of_texts(texts)]
+    assert got == [list(itertools.chain(*map(want.get, t))) for t in texts] and len(ids) <= 700
+
+
+def test_merges_of_an_odd_vocabulary():
+    ranks = {b"b": 7, b"a": 3, b"cab": 1, b"ca": 9, b"ba": 5, b"aa": 5 << 20}  # no token for c, which ca and cab hold
+    words = [bytes(w) for n in range(1, 7) for w in itertools.product(b"abc", repeat=n)]
+    pairs, some = bpe.Pairs(ranks), 0
+    for word in words:
+        try:
+            want = bpe.merge_bytes(word, ranks)
+        except KeyError:
+            with pytest.raises(KeyError):
+                bpe.merge_many([b"a", word], pairs)
+        else:
+            some += 1
+            assert [np.frombuffer(x, "<i4").tolist() for x in bpe.merge_many([b"a", word, b"b"], pairs)] == [[3], want, [7]]
+    assert 100 < some < len(words)
+    assert bpe.merge_many([], pairs) == [] == bpe.merge_many([], bpe.Pairs({}))
+
+
+def test_decoding_of_null_empty_and_sliced_lists():
+    import pyarrow as pa
+
+    tokens = pa.array([b"", b"one", b"\xff", b"three"], pa.binary())
+    ids = pa.array([[3], [1, 2, 0, 1], None, [], [3, 3]], pa.list_(pa.int32()))
+    assert bpe._joined(ids, tokens).to_pylist() == [b"three", b"one\xffone", b"", b"", b"threethree"]
+    assert bpe._joined(ids[1:], tokens).to_pylist() == [b"one\xffone", b"", b"", b"threethree"]
+    assert bpe._joined(ids[2:4], tokens).to_pylist() == [b"", b""] and bpe._joined(ids[:0], tokens[:0]).to_pylist() == []
+
+
 # mixing and sharding -----------------------------------------------------------------------------
 
 
