@@ -11,7 +11,8 @@ import math
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ from clipscore.operators.comparison import select_model
 from clipscore.operators.joins import with_class_weights
 from clipscore.operators.ordered import ranked
 from clipscore.operators.routing import MIN_CLUSTER, Router, fit_router, nearest, scaler, standardized
+from clipscore.session import ship
 from clipscore.sources import checks
 
 
@@ -72,6 +75,8 @@ COMPARISON = (
 SVM_CS = (0.1, 0.3, 1.0, 3.0, 10.0)
 _PROJECTED_ROWS = 256  # whose angles a task holds beside its batch
 _LEAST_ROWS, _MOST_ROWS = 32_768, 65_536  # of a task of a fit
+_MOST_NODES = 500_000  # of trees that are grown together
+_WALKED_ROWS = 2048  # that a task takes through a tree at once
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -114,9 +119,66 @@ def random_fourier(vector: Column, width: int, features: int, seed: int) -> Colu
     return project(vector)
 
 
+@dataclass(frozen=True)
+class Trees:
+    """A forest as flat arrays, one tree after the other.
+
+    ``value`` is an inner node's threshold or a leaf's share of the synthetic class; both children of a leaf are the leaf.
+    """
+
+    roots: np.ndarray
+    child: np.ndarray  # left and right, by turns
+    feature: np.ndarray
+    value: np.ndarray
+    depth: int
+
+    def ends(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The leaf of every row, tree after tree."""
+        flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+        for root in self.roots:
+            at = np.full(len(x), root)
+            for _ in range(self.depth):
+                at = self.child[2 * at + ~(flat[start + self.feature[at]] <= self.value[at])]
+            yield at
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Mean share of the synthetic class."""
+        total = np.zeros(len(x))
+        for at in self.ends(x):
+            total += self.value[at]
+        return total / len(self.roots)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """(row, tree): the number of the leaf among the tree's, in the order of nodes."""
+        is_leaf = self.child[::2] == np.arange(len(self.value))
+        before = np.cumsum(is_leaf) - is_leaf
+        return np.stack([before[at] - before[root] for root, at in zip(self.roots, self.ends(x))], axis=1)
+
+
+@dataclass(frozen=True)
+class Kept:
+    """A part of a forest that lies in the shared folder and not on the driver."""
+
+    path: str
+    getNumTrees: int
+    featureImportances: Vector
+
+    @staticmethod
+    def of(model: RandomForestClassificationModel) -> Kept:
+        path = shared_path(SparkSession.active())
+        model.write().overwrite().save(path)
+        return Kept(path, model.getNumTrees, model.featureImportances)
+
+    def write(self):
+        return RandomForestClassificationModel.load(self.path).write()
+
+
 @dataclass
 class Fitted:
-    """A fitted model: scaler row, Spark ML model or (coefficients, intercept), and for margins a sigmoid."""
+    """A fitted model: scaler row, Spark ML model or (coefficients, intercept), and for margins a sigmoid.
+
+    A large forest is several models (``model`` and ``more``), each ``Kept`` with a part of the trees.
+    """
 
     spec: Spec
     mean: list[float] = field(default_factory=list)
@@ -124,12 +186,45 @@ class Fitted:
     model: object = None
     sigmoid: tuple[float, float] | None = None
     line: tuple[list[float], float] | None = None
+    more: list = field(default_factory=list)
+
+    @property
+    def forests(self) -> list:
+        return [self.model, *self.more]
+
+    @cached_property
+    def trees(self):
+        """The forest's arrays, as a broadcast: a model that tasks get in their closure is made anew in every task."""
+        spark = SparkSession.active()
+        parts = [_table(m).toArrow() for m in self.forests]
+        return spark.sparkContext.broadcast(_packed(parts, self.spec.depth))
+
+    def _walked(self, df: DataFrame, kind: str, walk) -> Column:
+        """What ``walk`` makes of the forest and of the rows' vectors, in Arrow tasks."""
+        shared = self.trees
+
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for x in batches:
+                rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
+                starts = range(0, max(1, len(rows)), _WALKED_ROWS)
+                out = np.concatenate([walk(shared.value, rows[i : i + _WALKED_ROWS]) for i in starts])
+                if out.ndim == 1:
+                    yield pa.array(out)
+                else:
+                    ends = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
+                    yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel().astype(np.int32)))
+
+        ship(df.sparkSession)
+        return run(self.vector())
+
+    def vector(self) -> Column:
+        v = F.col(self.spec.view)
+        return pick(v, list(self.spec.columns)) if self.spec.columns else v
 
     def inputs(self, df: DataFrame) -> DataFrame:
         """Add the model's input vector ``_x``."""
-        v = F.col(self.spec.view)
-        if self.spec.columns:
-            v = pick(v, list(self.spec.columns))
+        v = self.vector()
         if self.spec.family in ("forest", "trees"):
             return df.withColumn("_x", array_to_vector(v))
         z = F.zip_with(v, F.array(*map(F.lit, self.mean)), lambda x, m: x - m)
@@ -145,6 +240,8 @@ class Fitted:
             out = self.inputs(df)
             z = dot(vector_to_array("_x"), F.array(*map(F.lit, self.line[0]))) + F.lit(self.line[1])
             return out.withColumn(name, 1.0 / (1.0 + F.exp(-z))).drop(*made)
+        if self.spec.family in ("forest", "trees"):
+            return df.withColumn(name, self._walked(df, "double", Trees.shares))
         out = self.model.transform(self.inputs(df))
         if self.sigmoid is None:
             value = F.get(vector_to_array("probability"), 1)
@@ -164,7 +261,10 @@ class Fitted:
         spark = SparkSession.active()
         if self.line is None:
             self.model.write().overwrite().save(f"{path}/model")
+        for i, model in enumerate(self.more):
+            model.write().overwrite().save(f"{path}/more={i}")
         row = {"spec": asdict(self.spec), "mean": self.mean, "scale": self.scale, "sigmoid": self.sigmoid, "line": self.line}
+        row["more"] = len(self.more)
         lines = spark.createDataFrame([(json.dumps(row),)], "value string")
         lines.write.mode("overwrite").text(f"{path}/bundle")
 
@@ -179,6 +279,9 @@ class Fitted:
             return Fitted(spec, row["mean"], row["scale"], sigmoid=sigmoid, line=(row["line"][0], row["line"][1]))
         kinds = {"logistic": LogisticRegressionModel, "svm": LinearSVCModel}
         kind = kinds.get(spec.family, RandomForestClassificationModel)
+        if row.get("more"):
+            parts = [Kept.of(kind.load(f"{path}/{p}")) for p in ("model", *[f"more={i}" for i in range(row["more"])])]
+            return Fitted(spec, model=parts[0], more=parts[1:])
         return Fitted(spec, row["mean"], row["scale"], kind.load(f"{path}/model"), sigmoid)
 
 
@@ -222,11 +325,33 @@ def fit(df: DataFrame, spec: Spec, calibrate: bool = True) -> Fitted:
         out.model, out.sigmoid = parallel(
             [lambda: _estimator(spec, total).fit(train), lambda: _sigmoid(df, spec)]
         )
+    elif spec.family in ("forest", "trees"):
+        out.model, *out.more = _grown(_planted(spec, n), train, total)
     else:
         out.model = _estimator(spec, total).fit(train)
     return out
 
 
+def _grown(parts: list[Spec], train: DataFrame, total: float) -> list:
+    """The parts of a forest, two at a time."""
+    if len(parts) == 1:
+        return [_estimator(parts[0], total).fit(train)]
+    train = train.persist()
+    try:
+        return parallel([lambda s=s: Kept.of(_estimator(s, total).fit(train)) for s in parts], workers=2)
+    finally:
+        train.unpersist()
+
+
+def _planted(spec: Spec, rows: int) -> list[Spec]:
+    """Parts of a forest that are grown one by one.  What a fit keeps of a row grows with its trees, and its nodes stand
+    on the driver while it lasts: they are at most ``_MOST_NODES``."""
+    most = max(1, _MOST_NODES // max(1, min(2 ** (spec.depth + 1), rows)))
+    count = -(-spec.trees // most)
+    sizes = [spec.trees // count + (i < spec.trees % count) for i in range(count)]
+    return [replace(spec, trees=n, seed=spec.seed + 1_000_003 * i) for i, n in enumerate(sizes)]
+
+
 @dataclass(frozen=True)
 class Maker:
     """``fit`` with a spec; flows that see the spec fit logistic models of all their training sets in shared passes."""
@@ -360,7 +485,8 @@ def importance(blend: Blend, names: tuple[str, ...]) -> DataFrame:
     total = np.zeros(len(names))
     for model, weight in blend.parts:
         at = list(model.spec.columns) or range(len(names))
-        total[list(at)] += weight * model.model.featureImportances.toArray()
+        for part in model.forests:
+            total[list(at)] += weight * part.getNumTrees / model.spec.trees * part.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, total)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
@@ -373,21 +499,47 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def _nodes(model: RandomForestClassificationModel, path: str) -> DataFrame:
-    """The nodes of a forest as a table (tree, id, p, left, right, feature), read from where the model is saved."""
-    model.write().overwrite().save(path)
-    table = SparkSession.active().read.parquet(f"{path}/data")
+def _table(model: RandomForestClassificationModel | Kept, path: str | None = None) -> DataFrame:
+    """The nodes of a forest as a table, read from where the model is saved."""
+    if not isinstance(model, Kept):
+        path = path or shared_path(SparkSession.active())
+        model.write().overwrite().save(path)
+    table = SparkSession.active().read.parquet(f"{model.path if isinstance(model, Kept) else path}/data")
     total = F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda s, v: s + v)
     return table.select(
         F.col("treeID").alias("tree"),
         F.col("nodeData.id").alias("id"),
-        (F.get("nodeData.impurityStats", 1) / total).alias("p"),
+        (F.coalesce(F.get("nodeData.impurityStats", 1), F.lit(0.0)) / total).alias("p"),
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("cut"),
     )
 
 
+def _nodes(model: RandomForestClassificationModel | Kept, path: str | None = None) -> DataFrame:
+    """(tree, id, p, left, right, feature) of a forest."""
+    return _table(model, path).drop("cut")
+
+
+def _packed(parts: list[pa.Table], depth: int) -> Trees:
+    """The nodes of a forest's parts as flat arrays."""
+    roots, children, features, values, size = [], [], [], [], 0
+    for part in parts:
+        part = part.sort_by([("tree", "ascending"), ("id", "ascending")])
+        tree, left, right = (part[c].to_numpy() for c in ("tree", "left", "right"))
+        root = np.flatnonzero(np.diff(tree, prepend=-1))
+        first = root[np.cumsum(np.isin(np.arange(len(tree)), root)) - 1]  # of the node's tree; ids count from there
+        inner, own = left >= 0, np.arange(len(tree))
+        child = np.stack([np.where(inner, first + side, own) for side in (left, right)], axis=1) + size
+        roots.append(root + size)
+        children.append(child.ravel().astype(np.int32))
+        features.append(np.where(inner, part["feature"].to_numpy(), 0).astype(np.int32))
+        values.append(np.where(inner, part["cut"].fill_null(0.0).to_numpy(), part["p"].to_numpy()))
+        size += len(tree)
+    return Trees(*map(np.concatenate, (roots, children, features, values)), depth)
+
+
 def _leaf_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, feature, gain): what each feature adds to the probability on the way to a leaf.
 
@@ -424,23 +576,20 @@ def path_contributions(df: DataFrame, blend: Blend, width: int) -> DataFrame:
     (clip, feature) form in the map tasks.  Nodes pass neither through the driver nor through a broadcast of this
     function's own.  ``clip_id`` names a row; ``df`` is read twice.
     """
-    spark = df.sparkSession
-    rows, paths, roots, reached = df, [], [], []
+    paths, roots, reached = [], [], []
     for m, (model, weight) in enumerate(blend.parts):
-        nodes = _nodes(model.model, shared_path(spark))
-        share = F.lit(weight / model.model.getNumTrees)
-        columns = F.array(*map(F.lit, model.spec.columns or range(width)))
-        path = _leaf_paths(nodes).select(
-            F.lit(m).alias("_member"), "tree", "leaf", F.get(columns, F.col("feature")).alias("_column"), (share * F.col("gain")).alias("_gain")
-        )
-        paths.append(path)
-        roots.append(nodes.where("id = 0").select((share * F.col("p")).alias("p")))
-        forest = model.model.copy()
-        forest.setLeafCol(f"_leaf{m}").setPredictionCol("").setProbabilityCol("").setRawPredictionCol("")
-        rows = forest.transform(model.inputs(rows)).drop("_x")
-        member = F.lit(m).alias("_member")
-        reached.append(F.transform(vector_to_array(f"_leaf{m}"), lambda x, i: F.struct(member, i.alias("tree"), x.cast("int").alias("leaf"))))  # noqa: B023
-    at = rows.select("clip_id", F.inline(F.concat(*reached)))
+        share, columns, before = F.lit(weight / model.spec.trees), F.array(*map(F.lit, model.spec.columns or range(width))), 0
+        for part in model.forests:
+            nodes = _nodes(part).withColumn("tree", F.col("tree") + before)
+            path = _leaf_paths(nodes).select(
+                F.lit(m).alias("_member"), "tree", "leaf", F.get(columns, F.col("feature")).alias("_column"), (share * F.col("gain")).alias("_gain")
+            )
+            paths.append(path)
+            roots.append(nodes.where("id = 0").select((share * F.col("p")).alias("p")))
+            before += part.getNumTrees
+        member, leaves = F.lit(m).alias("_member"), model._walked(df, "array<int>", Trees.leaves)
+        reached.append(F.transform(leaves, lambda x, i: F.struct(member, i.alias("tree"), x.alias("leaf"))))  # noqa: B023
+    at = df.select("clip_id", F.inline(F.concat(*reached)))
     gains = at.join(checks.union(paths), ["_member", "tree", "leaf"]).groupBy("clip_id", "_column").agg(F.sum("_gain").alias("_gain"))
     of_clip = gains.groupBy("clip_id").agg(F.map_from_entries(F.collect_list(F.struct("_column", "_gain"))).alias("_gains"))
     every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("_gains")[i], F.lit(0.0)))

@@ -6,6 +6,7 @@ import threading
 import time
 
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from clipscore.catalog import models as C
@@ -91,3 +92,42 @@ def test_holdout_report_scores_a_clip_once(spark):
 def test_shared_vectors_are_dealt_to_all_cores(spark):
     train, test = C.sides(spark, "/root/testdata/sf0.001")
     assert train.rdd.getNumPartitions() == test.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_large_forest_is_grown_in_parts(spark, monkeypatch, tmp_path):
+    """No fit grows more nodes than the bound; scores, importance, paths and files are those of all trees."""
+    _, df = clips(spark)
+    spec = Mo.Spec("forest", "forest", trees=7, depth=3, columns=(0, 1, 3))
+    assert [(s.trees, s.seed) for s in Mo._planted(spec, 160)] == [(7, 42)]
+    monkeypatch.setattr(Mo, "_MOST_NODES", 3 * 2**4)
+    model = Mo.fit(df, spec)
+    assert [m.getNumTrees for m in model.forests] == [3, 2, 2]
+    data = df.persist()
+    want = dict.fromkeys([r.clip_id for r in data.collect()], 0.0)
+    for m in model.forests:
+        whole = RandomForestClassificationModel.load(m.path)
+        for r in whole.transform(model.inputs(data)).collect():
+            want[r.clip_id] += r.probability[1] * m.getNumTrees / 7
+    scored = model.score(data)
+    got = {r.clip_id: r.score for r in scored.collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(set(got.values())) > 20
+    out = Mo.path_contributions(scored, Mo.Blend([(model, 1.0)]), 4).collect()
+    assert len(out) == 160 and all(r.baseline + sum(r.contributions) == pytest.approx(got[r.clip_id], abs=1e-9) for r in out)
+    assert sum(r.importance for r in Mo.importance(Mo.Blend([(model, 1.0)]), ("a", "b", "c", "d")).collect()) == pytest.approx(1)
+    model.save(f"file://{tmp_path}/forest")
+    again = {r.clip_id: r.score for r in Mo.Fitted.load(f"file://{tmp_path}/forest").score(data).collect()}
+    assert again == got
+
+
+@pytest.mark.parametrize("family", ["forest", "trees"])
+def test_tasks_that_score_get_no_model_in_their_closure(spark, family):
+    """A closure is read anew by every task, so its forest would stand in memory once a task."""
+    _, df = clips(spark)
+    model = Mo.fit(df, Mo.Spec("forest", family, trees=5, depth=4))
+    scored = model.score(df)
+    assert scored.columns == [*df.columns, "score"]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDF(" not in plan
+    want = {r.clip_id: r.probability[1] for r in model.model.transform(model.inputs(df)).collect()}
+    assert {r.clip_id: r.score for r in scored.collect()} == pytest.approx(want, abs=1e-12)
+    assert model.score(df.where("clip_id < 0")).count() == 0
