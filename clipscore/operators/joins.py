@@ -68,6 +68,13 @@ def with_class_weights(df: DataFrame, label: str = "label", costs: Costs = DEFAU
     )
 
 
+def class_weights(weighting: str, real: int, spoof: int, costs: Costs = DEFAULT) -> tuple[float, float]:
+    """Weight of a real and of a synthetic row, as ``with_class_weights`` gives them."""
+    if weighting == "cost":
+        return costs.fa_weight * spoof / (costs.miss_weight * real), 1.0
+    return (real + spoof) / (2.0 * real), (real + spoof) / (2.0 * spoof)
+
+
 def bundle_verdict(version: int, kind: str, names: tuple[str, ...]) -> Column:
     """First mismatch of a bundle row against what the code expects, or ``ok``."""
     weight = F.col("metadata_real_weight")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clipscore.functions.vectors import pick
 from clipscore.operators.clusters import keyed_scalers
-from clipscore.operators.metrics import DEFAULT
+from clipscore.operators.joins import class_weights
 from clipscore.operators.models import Fitted, Spec
 from clipscore.operators.penalty import _members, _vectors, minimise, together
 from clipscore.session import ship
@@ -38,13 +38,6 @@ def _vector(view: View):
     return pick(F.col(name), list(columns)) if columns else F.col(name)
 
 
-def _weights(spec: Spec, real: int, spoof: int) -> tuple[float, float]:
-    """Weight of a real and of a synthetic row, as ``with_class_weights`` gives them."""
-    if spec.weighting == "cost":
-        return DEFAULT.fa_weight * spoof / (DEFAULT.miss_weight * real), 1.0
-    return (real + spoof) / (2.0 * real), (real + spoof) / (2.0 * spoof)
-
-
 class Lines:
     """Fitted models by (set, name)."""
 
@@ -114,7 +107,7 @@ def keyed_logistic(rows: DataFrame, keys: str, specs: Mapping[int, Mapping[str,
             if not real or not spoof:
                 out[key, name].line = ([0.0] * len(mean), float("inf") if spoof else float("-inf"))
                 continue
-            weights = _weights(spec, real, spoof)
+            weights = class_weights(spec.weighting, real, spoof)
             total = weights[0] * real + weights[1] * spoof
             ridge = np.append(np.full(len(mean), 1 / (spec.c * total)), 0.0)
             start = np.append(np.zeros(len(mean)), np.log(weights[1] * spoof / (weights[0] * real)))

@@ -362,13 +362,18 @@ class Maker:
         return fit(df, self.spec)
 
 
-def _sigmoid(df: DataFrame, spec: Spec, folds: int = 3) -> tuple[float, float]:
-    """Platt sigmoid on margins of rows left out of the fit.  Folds deal each class out by the hash rank
-    of its clips, so every fold holds both classes."""
+def calibration_parts(df: DataFrame, spec: Spec, folds: int = 3) -> DataFrame:
+    """(clip_id, label, view, _part): parts deal each class out by the hash rank of its clips, so every part holds both
+    classes."""
     hashed = df.select("clip_id", "label").distinct().withColumn("_h", F.xxhash64(F.lit(spec.seed), "clip_id"))
     parts = ranked(hashed, ["label"], ["_h", "clip_id"], "_rn").select("clip_id", F.pmod(F.col("_rn"), F.lit(folds)).alias("_part"))
     wanted = dict.fromkeys(["clip_id", "label", spec.view])
-    rows = spread(df.select(*wanted).join(parts, "clip_id")).persist()
+    return df.select(*wanted).join(parts, "clip_id")
+
+
+def _sigmoid(df: DataFrame, spec: Spec, folds: int = 3) -> tuple[float, float]:
+    """Platt sigmoid on margins of rows left out of the fit."""
+    rows = spread(calibration_parts(df, spec, folds)).persist()
 
     def left_out(k: int) -> DataFrame:
         fitted = fit(rows.where(F.col("_part") != k).drop("_part"), spec, calibrate=False)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipscore.operators.clusters import keyed_scalers
+from clipscore.operators.joins import class_weights
 from clipscore.operators.models import Spec, fourier_basis, spread
 
 Walk = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
@@ -75,6 +76,50 @@ def minimise(w: np.ndarray, ridge: np.ndarray, iterations: int = 100, tolerance:
     return w
 
 
+def minimise_cornered(w: np.ndarray, ridge: np.ndarray, iterations: int, tolerance: float, memory: int, patience: int = 5) -> Walk:
+    """As ``minimise``, for a loss with corners: steps are halved or grown until the slope has weakened as well (Lewis and
+    Overton 2013), a direction without such a step is followed by the gradient's, and ``patience`` small steps in turn are
+    the end.  One halved step says little there: it may have met a corner.
+    """
+
+    def penalised(w: np.ndarray, answer: tuple[float, np.ndarray]) -> tuple[float, np.ndarray]:
+        return answer[0] + 0.5 * (ridge * w) @ w, answer[1] + ridge * w
+
+    f, g = penalised(w, (yield w))
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    still = 0
+    for _ in range(iterations):
+        d = _direction(g, steps)
+        slope = d @ g
+        if slope > -1e-18:
+            break
+        length, low, high, found = 1.0 if steps else min(1.0, 1.0 / np.sqrt(g @ g)), 0.0, None, None
+        for _ in range(20):
+            trial = w + length * d
+            ft, gt = penalised(trial, (yield trial))
+            if ft > f + 1e-4 * length * slope:
+                high = length
+            else:
+                low, found = length, (trial, ft, gt)
+                if gt @ d >= 0.9 * slope:
+                    break
+            length = 2 * low if high is None else (low + high) / 2
+        if found is None:
+            if not steps:
+                break
+            steps = []
+            continue
+        trial, ft, gt = found
+        s, y = trial - w, gt - g
+        if s @ y > 1e-14:
+            steps = [*steps, (s, y)][-memory:]
+        still = still + 1 if f - ft <= tolerance * max(abs(f), 1e-12) else 0
+        w, f, g = trial, ft, gt
+        if still >= patience:
+            break
+    return w
+
+
 def together(walks: dict, evaluate: Callable[[dict], dict]) -> dict:
     """Results of all walks.  ``evaluate`` maps the points that are asked for to (loss, gradient), in one pass."""
     wanted, done = {}, {}
@@ -155,25 +200,29 @@ def _losses(rows: DataFrame, columns: list[str], static, points: dict) -> dict:
     shared = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, basis = static.value
+        sets, basis, rounding = static.value
         sums = {k: np.zeros((len(of), len(w) + 1)) for k, (of, w) in shared.value.items()}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, (owner, key) = _vectors(batch), _members(batch, 1)
             label = batch.column(2).to_numpy()
-            for k, (_, w) in shared.value.items():
-                every, part = owner[key == k], sums[k]
+            for k, (of, w) in shared.value.items():
+                every, part, (real, spoof) = owner[key == k], sums[k], sets[k][2][:, of]
                 for start in range(0, len(every), _ROWS):
                     own = every[start : start + _ROWS]
                     z, one = _projected(x[own], sets[k], basis, True), label[own]
                     sign = (2.0 * one - 1.0)[:, None]
                     gap = 1.0 - sign * (z @ w[:-1] + w[-1])
-                    weight = np.where(one == 1, sets[k][2][1], sets[k][2][0])[:, None]
-                    # The hinge with a parabola of width ROUNDING in place of its corner.
-                    inside = np.clip(gap, 0.0, ROUNDING)
-                    part[:, 0] += (weight * (inside**2 / (2 * ROUNDING) + np.maximum(gap - ROUNDING, 0.0))).sum(0)
-                    pull = -weight * sign * inside / ROUNDING
+                    weight = np.where(one[:, None] == 1, spoof, real)
+                    # The hinge with a parabola of the given width in place of its corner.
+                    if rounding:
+                        inside = np.clip(gap, 0.0, rounding) / rounding
+                        part[:, 0] += (weight * (inside**2 * (rounding / 2) + np.maximum(gap - rounding, 0.0))).sum(0)
+                    else:
+                        inside = (gap > 0.0).astype(float)
+                        part[:, 0] += (weight * np.maximum(gap, 0.0)).sum(0)
+                    pull = -weight * sign * inside
                     part[:, 1:-1] += pull.T @ z
                     part[:, -1] += pull.sum(0)
         flat = [(k, i, v) for k, part in sums.items() for i, v in zip(shared.value[k][0], part)]
@@ -188,7 +237,7 @@ def _losses(rows: DataFrame, columns: list[str], static, points: dict) -> dict:
     shared.destroy()
     out = {}
     for k, i, v in zip(found["key"].to_pylist(), found["at"].to_pylist(), found["part"]):
-        part = v.values.to_numpy() / static.value[0][k][3]
+        part = v.values.to_numpy() / static.value[0][k][3][i]
         out[k, i] = part[0], part[1:]
     return out
 
@@ -203,9 +252,21 @@ def keyed_paths(
     hinge rounded over a width of 0.1.  A set without both classes is an error.  ``iterations`` of ``spec`` bounds the
     steps of each (set, penalty).
     """
-    spark = rows.sparkSession
     cs = sorted(set(cs))
-    if not cs or cs[0] <= 0:
+    return keyed_machines(rows, vector, keys, label, [(c, "balanced") for c in cs], cs, spec, tolerance, ROUNDING)
+
+
+def keyed_machines(
+    rows: DataFrame, vector: str, keys: str, label: str, settings: Sequence[tuple[float, str]], names: Sequence[float], spec: Spec,
+    tolerance: float, rounding: float = 0.0,
+) -> Paths:
+    """As ``keyed_paths``, for ``settings`` of (penalty, weighting); margins have the ``names`` of settings as ``c``.
+
+    ``rounding`` is the width over which the hinge's corner is rounded; 0 is the hinge itself, whose walks take up to twice
+    the steps.
+    """
+    spark = rows.sparkSession
+    if not settings or min(c for c, _ in settings) <= 0:
         raise ValueError("penalties must be positive")
     kept = spread(rows.select(vector, keys, label)).persist()
     try:
@@ -219,26 +280,30 @@ def keyed_paths(
         sets = {}
         for s in keyed_scalers(kept, vector, keys).collect():
             n = counts[s.key]
-            total = float(n[0] + n[1])
-            sets[s.key] = (np.array(s["mean"]), np.array(s["scale"]), (total / (2 * n[0]), total / (2 * n[1])), total)
+            weights = np.array([class_weights(weighting, n[0], n[1]) for _, weighting in settings]).T
+            sets[s.key] = (np.array(s["mean"]), np.array(s["scale"]), weights, weights[0] * n[0] + weights[1] * n[1])
         width = len(next(iter(sets.values()))[0]) if sets else 0
         basis = fourier_basis(width, spec.random_features, spec.seed) if sets else (np.zeros((0, 0)), np.zeros(0))
-        static = spark.sparkContext.broadcast((sets, basis))
+        static = spark.sparkContext.broadcast((sets, basis, rounding))
         free = np.append(np.ones(spec.random_features), 0.0)  # the intercept, last, is not penalised
-        walks = {
-            (k, i): minimise(np.zeros(len(free)), free / (c * s[3]), spec.iterations, tolerance, MEMORY)
-            for k, s in sets.items()
-            for i, c in enumerate(cs)
-        }
+        walks = {}
+        for k, s in sets.items():
+            for i, (c, _) in enumerate(settings):
+                start, ridge = np.zeros(len(free)), free / (c * s[3][i])
+                if rounding:
+                    walks[k, i] = minimise(start, ridge, spec.iterations, tolerance, MEMORY)
+                else:
+                    walks[k, i] = minimise_cornered(start, ridge, 2 * spec.iterations, tolerance, 2 * MEMORY)
         found = together(walks, lambda points: _losses(kept, [vector, keys, label], static, points))
-        solutions = {k: np.stack([found[k, i] for i in range(len(cs))]) for k in sets}
+        solutions = {k: np.stack([found[k, i] for i in range(len(settings))]) for k in sets}
     finally:
         kept.unpersist()
-    return Paths(sets, basis, cs, solutions)
+    return Paths(sets, basis, names, solutions)
 
 
-def keyed_sigmoids(margins: DataFrame, keys: list[str], label: str = "label", margin: str = "margin") -> DataFrame:
-    """(keys, a, b) of sigmoids 1 / (1 + exp(-(a * margin + b))) with Platt's targets, all keys in the same passes."""
+def keyed_sigmoids(margins: DataFrame, keys: list[str], label: str = "label", margin: str = "margin", platt: bool = True) -> DataFrame:
+    """(keys, a, b) of sigmoids 1 / (1 + exp(-(a * margin + b))) with Platt's targets (else the labels), all keys in the same
+    passes."""
     one = F.col(label) == 1
     counts = margins.groupBy(*keys).agg(F.count_if(one).alias("_n1"), F.count_if(~one).alias("_n0"))
     sizes = {tuple(r[k] for k in keys): (r["_n0"], r["_n1"]) for r in counts.collect()}
@@ -247,7 +312,8 @@ def keyed_sigmoids(margins: DataFrame, keys: list[str], label: str = "label", ma
     fields = f"{names}, a double, b double, t0 double, t1 double"
 
     def evaluate(points: dict) -> dict:
-        asked = [(*k, float(w[0]), float(w[1]), 1 / (sizes[k][0] + 2), (sizes[k][1] + 1) / (sizes[k][1] + 2)) for k, w in points.items()]
+        ends = {k: (1 / (n0 + 2), (n1 + 1) / (n1 + 2)) if platt else (0.0, 1.0) for k, (n0, n1) in sizes.items()}
+        asked = [(*k, float(w[0]), float(w[1]), *ends[k]) for k, w in points.items()]
         z = F.col("a") * F.col(margin) + F.col("b")
         target = F.when(one, F.col("t1")).otherwise(F.col("t0"))
         off = 1 / (1 + F.exp(-z)) - target

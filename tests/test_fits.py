@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import threading
 import time
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from clipscore.catalog import models as C
 from clipscore.operators import models as Mo
+from clipscore.operators import penalty
+from clipscore.operators.joins import class_weights
+from clipscore.operators.machines import machine_scores
 from clipscore.plans.train import holdout_report
 from tests.test_models import clips
 
@@ -131,3 +136,57 @@ def test_tasks_that_score_get_no_model_in_their_closure(spark, family):
     want = {r.clip_id: r.probability[1] for r in model.model.transform(model.inputs(df)).collect()}
     assert {r.clip_id: r.score for r in scored.collect()} == pytest.approx(want, abs=1e-12)
     assert model.score(df.where("clip_id < 0")).count() == 0
+
+
+def test_compared_machines_share_their_passes(spark, monkeypatch):
+    """Six machines with their calibration parts start in one pass, and a machine scores as one that is fitted alone."""
+    _, df = clips(spark)
+    df = df.withColumn("base_lfcc", F.col("v"))
+    specs = [replace(s, random_features=8, iterations=15) for s in Mo.COMPARISON if s.family == "svm"]
+    train, test = df.where("clip_id % 4 <> 0"), df.where("clip_id % 4 = 0")
+    want = {r.clip_id: r.score for r in Mo.fit(train, specs[0]).score(test).collect()}
+    passes, losses = [], penalty._losses
+
+    def counted(rows, columns, static, points):
+        passes.append(len(points))
+        return losses(rows, columns, static, points)
+
+    monkeypatch.setattr(penalty, "_losses", counted)
+    monkeypatch.setattr(Mo, "_estimator", None)
+    got = {(r.model, r.clip_id): r.score for r in machine_scores(train, test, specs).collect()}
+    assert passes[0] == len(specs) * 4 and len(passes) < 6 * 15
+    assert set(got) == {(s.name, i) for s in specs for i in want}
+    assert max(abs(got[specs[0].name, i] - v) for i, v in want.items()) < 0.1
+    with pytest.raises(ValueError, match="alone"):
+        machine_scores(train, test, [specs[0], replace(specs[1], seed=1)])
+
+
+def test_compared_machines_lower_the_hinge_of_a_fit_alone(spark):
+    rows, df = clips(spark)
+    weighting = "cost"  # whose walks meet more corners
+    spec = Mo.Spec("svm", "svm", c=1.0, weighting=weighting, random_features=24)
+    model = Mo.fit(df, spec, calibrate=False)
+    keyed = df.withColumn("keys", F.array(F.lit(0)))
+    made = penalty.keyed_machines(keyed, "v", "keys", "label", [(0.3, "balanced"), (1.0, weighting)], [0.0, 1.0], spec, 1e-6)
+    x, y = np.array([v for *_, v in rows]), np.array([label for _, label, *_ in rows])
+    basis = Mo.fourier_basis(4, 24, spec.seed)
+    z = np.sqrt(2 / 24) * np.cos((x - x.mean(0)) / x.std(0) @ basis[0] + basis[1])
+    weight = np.where(y == 1, *reversed(class_weights(weighting, int((y == 0).sum()), int(y.sum()))))
+
+    def objective(w, b):
+        hinge = np.maximum(0, 1 - (2 * y - 1) * (z @ w + b))
+        return (weight * hinge).sum() / weight.sum() + w @ w / (2 * weight.sum())
+
+    own = made.solutions[0][1]
+    assert objective(own[:-1], own[-1]) <= 1.001 * objective(model.model.coefficients.toArray(), model.model.intercept)
+    got = {r.clip_id: r.margin for r in made.margins(keyed, "v", "keys", "clip_id", "label").collect() if r.c == 1.0}
+    assert np.allclose([got[i] for i, *_ in rows], z @ own[:-1] + own[-1])
+
+
+def test_machines_of_one_clip_of_a_class_are_an_error(spark):
+    _, df = clips(spark)
+    df = df.withColumn("base_lfcc", F.col("v"))
+    one = df.where("label = 0 OR clip_id = 1")
+    assert one.where("label = 1").count() == 1
+    with pytest.raises(ValueError, match="both classes"):
+        machine_scores(one, df, [s for s in Mo.COMPARISON if s.family == "svm"])
